@@ -5,18 +5,30 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netglean.llm import bpe, token_counts
+from netglean.llm import bpe, jaccard_join, quality_rules, secret_scan, token_counts
 from netglean.llm.shared import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op5_quality_rules, op7_secret_scan, op10_byte_bpe)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
