@@ -48,10 +48,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE), "")
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that rules name, all from built-in functions."""
+def counts(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, or the column key, and the counts that rules name, all from built-in functions."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    key = F.col("doc_id").cast("long").alias("doc_id") if key is None else key.alias("doc_id")
+    df = docs.select(key, text.alias("text"))
     df = df.select("doc_id", "text", words_of(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     df = df.withColumn("hashes", F.expr("CASE WHEN size(w) >= 4 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END"))
     stop = rf"(?i)(?<![^\x20\x09-\x0D])(?:{'|'.join(STOP_WORDS)})(?=[.,;:]?(?:[\x20\x09-\x0D]|$))"
@@ -89,8 +90,18 @@ def verdict(rules: tuple[Rule, ...]) -> Column:
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: the counts, base_failed and kept."""
+    return _judged(counts(docs), rules)
+
+
+def _judged(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return counts(docs).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return df.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs without the rows that the rules reject, all columns as they are."""
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    return _judged(counts(docs, row), rules).where("kept").select(*(F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns))
 
 
 def _sql_rules(rules: tuple[Rule, ...]) -> str:

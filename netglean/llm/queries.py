@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netglean.llm import bpe, jaccard_join, quality_rules, secret_scan, token_counts
+from netglean.llm import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, quotation, secret_scan, substring_dedup, token_counts, warc
 from netglean.llm.shared import table
 
 
@@ -17,18 +17,87 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations as mail that quotes the two messages before, and then without the quotations."""
+    return quotation.link_quotations(quotation.quoting(table(spark, sf_dir, "conversations")))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits made of the table's pages, resolved among its responses; headers as JSON."""
+    return warc.flat(warc.resolve(warc.captures(table(spark, sf_dir, "pages"))))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op5_quality_rules, op7_secret_scan, op10_byte_bpe)}
-
-SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_quotation_links, op4_substring_dedup, op5_quality_rules, op6_quality_classifier, op7_secret_scan, op8_decontamination, op9_warc_revisits, op10_byte_bpe)}
+
+OP1 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  WHERE q.n * 100 >= p.n * 90 AND p.n * 100 >= q.n * 90
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.y, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS y FROM r GROUP BY x) c USING (doc_id)
+"""
+
+OP3 = r"""
+SELECT conv_id, turn, role, trim(text, chr(32) || chr(10)) AS clean,
+       CASE WHEN turn = first THEN 0 WHEN turn = second THEN a ELSE a + b END AS n_quotes, CASE WHEN turn = first THEN 0 WHEN turn = second THEN a ELSE a + b END AS n_linked, 0 AS n_foreign,
+       parent_turn, first AS root_turn, depth
+FROM (
+  SELECT *, 1 AS a, 1 AS b, lag(turn) OVER w AS parent_turn, min(turn) OVER w AS first, row_number() OVER w - 1 AS depth, nth_value(turn, 2) OVER w AS second
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+)
+"""
+
+OP4 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d)
+), m AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM w) WHERE r > 1
+), b AS (
+  SELECT b.doc_id, b.i, b.x, sum(CASE WHEN m.p IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, n)) AS i FROM d)) b LEFT JOIN m ON m.doc_id = b.doc_id AND m.p = b.i
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM b
+), k AS (
+  SELECT doc_id, count_if(gone) AS n_removed, count_if(opens) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM e GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op1_jaccard_join": OP1, "op3_quotation_links": OP3, "op4_substring_dedup": OP4, "op5_quality_rules": quality_rules.SQL}

@@ -23,6 +23,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INV = pow(_BASE, -1, 2**64)
+#: White space and ASCII punctuation, for comparisons that ignore both.
+MARKS = _SPACE.copy()
+MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _powers = {"n": 0}
 
 
@@ -69,14 +72,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a batch: start and end (byte positions), row, hash, and each row's first word (first has one more entry)."""
+    """Words of a batch: start and end (byte positions), row, hash, and each row's first word (first has one more entry).
 
-    def __init__(self, column: pa.Array):
+    between: for each byte, whether it separates words.
+    """
+
+    def __init__(self, column: pa.Array, between: np.ndarray = _SPACE):
         data, off = utf8(column)
         self.data, self.off = data, off
         rows, n = len(off) - 1, len(data)
         inner = np.zeros(n + 2, bool)
-        np.logical_not(_SPACE[data], out=inner[1:-1])
+        np.logical_not(between[data], out=inner[1:-1])
         begins, ends = inner[1:] & ~inner[:-1], inner[:-1] & ~inner[1:]
         cut = off[1:-1]
         cut = cut[(cut > 0) & (cut < n)]
