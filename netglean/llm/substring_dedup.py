@@ -374,11 +374,11 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     long = own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_buckets = 4 * buckets(spark, total // 40, 4 * BUCKET)
+    n_buckets = buckets(spark, total // 40, BUCKET)
     marks = shared_seeds(long, length, seed, n_buckets, hot).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
-    some = save(long.join(marks, "doc_id"), "shared")
+    some = save(long.join(marks.hint("merge"), "doc_id"), "shared")
     amount = some.agg(F.coalesce(F.sum(F.aggregate("marks", F.lit(0), lambda a, x: a + F.octet_length(x))), F.lit(0))).first()[0] // 4 * (length + 40)
-    sent = some.mapInArrow(send_segments(length, seed, n_sort := 4 * buckets(spark, int(amount), 4 * BUCKET_BYTES)), "bucket int, doc_id long, runs binary, data binary, count binary, seed binary, doc binary, start binary")
+    sent = some.mapInArrow(send_segments(length, seed, buckets(spark, int(amount), BUCKET_BYTES)), "bucket int, doc_id long, runs binary, data binary, count binary, seed binary, doc binary, start binary")
     sent = save(sent, "segments")
     found = sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(sort_bucket(length), "doc_id long, runs binary")
     runs = found.union(sent.where("bucket IS NULL").select("doc_id", "runs")).groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
@@ -397,7 +397,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
                 kept.append(left if with_text else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    less = some.select("doc_id", "text").dropDuplicates(["doc_id"]).join(runs, "doc_id").mapInArrow(cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    less = some.select("doc_id", "text").dropDuplicates(["doc_id"]).join(runs.hint("merge"), "doc_id").mapInArrow(cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     less = save(less.withColumnRenamed("kept_sha256", "sha"), "cut")
     forget(some, sent)
     whole = [F.col("text").cast("binary").alias("whole")] * with_text
