@@ -300,7 +300,7 @@ def cell_links(members: DataFrame, docs: DataFrame, k: int, t: Threshold, n_bins
             vs.append(doc[at[v]])
         return pa.table({"u": pa.array(np.concatenate(us), pa.int64()), "v": pa.array(np.concatenate(vs), pa.int64())})
 
-    got = docs.join(members, "doc_id").select("doc_id", "text", "cells")
+    got = docs.join(members.hint("merge"), "doc_id").select("doc_id", "text", "cells")
     got = got.mapInArrow(with_sets, "doc_id long, cells array<struct<cell: long, side: int>>, tokens binary")
     got = got.select("doc_id", "tokens", F.explode("cells").alias("c")).select("doc_id", "tokens", "c.cell", "c.side")
     return got.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(n_bins))).groupBy("bin").applyInArrow(solve, "u long, v long")
@@ -313,7 +313,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     own = save(sets(docs, k), "sets")
     classes = own.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n_buckets = max(4 * buckets(spark, 0, 1), 4 * (den - num) * total // (num + den) // BUCKET)
+    n_buckets = buckets(spark, 4 * (den - num) * total // (num + den), BUCKET)
     copies = own.where("n > 0").join(classes, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     near = connected_components(shared_keys(docs, k, t, n_buckets).union(copies), "blocks")
     # the representatives in each block, and for large blocks the pairs of pages
@@ -327,7 +327,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
           transform(sequence(0L, pages - 1), q -> struct(xxhash64(block, least(page, q), greatest(page, q)) AS cell, CAST(page > q AS INT) AS side)) END""")
     members = members.select(F.col("node").alias("doc_id"), cells.alias("cells"))
     amount = sizes.agg(F.coalesce(F.sum(F.col("tokens") * pages), F.lit(0))).first()[0]
-    links = connected_components(cell_links(members, docs, k, t, 4 * buckets(spark, int(amount), 4_000_000)), "links")
+    links = connected_components(cell_links(members, docs, k, t, buckets(spark, int(amount), 1_000_000)), "links")
     forget(blocks)
     out = own.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").join(links.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
