@@ -37,7 +37,7 @@ def priorities(frames: Column) -> Column:
 
 
 def pseudo_letter(name: Column) -> Column:
-    return F.when(name == ":method", "m").when(name == ":path", "p").when(name == ":authority", "a").when(name == ":scheme", "s").when(name == ":status", "st").otherwise(F.concat(F.lit("?"), F.ltrim(F.lit(":"), name)))
+    return F.when(name == ":method", "m").when(name == ":path", "p").when(name == ":authority", "a").when(name == ":scheme", "s").when(name == ":status", "st").otherwise(F.concat(F.lit("?"), F.regexp_replace(name, "^:+", "")))
 
 
 def text(settings_: Column, window_: Column, priorities_: Column, pseudo: Column) -> Column:
@@ -50,5 +50,6 @@ def text(settings_: Column, window_: Column, priorities_: Column, pseudo: Column
 
 def fingerprint(frames: Column, pseudo: Column) -> Column:
     """STRUCT<text, hash>; null without settings. pseudo: names of the pseudo-headers, in order."""
-    t = text(settings(frames), window(frames), priorities(frames), pseudo)
-    return F.when(settings(frames).isNotNull(), F.struct(t.alias("text"), F.substring(F.sha2(t.cast("binary"), 256), 1, 32).alias("hash")))
+    named = lambda t: F.struct(t.alias("text"), F.substring(F.sha2(t.cast("binary"), 256), 1, 32).alias("hash"))
+    of = lambda f: F.when(settings(f).isNotNull(), octets.let(text(settings(f), window(f), priorities(f), pseudo), named))
+    return octets.let(frames, of)

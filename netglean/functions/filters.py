@@ -140,4 +140,5 @@ class FilterConfig:
         both = F.lit(True)
         for f in self.filters:
             both = both & (f.match(sport, dport) if isinstance(f, PortFilter) else f.match(src, dst))
-        return F.coalesce(both if self.mode == "allow" else ~both, F.lit(True))
+        unknown = src.isNull() | dst.isNull() | sport.isNull() | dport.isNull()
+        return unknown | (both if self.mode == "allow" else ~both)

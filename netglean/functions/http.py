@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from netglean.functions import languages
+from netglean.functions.octets import let
 
 #: Headers that may be missing, whose values don't count, and that are expected; methods; limits.
 REQUEST_OPTIONAL = ("Cookie", "Referer", "Origin", "Range", "If-Modified-Since", "If-None-Match", "Via", "X-Forwarded-For", "Authorization", "Proxy-Authorization", "Cache-Control")
@@ -50,18 +51,24 @@ def parsed(text: Column, request: bool) -> Column:
 
     Null before the blank line has come, or when limits are passed. Requests' Cookie and Referer are taken out of the list of headers.
     """
-    lines = F.split(F.regexp_replace(_head(text), "\r\n", "\n"), "\n")
+    return let(F.split(F.regexp_replace(_head(text), "\r\n", "\n"), "\n"), lambda lines: let(_pairs(lines), lambda pairs: _message(lines, pairs, request)))
+
+
+def _pairs(lines: Column) -> Column:
     rest = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    pairs = F.transform(rest, lambda x, i: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.substr(x, F.locate(":", x) + 1)).alias("value"), i.alias("position"), (F.locate(":", x) > 0).alias("ok")))
+    return F.transform(rest, lambda x, i: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.substr(x, F.locate(":", x) + 1)).alias("value"), i.alias("position"), (F.locate(":", x) > 0).alias("ok")))
+
+
+def _message(lines: Column, pairs: Column, request: bool) -> Column:
     good = F.filter(pairs, lambda p: p["ok"] & (p["name"] != ""))
     bare = F.transform(good, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), p["position"].alias("position")))
     kept = F.filter(bare, lambda p: ~F.lower(p["name"]).isin("cookie", "referer")) if request else bare
     lower = F.transform(bare, lambda p: F.lower(p["name"]))
-    fits = (F.size(rest) <= MOST_HEADERS) & ~F.exists(lines, lambda x: F.octet_length(x) > MOST_LINE)
+    fits = (F.size(pairs) <= MOST_HEADERS) & ~F.exists(lines, lambda x: F.octet_length(x) > MOST_LINE)
     cookie = first_value(bare, "cookie")
     cookies = F.filter(F.transform(F.split(F.coalesce(cookie, F.lit("")), ";"), lambda c: F.trim(c)), lambda c: c != "")
     pairs_of = F.transform(cookies, lambda c, i: F.struct(F.trim(F.substring_index(c, "=", 1)).alias("name"), F.when(F.locate("=", c) > 0, F.trim(F.substr(c, F.locate("=", c) + 1))).alias("value"), i.alias("position")))
-    out = F.struct(F.split(F.trim(F.get(lines, F.lit(0))), r"[ \t]+").alias("first"), kept.alias("headers"), pairs_of.alias("cookies"), first_value(bare, "referer").alias("referer"), (F.size(good) < F.size(rest)).alias("malformed"), (F.size(lower) > F.size(F.array_distinct(lower))).alias("duplicates"), F.size(bare).alias("header_count"))
+    out = F.struct(F.split(F.trim(F.get(lines, F.lit(0))), r"[ \t]+").alias("first"), kept.alias("headers"), pairs_of.alias("cookies"), first_value(bare, "referer").alias("referer"), (F.size(good) < F.size(pairs)).alias("malformed"), (F.size(lower) > F.size(F.array_distinct(lower))).alias("duplicates"), F.size(bare).alias("header_count"))
     return F.when(lines.isNotNull() & fits, out)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _col(x: Column | int) -> Column:
     return F.lit(x) if isinstance(x, int) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cut(data: Column, at: Column | int, n: Column | int) -> Column:
     """n bytes from position at (from 0)."""
     return F.substr(data, _col(at) + 1, _col(n))
@@ -45,10 +52,14 @@ def ipv4(data: Column, at: Column | int) -> Column:
 
 def ipv6(data: Column, at: Column | int) -> Column:
     """The shortest text of an IPv6 address: the first longest run of two or more zero groups becomes '::'."""
-    groups = F.concat_ws(":", *(F.lower(F.conv(F.hex(cut(data, _col(at) + 2 * i, 2)), 16, 16)) for i in range(8)))
-    out = groups
-    for n in range(2, 9):  # longer runs override shorter ones
-        run = ":".join(["0"] * n)
-        pattern = rf"^(.*?)(?:^|:){run}(?:$|:)"
-        out = F.when(groups.rlike(rf"(?:^|:){run}(?:$|:)"), F.regexp_replace(groups, rf"^((?:[0-9a-f]+:)*?){run}(?:$|:)(.*)$", "$1::$2")).otherwise(out)
-    return F.regexp_replace(out, ":::", "::")
+    text = F.lower(F.hex(cut(data, at, 16)))
+    groups = let(text, lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(h, i * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":"))
+
+    def shortest(g: Column) -> Column:
+        out = g
+        for n in range(2, 9):  # longer runs override shorter ones
+            run = ":".join(["0"] * n)
+            out = F.when(g.rlike(rf"(?:^|:){run}(?:$|:)"), F.regexp_replace(g, rf"^((?:[0-9a-f]+:)*?){run}(?:$|:)(.*)$", "$1::$2")).otherwise(out)
+        return F.regexp_replace(out, ":::", "::")
+
+    return F.when(F.length(text) == 32, let(groups, shortest))

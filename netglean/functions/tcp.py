@@ -104,14 +104,15 @@ def options(raw: Column, syn: Column | bool = True) -> Column:
     STRUCT<layout, mss, wscale, quirks, ts, malformed>: ts is STRUCT<val, ecr>; quirks come from options, in the order met. Beyond a
     length that doesn't fit the walk goes on at the end and malformed is set. syn: whether a peer's timestamp is out of place. A header has at most 40 option bytes, so the fold is bounded.
     """
-    b = octets.octets(raw)
     kind = "STRUCT<layout: ARRAY<STRING>, mss: INT, wscale: INT, quirks: ARRAY<STRING>, val: BIGINT, ecr: BIGINT, malformed: BOOLEAN, skip: INT>"
     zero = F.struct(
         F.array().cast("array<string>").alias("layout"), F.lit(None).cast("int").alias("mss"), F.lit(None).cast("int").alias("wscale"), F.array().cast("array<string>").alias("quirks"),
         F.lit(None).cast("long").alias("val"), F.lit(None).cast("long").alias("ecr"), F.lit(False).alias("malformed"), F.lit(0).alias("skip"),
     )
-    state = F.aggregate(F.transform(b, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), zero.cast(kind), lambda a, e: F.when(e["i"] < a["skip"], a).otherwise(_option(b, a, e["i"], e["x"], F.lit(syn) if isinstance(syn, bool) else syn).cast(kind)))
-    return F.struct(state["layout"].alias("layout"), state["mss"].alias("mss"), state["wscale"].alias("wscale"), state["quirks"].alias("quirks"), F.when(state["val"].isNotNull(), F.struct(state["val"].alias("val"), state["ecr"].alias("ecr"))).alias("ts"), state["malformed"].alias("malformed"))
+    syn = F.lit(syn) if isinstance(syn, bool) else syn
+    walk = lambda b: F.aggregate(F.transform(b, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), zero.cast(kind), lambda a, e: F.when(e["i"] < a["skip"], a).otherwise(_option(b, a, e["i"], e["x"], syn).cast(kind)))
+    named = lambda state: F.struct(state["layout"].alias("layout"), state["mss"].alias("mss"), state["wscale"].alias("wscale"), state["quirks"].alias("quirks"), F.when(state["val"].isNotNull(), F.struct(state["val"].alias("val"), state["ecr"].alias("ecr"))).alias("ts"), state["malformed"].alias("malformed"))
+    return octets.let(octets.let(octets.octets(raw), walk), named)
 
 
 def _option(b: Column, a: Column, i: Column, x: Column, syn: Column) -> Column:

@@ -27,21 +27,27 @@ def datalink_format(data: Column) -> Column:
     return F.when((n >= 24) & (octets.u16(data, 0) == 0x1E00), "null").when((n >= 20) & raw, "raw_ip").when((n >= 34) & ether, "ethernet")
 
 
+def _once(df: DataFrame, value: Column, name: str, keep: list[str], all_rows: bool = False) -> DataFrame:
+    """df with value as a column that later expressions read but never repeat; rows without one drop out unless all_rows. A filter above doesn't pull it apart."""
+    some = F.array(value) if all_rows else F.array_compact(F.array(value))
+    return df.select(*keep, F.explode(some).alias(name))
+
+
 def endpoints(packets: DataFrame) -> DataFrame:
     """packets with src, dst, sport and dport for filters, null where a packet isn't plainly TCP."""
-    data = F.col("data")
+    data, columns = F.col("data"), packets.columns
     n, kind, nibble, family = F.octet_length(data), octets.u16(data, 12), F.floor(octets.u8(data, 0) / 16), octets.u8(data, 0)
     at = F.when((n >= 14) & kind.isin(ETHERNET_V4, ETHERNET_V6), 14).when(nibble.isin(4, 6), 0).when(family.isin(2, 28, 30), 4)
-    df = packets.withColumn("_o", at)
+    df = _once(packets, at, "_o", columns, True)
     o = F.col("_o")
-    df = df.withColumn("_v", F.floor(octets.u8(data, o) / 16)).withColumn("_words", octets.u8(data, o).bitwiseAND(15))
-    ok4 = (F.col("_v") == 4) & (octets.u8(data, o + 9) == TCP) & (F.col("_words") >= 5)
-    ok6 = (F.col("_v") == 6) & (octets.u8(data, o + 6) == TCP)
-    t = F.when(ok4, o + F.col("_words") * 4).when(ok6, o + 40)
-    df = df.withColumn("_t", F.when(octets.u16(data, t + 2).isNotNull(), t))
+    df = _once(df, F.struct(F.floor(octets.u8(data, o) / 16).alias("v"), octets.u8(data, o).bitwiseAND(15).alias("words"), octets.u8(data, o + 9).alias("p4"), octets.u8(data, o + 6).alias("p6")), "_ip", [*columns, "_o"], True)
+    v, words = F.col("_ip.v"), F.col("_ip.words")
+    t = F.when((v == 4) & (F.col("_ip.p4") == TCP) & (words >= 5), o + words * 4).when((v == 6) & (F.col("_ip.p6") == TCP), o + 40)
+    df = _once(df, F.when(F.octet_length(data) >= t + 4, t), "_t", [*columns, "_o", "_ip"], True)
     known = F.col("_t").isNotNull()
-    side = lambda a, b: F.when(known & ok4, octets.ipv4(data, o + a)).when(known & ok6, octets.ipv6(data, o + b))
-    return df.select(*packets.columns, side(12, 8).alias("src"), side(16, 24).alias("dst"), octets.u16(data, F.col("_t")).alias("sport"), octets.u16(data, F.col("_t") + 2).alias("dport"))
+    side = lambda a, b: F.when(known, F.when(v == 4, octets.ipv4(data, o + a)).otherwise(octets.ipv6(data, o + b)))
+    ends = F.struct(side(12, 8).alias("src"), side(16, 24).alias("dst"), octets.u16(data, F.col("_t")).alias("sport"), octets.u16(data, F.col("_t") + 2).alias("dport"))
+    return _once(df, ends, "_ends", columns, True).select(*columns, "_ends.*")
 
 
 def apply_filter(packets: DataFrame, config: FilterConfig) -> DataFrame:
@@ -54,30 +60,32 @@ def apply_filter(packets: DataFrame, config: FilterConfig) -> DataFrame:
 def decode(packets: DataFrame) -> DataFrame:
     """One row for each valid TCP segment of packets (capture, packet_no, ts, data): addresses, header fields, option bytes and payload."""
     keep = ["capture", "packet_no", "ts"]
-    data = F.col("data")
-    df = packets.select(*keep, "data", ip_offset(data).alias("o")).where("o IS NOT NULL")
-    o = F.col("o")
-    df = df.withColumn("b0", octets.u8(data, o)).withColumn("ip_version", F.floor(F.col("b0") / 16).cast("int")).where("ip_version IN (4, 6)")
-    v4 = F.col("ip_version") == 4
+    data, o = F.col("data"), F.col("o")
+    df = _once(packets, ip_offset(data), "o", [*keep, "data"])
+    df = _once(df, F.when(F.floor(octets.u8(data, o) / 16).isin(4, 6), octets.u8(data, o)), "b0", [*keep, "data", "o"])
+    v4 = F.col("b0") < 80
     pick = lambda a, b: F.when(v4, a).otherwise(b)
-    df = df.select(
-        *keep, "data", "o", "ip_version", F.when(v4, F.col("b0").bitwiseAND(15)).alias("words"),
+    ip = F.struct(
+        F.when(v4, 4).otherwise(6).alias("ip_version"), F.when(v4, F.col("b0").bitwiseAND(15)).alias("words"),
         pick(octets.u8(data, o + 9), octets.u8(data, o + 6)).alias("proto"), pick(octets.u8(data, o + 8), octets.u8(data, o + 7)).alias("ttl"),
         F.when(v4, octets.u16(data, o + 6)).alias("frag"), F.when(v4, octets.u16(data, o + 4)).alias("ident"),
         pick(octets.u8(data, o + 1).bitwiseAND(3), F.shiftright(octets.u16(data, o), 4).bitwiseAND(3)).alias("ecn"), F.when(~v4, octets.u32(data, o).bitwiseAND(0xFFFFF)).alias("flow"),
         pick(octets.ipv4(data, o + 12), octets.ipv6(data, o + 8)).alias("src"), pick(octets.ipv4(data, o + 16), octets.ipv6(data, o + 24)).alias("dst"),
-        (o + pick(octets.u16(data, o + 2), octets.u16(data, o + 4) + 40)).alias("stop"),
+        (o + pick(octets.u16(data, o + 2), octets.u16(data, o + 4) + 40)).alias("stop"), (o + pick(F.col("b0").bitwiseAND(15) * 4, F.lit(40))).alias("t"),
+    )
+    df = _once(df, ip, "ip", [*keep, "data"])
+    df = df.where((F.col("ip.proto") == TCP) & F.coalesce((F.col("ip.frag").bitwiseAND(0x3FFF) == 0) & (F.col("ip.words") >= 5), F.col("ip.ip_version") == 6))
+    t = F.col("ip.t")
+    head = F.struct(
+        octets.u16(data, t).alias("sport"), octets.u16(data, t + 2).alias("dport"), F.shiftright(octets.u8(data, t + 12), 4).alias("words"), octets.u8(data, t + 13).alias("flags"), octets.u32(data, t + 4).alias("seq"), octets.u32(data, t + 8).alias("ack"),
+        octets.u16(data, t + 14).alias("window"), octets.u16(data, t + 18).alias("urgent"),
     )
-    df = df.where((F.col("proto") == TCP) & F.coalesce(F.col("frag").bitwiseAND(0x3FFF) == 0, ~v4) & F.coalesce(F.col("words") >= 5, ~v4))
-    df = df.withColumn("t", F.col("o") + pick(F.col("words") * 4, F.lit(40)))
-    t = F.col("t")
-    df = df.withColumn("tcp_header", F.shiftright(octets.u8(data, t + 12), 4) * 4).withColumn("flags", octets.u8(data, t + 13))
-    df = df.where(octets.u16(data, t + 18).isNotNull() & (F.col("tcp_header") >= 20) & tcp.valid_flags(F.col("flags")))
-    end = F.least(F.octet_length(data), F.greatest(F.col("stop"), t + F.col("tcp_header")))
+    df = _once(df, head, "h", [*keep, "data", "ip"]).where((F.col("h.words") >= 5) & F.col("h.urgent").isNotNull() & tcp.valid_flags(F.col("h.flags")))
+    size = F.col("h.words") * 4
+    end = F.least(F.octet_length(data), F.greatest(F.col("ip.stop"), t + size))
     return df.select(
-        *keep, "ip_version", "src", "dst", octets.u16(data, t).alias("sport"), octets.u16(data, t + 2).alias("dport"), "ttl", "words", "frag", "ident", "ecn", "flow", "tcp_header", "flags",
-        octets.u32(data, t + 4).alias("seq"), octets.u32(data, t + 8).alias("ack"), octets.u16(data, t + 14).alias("window"), octets.u16(data, t + 18).alias("urgent"),
-        octets.cut(data, t + 20, F.col("tcp_header") - 20).alias("option_bytes"), octets.cut(data, t + F.col("tcp_header"), F.greatest(end - t - F.col("tcp_header"), F.lit(0))).alias("payload"),
+        *keep, *(F.col(f"ip.{c}").alias(c) for c in ("ip_version", "src", "dst")), "h.sport", "h.dport", *(F.col(f"ip.{c}").alias(c) for c in ("ttl", "words", "frag", "ident", "ecn", "flow")), size.alias("tcp_header"),
+        *(F.col(f"h.{c}").alias(c) for c in ("flags", "seq", "ack", "window", "urgent")), octets.cut(data, t + 20, size - 20).alias("option_bytes"), octets.cut(data, t + size, F.greatest(end - t - size, F.lit(0))).alias("payload"),
     )
 
 
@@ -86,7 +94,7 @@ def observe(segments: DataFrame, standard_mtu: bool = False) -> DataFrame:
     c = F.col
     v4 = c("ip_version") == 4
     syn = c("flags").bitwiseAND(tcp.SYN | tcp.ACK | tcp.FIN | tcp.RST) == tcp.SYN
-    df = segments.withColumn("opt", tcp.options(c("option_bytes"), syn))
+    df = _once(segments, tcp.options(c("option_bytes"), syn), "opt", segments.columns)
     header = F.when(v4, c("words")).otherwise(40)
     ip_bytes = F.when(v4, c("words") * 4).otherwise(40)
     client = tcp.from_client(c("flags"))
@@ -99,5 +107,6 @@ def observe(segments: DataFrame, standard_mtu: bool = False) -> DataFrame:
         F.when(F.octet_length("payload") == 0, "0").otherwise("+").alias("payload"), F.when(client & c("opt.mss").isNotNull(), tcp.mtu(c("opt.mss"), ip_bytes, c("tcp_header"), standard_mtu)).alias("mtu"),
         c("opt.malformed").alias("malformed"), c("opt.ts").alias("tcp_ts"), tcp.uptime_role(c("flags"), c("sport"), c("dport")).alias("role"),
     )
+    df = _once(df, F.struct(*df.columns), "x", []).select("x.*")
     text = tcp.signature_text(c("version"), tcp.ttl_text(c("ttl")), c("olen"), c("mss"), tcp.window_text(c("window")), c("wscale"), c("layout"), c("quirks"), c("payload"))
     return df.withColumn("signature_text", text)
