@@ -157,10 +157,20 @@ def shared_keys(docs: DataFrame, k: int, t: Threshold, n_buckets: int) -> DataFr
         first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
         least = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else doc
         u, v = forest(np.concatenate((u, doc[~first])), np.concatenate((v, least[~first])))
+        part = (u.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)])) if len(order) else [0]
+        rows = [(int(part[order[a]]), u[order[a:b]].tobytes(), v[order[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+        return pa.table([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["part", "u", "v"])
+
+    def once(table: pa.Table) -> pa.Table:
+        u, v = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("u", "v"))
+        u, v = forest(u, v)  # what many buckets say of the same documents
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     sent = docs.mapInArrow(send, "bucket int, key binary, doc binary, u binary, v binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "u long, v long")
+    met = sent.groupBy("bucket").applyInArrow(meet, "part int, u binary, v binary")
+    return met.groupBy("part").applyInArrow(once, "u long, v long")
 
 
 class Tree:
