@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "capture string, packet_no long, ts timestamp, orig_len int, data binary"
 #: Magic numbers of the classic format, with the byte order and the fraction's unit.
@@ -65,35 +65,30 @@ class _Reader(DataSourceReader):
             yield partition.value, no, ts, orig, raw
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Each batch has the files whose names follow those already read."""
+class _StreamReader(DataSourceStreamReader):
+    """Each batch has the files whose names follow those already read, a partition for each."""
 
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
+    def __init__(self, path: str):
+        self.path = path
 
     def initialOffset(self) -> dict:
         return {"after": ""}
 
-    def _between(self, after: str, upto: str | None) -> list[str]:
-        return [f for f in _files(self.path) if f > after and (upto is None or f <= upto)]
+    def latestOffset(self) -> dict:
+        return {"after": max(_files(self.path), default="")}
 
-    def _rows(self, files: list[str]) -> Iterator[tuple]:
-        for f in files:
-            yield from _Reader(f).read(_File(f))
+    def partitions(self, start: dict, end: dict) -> list[_File]:
+        return [_File(f) for f in _files(self.path) if start["after"] < f <= end["after"]]
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = self._between(start["after"], None)[: self.most]
-        return self._rows(files), {"after": files[-1] if files else start["after"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(self._between(start["after"], end["after"]))
+    def read(self, partition: _File) -> Iterator[tuple]:
+        return _Reader(self.path).read(partition)
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class PcapSource(DataSource):
-    """Options: path (file or folder), maxFilesPerTrigger for streams (default 8)."""
+    """Option: path, a file or a folder."""
 
     @classmethod
     def name(cls) -> str:
@@ -105,8 +100,8 @@ class PcapSource(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> _StreamReader:
-        return _StreamReader(self.options["path"], int(self.options.get("maxFilesPerTrigger", "8")))
+    def streamReader(self, schema) -> _StreamReader:
+        return _StreamReader(self.options["path"])
 
 
 def register(spark: SparkSession) -> None:

@@ -6,13 +6,14 @@ org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider. Late r
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from netglean.functions import uptime
+from netglean.functions import http, uptime
 from netglean.operators import flows, wire
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -93,6 +94,9 @@ class TlsProcessor(_Expiring):
                     self.handle.registerTimer(since + flows.TLS_LIFE_MS)
 
 
+_STARTS = (re.compile(rb"(?:" + "|".join(http.METHODS).encode() + rb")[ \t]+\S+[ \t]+HTTP/1\.[01]"), re.compile(rb"HTTP/1\.[01][ \t]+\d{3}"))
+
+
 class HttpProcessor(_Expiring):
     """State: who opened the flow, and each side's segments until its headers are whole."""
 
@@ -112,7 +116,7 @@ class HttpProcessor(_Expiring):
             if r.payload and not s[side + 2] and len(s[side]) < flows.LEADING:
                 s[side] = sorted([(p[0], bytes(p[1])) for p in s[side]] + [(r.seq, bytes(r.payload))], key=lambda p: p[0])
                 whole = b"".join(p[1] for p in s[side])
-                if b"\r\n\r\n" in whole:
+                if b"\r\n\r\n" in whole and _STARTS[side == 3].match(whole):
                     s[side], s[side + 2] = [], True
                     yield Row(capture=r.capture, packet_no=r.packet_no, flow=key[0], side="request" if side == 2 else "response", bytes=whole)
             if s[4] and s[5]:
