@@ -107,7 +107,13 @@ def test_signature_tree(monkeypatch, bits):
     base = [rng.getrandbits(64) for _ in range(80)]
     own = [np.array(sorted({*rng.sample(base, 80 - e), *(rng.getrandbits(64) for _ in range(e))}), np.uint64) for e in (rng.randint(0, 20) for _ in range(90))]
     u, v = jaccard_join.link_cell(own, t)
-    a, b = jaccard_join.forest(*(np.array(x) for x in zip(*[(i, j) for i in range(90) for j in range(i) if 100 * len(c := np.intersect1d(own[i], own[j])) >= 80 * (len(own[i]) + len(own[j]) - len(c))])))
+    want = []
+    for i in range(90):
+        for j in range(i):
+            shared = len(np.intersect1d(own[i], own[j]))
+            if 100 * shared >= 80 * (len(own[i]) + len(own[j]) - shared):
+                want.append((i, j))
+    a, b = jaccard_join.forest(*map(np.array, zip(*want)))
     c, d = jaccard_join.forest(u, v)
     assert (a.tolist(), b.tolist()) == (c.tolist(), d.tolist())
 
