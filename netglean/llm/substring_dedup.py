@@ -207,7 +207,23 @@ class SuffixSort:
         return out
 
     def sort(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """at, sorted within each group (bounds has the groups' ends too): merges of runs of doubling width, all groups together."""
+        """at, sorted within each group (bounds has the groups' ends too): merges of runs of doubling width, all groups together; groups that are in order stay."""
+        if len(at) > 1:
+            inner = np.ones(len(at) - 1, bool)
+            inner[bounds[1:-1] - 1] = False
+            x = np.flatnonzero(inner)
+            x = x[self.compare(at[x], at[x + 1]) > 0]
+            wrong = np.zeros(len(bounds) - 1, bool)
+            wrong[np.searchsorted(bounds, x, "right") - 1] = True
+            if not wrong.all():
+                some = np.repeat(wrong, np.diff(bounds))
+                out = at.copy()
+                if wrong.any():
+                    out[some] = self.merge(at[some], np.concatenate(([0], np.cumsum(np.diff(bounds)[wrong]))))
+                return out
+        return self.merge(at, bounds)
+
+    def merge(self, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         at = at.copy()
         size = np.diff(bounds)
         first, n = np.repeat(bounds[:-1], size), np.repeat(size, size)
@@ -248,15 +264,18 @@ def repeated(data: np.ndarray, seg_at: np.ndarray, count: np.ndarray, seed: np.n
     at = ranges(seg_at, count)
     of = np.repeat(np.arange(len(count)), count)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    head = np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))[at].astype(np.uint64)
-    key = textkit.mix(seed[of] ^ textkit.mix(head))
-    order = np.argsort(key, kind="stable")
-    cut = groups(key[order])
-    keep = np.repeat(np.diff(cut) > 1, np.diff(cut))
-    order, key = order[keep], key[order][keep]
-    if not len(order):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     sorter = SuffixSort(data, length)
+    # suffixes whose whole hash no other has equal nothing and needn't be sorted
+    whole = sorter.hash(at, length)
+    order = np.argsort(whole)
+    cut = groups(whole[order])
+    keep = np.sort(order[np.repeat(np.diff(cut) > 1, np.diff(cut))])
+    if not len(keep):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    head = np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))[at[keep]].astype(np.uint64)
+    key = textkit.mix(seed[of[keep]] ^ textkit.mix(head))
+    order = np.argsort(key, kind="stable")
+    order, key = keep[order], key[order]
     position = at[order]
     bounds = groups(key)
     ranked = sorter.sort(position, bounds)
