@@ -3,11 +3,14 @@
 1. Every document's set of shingle hashes gets its size and a hash of 128 bits; equal sets form a class,
    represented by its least doc_id.
 2. Sizes are dealt into bands so that linked sets lie in one band or in two adjacent ones. Two sets that link, the larger in band b,
-   differ in at most k(b) shingles. So if the space of hashes is cut into k(b) + 2 ranges, the two sets agree
-   on at least two of them, and on one that isn't empty unless both have two empty ranges. A set's content in a range, with
-   band and range, is hashed into a key. Sets with equal keys may link; a frequent passage alone makes no equal keys,
-   as a range holds shingles from all over a text. Each batch sends a key once and keeps a spanning forest of what its sets share.
-3. The components of sets that share keys, a superset of the result's, are blocks. Their sets are brought together,
+   differ in at most k(b) shingles. So if the space of hashes is cut into a ring of k(b) + r ranges, there are at least r ranges
+   from which on, for every length l, the two sets differ in fewer than l shingles over l ranges (the cycle lemma). There the first
+   range agrees, and over CHAIN ranges fewer than CHAIN shingles differ. A range's content, with band and range, is hashed
+   into a key; a signature of 64 parity bits stands for the chain of ranges that it begins. Sets may link if they have an equal key whose
+   signatures differ in fewer than CHAIN bits; a frequent passage alone brings that about in hardly any pair. Empty ranges are left out
+   unless a set has r of them. Each batch sends equal keys and signatures once, gathers many close signatures of a key
+   under one with a radius, and keeps a spanning forest of what its sets share.
+3. The components of sets that may link, a superset of the result's, are blocks. Their sets are brought together,
    blocks of more than CELL sets as pairs of pages.
 4. In each cell, a signature tree's leaves are the sets' token bitmaps, ordered by their least hashes; inner nodes hold the OR of
    their children's bitmaps and the range of their sizes. Going down two nodes at a time, a pair of nodes is pruned when
@@ -42,6 +45,8 @@ FLUSH, BUCKET = 1_000_000, 400_000
 #: Most sets that a page of a large block has, and bits of a cell's bitmaps.
 CELL, BITS = 6000, 16384
 FANOUT = 8
+#: Ranges that a signature covers; signatures of a key in a batch beyond which those within RADIUS bits are gathered.
+CHAIN, MANY, RADIUS = 8, 64, 3
 
 
 class Threshold:
@@ -70,23 +75,106 @@ def _ranges(m: int) -> np.ndarray:
     return np.array([i * 2**64 // m for i in range(1, m)], np.uint64)
 
 
-def keys_of(s: np.ndarray, t: Threshold) -> np.ndarray:
-    """A sorted set's keys."""
-    own, out = t.band(len(s)), []
-    total = None
+def keys_of(s: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted set's keys, and the signature of the chain of ranges that each begins."""
+    own, keys, sigs = t.band(len(s)), [], []
+    total = parity = None
     for band in (own, own + 1):
         k = t.differ(band)
         if not k:
             continue
         if total is None:
-            total = np.zeros(len(s) + 1, np.uint64)
+            total, parity = np.zeros(len(s) + 1, np.uint64), np.zeros(len(s) + 1, np.uint64)
             np.cumsum(textkit.mix(s ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
-        at = np.concatenate(([0], np.searchsorted(s, _ranges(k + 2)), [len(s)]))
-        salt = np.arange(k + 2, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(band * 0x2545F4914F6CDD1D % 2**64)
+            np.bitwise_xor.accumulate(np.uint64(1) << (s & np.uint64(63)), out=parity[1:])
+        spare = 2 + k // 32
+        m = k + spare
+        at = np.concatenate(([0], np.searchsorted(s, _ranges(m)), [len(s)]))
+        salt = np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(band * 0x2545F4914F6CDD1D % 2**64)
         key = textkit.mix(textkit.mix(total[at[1:]] - total[at[:-1]]) + salt)
+        stop = np.arange(m) + min(CHAIN, m)
+        around = np.where(stop > m, parity[-1], np.uint64(0))
+        sig = parity[at[np.where(stop > m, stop - m, stop)]] ^ parity[at[:-1]] ^ around
         full = at[1:] > at[:-1]
-        out.append(key[full] if (~full).sum() <= 1 else key)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        if (~full).sum() < spare:
+            key, sig = key[full], sig[full]
+        keys.append(key)
+        sigs.append(sig)
+    none = np.zeros(0, np.uint64)
+    return (np.concatenate(keys), np.concatenate(sigs)) if keys else (none, none)
+
+
+class Marks:
+    """Rows (key, signature, radius, document): the documents of a row lie within its radius of its signature."""
+
+    def __init__(self, key: np.ndarray, sig: np.ndarray, radius: np.ndarray, doc: np.ndarray):
+        order = np.lexsort((doc, sig, key))
+        key, sig, radius, doc = key[order], sig[order], radius[order], doc[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])
+        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        self.edges = [(doc[~first], least[~first])]
+        self.radius = np.maximum.reduceat(radius, np.flatnonzero(first)) if len(key) else radius
+        self.key, self.sig, self.doc = key[first], sig[first], doc[first]
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each key's rows."""
+        start = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1]))) if len(self.key) else np.zeros(0, np.int64)
+        return start, np.diff(np.append(start, len(self.key)))
+
+    def gather(self) -> None:
+        """Of keys with many rows, those within RADIUS of a leader become one with it."""
+        keep = np.ones(len(self.key), bool)
+        for a, n in zip(*(x.tolist() for x in self.groups())):
+            if n <= MANY:
+                continue
+            rest = np.arange(a, a + n)
+            while len(rest):
+                far = np.bitwise_count(self.sig[rest] ^ self.sig[rest[0]])
+                near = far <= RADIUS
+                mine = rest[near]
+                self.radius[mine[0]] = max(int(far[near].max()), int(self.radius[mine[0]]))
+                keep[mine[1:]] = False
+                self.edges.append((self.doc[mine[1:]], np.full(len(mine) - 1, self.doc[mine[0]])))
+                rest = rest[~near]
+        self.key, self.sig, self.radius, self.doc = (x[keep] for x in (self.key, self.sig, self.radius, self.doc))
+
+    def match(self) -> None:
+        """Edges between the rows of one key that may stand for linked sets."""
+        start, size = self.groups()
+        radius = self.radius.astype(np.int64)
+        for n in np.unique(size[(size > 1) & (size <= MANY)]).tolist():
+            i, j = np.triu_indices(n, 1)
+            of = start[size == n]
+            step = max(1, 2_000_000 // len(i))
+            for a in range(0, len(of), step):
+                x, y = ((of[a : a + step, None] + k).ravel() for k in (i, j))
+                ok = np.bitwise_count(self.sig[x] ^ self.sig[y]) < CHAIN + radius[x] + radius[y]
+                self.edges.append((self.doc[x[ok]], self.doc[y[ok]]))
+        for a, n in zip(start[size > MANY].tolist(), size[size > MANY].tolist()):
+            rest = np.arange(a, a + n)
+            while len(rest):
+                todo, rest = [rest[0]], rest[1:]
+                while todo and len(rest):
+                    x = todo.pop()
+                    near = np.bitwise_count(self.sig[rest] ^ self.sig[x]) < CHAIN + radius[x] + radius[rest]
+                    if near.any():
+                        mine, rest = rest[near], rest[~near]
+                        todo.extend(mine.tolist())
+                        self.edges.append((self.doc[mine], np.full(len(mine), self.doc[x])))
+
+    def forest(self, *more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        u, v = (np.concatenate(x) for x in zip(*self.edges, *more))
+        return forest(u[u != v], v[u != v])
+
+
+def _packed(part: np.ndarray, *columns: np.ndarray) -> dict[int, tuple[bytes, ...]]:
+    """The columns' bytes for each part."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else part
+    columns = [c[order] for c in columns]
+    return {int(part[a]): tuple(c[a:b].tobytes() for c in columns) for a, b in zip(start, np.append(start[1:], len(part)))}
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
@@ -102,36 +190,29 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shared_keys(docs: DataFrame, k: int, t: Threshold, n_buckets: int) -> DataFrame:
-    """Edges (u, v) between documents that share keys: for each bucket of keys a spanning forest."""
+    """Edges (u, v) between documents that may link by their keys and signatures: for each bucket of keys a spanning forest."""
+    types = {"key": np.uint32, "sig": np.uint64, "radius": np.uint8, "doc": np.int64, "u": np.int64, "v": np.int64}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            key = np.concatenate([x[0] for x in held])
-            doc = np.concatenate([x[1] for x in held])
+            key, sig, doc = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            least = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-            u, v = forest(doc[~first], least[~first])
-            key, doc = key[first], doc[first]
-            rows = []
-            for where, x, y in ((key % np.uint64(n_buckets), key.view(np.int64), doc), (v.view(np.uint64) % np.uint64(n_buckets), u, v)):
-                order = np.argsort(where, kind="stable")
-                x, y, where = x[order], y[order], where[order]
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1, [len(where)])) if len(where) else [0]
-                rows.append({int(where[a]): (x[a:b].tobytes(), y[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])})
-            ids = sorted({*rows[0], *rows[1]})
-            both = [[r.get(i, (b"", b""))[j] for i in ids] for r in rows for j in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in both)], ["bucket", "key", "doc", "u", "v"])
+            marks = Marks(key, sig, np.zeros(len(key), np.uint8), doc)
+            marks.gather()
+            u, v = marks.forest()
+            n = np.uint64(n_buckets)
+            keys = _packed(marks.key % n, (marks.key >> np.uint64(32)).astype(np.uint32), marks.sig, marks.radius, marks.doc)
+            edges = _packed(v.view(np.uint64) % n, u, v)
+            ids = sorted({*keys, *edges})
+            both = [keys.get(i, (b"",) * 4) + edges.get(i, (b"",) * 2) for i in ids]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*both))], ["bucket", *types])
 
         size = 0
         for b in textkit.pieces(batches):
             own = textkit.unique_sets(*textkit.Words(b.column("text")).shingles(k))
             seen = set()
-            ks, ds = [], []
             for doc, s in zip(b.column("doc_id").to_pylist(), own):
                 if doc is None or not len(s):
                     continue
@@ -139,11 +220,9 @@ def shared_keys(docs: DataFrame, k: int, t: Threshold, n_buckets: int) -> DataFr
                 if h in seen:
                     continue
                 seen.add(h)
-                ks.append(keys_of(s, t))
-                ds.append(np.full(len(ks[-1]), doc, np.int64))
-            if ks:
-                held.append((np.concatenate(ks), np.concatenate(ds)))
-                size += len(held[-1][0])
+                key, sig = keys_of(s, t)
+                held.append((key, sig, np.full(len(key), doc, np.int64)))
+                size += len(key)
             if size >= FLUSH:
                 yield flush()
                 size = 0
@@ -151,24 +230,19 @@ def shared_keys(docs: DataFrame, k: int, t: Threshold, n_buckets: int) -> DataFr
             yield flush()
 
     def meet(table: pa.Table) -> pa.Table:
-        key, doc, u, v = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("key", "doc", "u", "v"))
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-        least = doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))] if len(key) else doc
-        u, v = forest(np.concatenate((u, doc[~first])), np.concatenate((v, least[~first])))
-        part = (u.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)])) if len(order) else [0]
-        rows = [(int(part[order[a]]), u[order[a:b]].tobytes(), v[order[a:b]].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], ["part", "u", "v"])
+        key, sig, radius, doc, u, v = (np.frombuffer(b"".join(table.column(c).to_pylist()), d) for c, d in types.items())
+        marks = Marks(key, sig, radius, doc)
+        marks.match()
+        u, v = marks.forest((u, v))
+        rows = _packed(u.view(np.uint64) % np.uint64(n_buckets), u, v)
+        return pa.table([pa.array(list(rows), pa.int32()), *(pa.array([r[i] for r in rows.values()], pa.binary()) for i in (0, 1))], ["part", "u", "v"])
 
     def once(table: pa.Table) -> pa.Table:
         u, v = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("u", "v"))
         u, v = forest(u, v)  # what many buckets say of the same documents
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    sent = docs.mapInArrow(send, "bucket int, key binary, doc binary, u binary, v binary")
+    sent = docs.mapInArrow(send, "bucket int, " + ", ".join(f"{c} binary" for c in types))
     met = sent.groupBy("bucket").applyInArrow(meet, "part int, u binary, v binary")
     return met.groupBy("part").applyInArrow(once, "u long, v long")
 

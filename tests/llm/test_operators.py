@@ -254,3 +254,32 @@ def test_pipeline(spark):
     whole = [(i, t) for i, t in zip(d.doc_id, d.text) if secrets_plain(t)[:3] == (0, 0, 0)]
     same = sum(got[i] == hashlib.sha256(t.encode()).hexdigest() for i, t in whole)
     assert same >= 0.98 * len(whole) and same < len(d) + 1
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_keys_and_signatures_lose_no_link(monkeypatch, num):
+    """Sets at the threshold have a key in common whose signatures are close; gathering rows keeps them together."""
+    rng, t = np.random.default_rng(num), jaccard_join.Threshold(num, 100)
+    monkeypatch.setattr(jaccard_join, "MANY", 3)
+
+    def fresh(n):
+        return rng.integers(0, 2**64, n, dtype=np.uint64)
+
+    for n in [1, 2, 5, 9, 10, 20, 33, 100, 400] * 5:
+        base = np.unique(fresh(n))
+        family = [base]
+        for _ in range(12):
+            swap = int(rng.integers(0, n * (100 - num) // (100 + num) + 1))
+            family.append(np.unique(np.concatenate((rng.permutation(base)[swap:], fresh(swap)))))
+        ks = [jaccard_join.keys_of(s, t) for s in family]
+        doc = np.repeat(np.arange(len(family)), [len(k[0]) for k in ks])
+        marks = jaccard_join.Marks(*(np.concatenate(x) for x in zip(*ks)), np.zeros(len(doc), np.uint8), doc)
+        marks.gather()
+        marks.match()
+        u, v = marks.forest()
+        joined = {(a, b) for x in set(v.tolist()) for a in [x, *u[v == x]] for b in [x, *u[v == x]]}
+        for i, a in enumerate(family):
+            for j, b in enumerate(family[:i]):
+                same = len(np.intersect1d(a, b))
+                if 100 * same >= num * (len(a) + len(b) - same) and a.tobytes() != b.tobytes():
+                    assert (i, j) in joined
