@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased. Of the n-grams of each test item, all documents' counts
-are taken; of every SPAN consecutive n-grams of an item the rarest is a seed, so that a passage that keeps
-SPAN + n - 1 words in a row of the item meets one. Seeds found in a document are gathered by item and diagonal, and
-each place found is aligned with the whole item. The score is that of the best local alignment as a share of the item's own.
+Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased. Every n-gram of a test item is a seed, so a
+passage that keeps n words in a row of the item meets one, whatever is edited around them. Seeds found in a document are gathered by item and
+diagonal. A place is as wide as any alignment through its seeds that could pass, and is aligned with the whole item unless
+it has too few of the item's words to pass. The score is that of the best local alignment as a share of the item's own.
 
-The benchmark is sent to all tasks in blocks of at most BLOCK_BYTES of text, so any benchmark size works; documents are read once for
-counts and once for seeds, for each block. Null and empty texts and items contain and match nothing. Items shorter than n words have one
+The benchmark is sent to all tasks in blocks of at most BLOCK_BYTES of text, so any benchmark size works; documents are read once
+for each block. Null and empty texts and items contain and match nothing. Items shorter than n words have one
 n-gram of all their words. Rows with one doc_id give one result, the best; repeated items each have theirs. Rows without doc_id
 or item_id are left out of the result. Empty tables give an empty result; extra columns are ignored.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from netglean.llm import textkit
 
-N, SPAN = 4, 4
+N = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score.
 THRESHOLD = 0.5
@@ -41,6 +41,8 @@ class Items:
         self.at = np.arange(len(gram)) - start[self.item]
         self.start = start
         self.key, self.of = np.unique(gram, return_inverse=True)
+        self.vocabulary, word = np.unique(self.word, return_inverse=True)
+        self.holds = np.unique(np.repeat(np.arange(len(ids)), np.diff(self.first)) * len(self.vocabulary) + word)
 
     def lookup(self, gram: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in gram that key (sorted) holds, and where."""
@@ -53,15 +55,20 @@ class Items:
         ok = key[at] == gram[hit]
         return hit[ok], at[ok]
 
-    def seeds(self, count: np.ndarray, span: int) -> np.ndarray:
-        """Which entries (n-grams of items) are seeds: the rarest of each span consecutive ones, all of them in shorter items' case."""
-        out, rarity = np.zeros(len(self.of), bool), count[self.of]
-        for a, b in zip(self.start[:-1], self.start[1:]):
-            if b - a <= span:
-                out[a:b] = rarity[a:b] == rarity[a:b].min(initial=np.iinfo(np.int64).max)
-            else:
-                windows = np.lib.stride_tricks.sliding_window_view(rarity[a:b], span)
-                out[a + np.arange(len(windows)) + windows.argmin(axis=1)] = True
+    def promising(self, hashes: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Which of the places low to high in the words hold so many words of their item that the score could be reached."""
+        at, which = self.lookup(hashes, self.vocabulary)
+        first, out = np.searchsorted(at, low), np.zeros(len(item), bool)
+        n = np.searchsorted(at, high) - first
+        total, a = np.cumsum(n), 0
+        while a < len(item):
+            z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + 2_000_000, "right")))
+            place = np.repeat(np.arange(z - a), n[a:z])
+            inside = np.arange(len(place)) - np.repeat(np.cumsum(n[a:z]) - n[a:z], n[a:z]) + np.repeat(first[a:z], n[a:z])
+            pair = item[a:z][place] * len(self.vocabulary) + which[inside]
+            held = self.holds[np.minimum(np.searchsorted(self.holds, pair), len(self.holds) - 1)] == pair
+            out[a:z] = MATCH * np.bincount(place[held], minlength=z - a) >= need[a:z]
+            a = z
         return out
 
 
@@ -89,30 +96,13 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, end
 
 
-def corpus_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """How often each distinct n-gram of the items occurs in all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.key), np.int64)
-        for b in textkit.pieces(batches):
-            gram, _ = textkit.Words(b.column("text"), textkit.MARKS).shingles(items.n)
-            _, at = items.lookup(gram, items.key)
-            total += np.bincount(at, minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(len(items.key), np.int64)
-    out[got["gram"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out
-
-
-def search(docs: DataFrame, items: Items, is_seed: np.ndarray, threshold: float) -> DataFrame:
-    entry = np.flatnonzero(is_seed)
-    entry = entry[np.argsort(items.of[entry], kind="stable")]
-    which, first = np.unique(items.of[entry], return_index=True)
-    key, first = items.key[which], np.append(first, len(entry))
+def search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    entry = np.argsort(items.of, kind="stable")
+    key, first = items.key, np.append(np.searchsorted(items.of[entry], np.arange(len(items.key))), len(entry))
     length = np.diff(items.first)
+    need = threshold * MATCH * length
+    # words that an alignment which passes can leave out or add
+    loose = np.floor(MATCH * length - need).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in textkit.pieces(batches):
@@ -125,17 +115,19 @@ def search(docs: DataFrame, items: Items, is_seed: np.ndarray, threshold: float)
             hit = np.repeat(hit, n)
             e = entry[np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)]
             row = np.searchsorted(start, hit, "right") - 1
-            item, diagonal = items.item[e], hit - start[row] - items.at[e]
-            order = np.lexsort((diagonal, item, row))
-            row, item, diagonal = row[order], item[order], diagonal[order]
+            item, at, hit = items.item[e], items.at[e], hit - start[row] + w.first[row]
+            left, right = at, length[item] - at
+            low = np.maximum(hit - left - np.minimum(MATCH * left, loose[item]), w.first[row])
+            high = np.minimum(hit + right + np.minimum(MATCH * right, loose[item]), w.first[row + 1])
+            order = np.lexsort((hit - at, item, row))
+            row, item, diagonal, low, high = (x[order] for x in (row, item, hit - at, low, high))
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > length[item[1:]] // 2)
             begin = np.flatnonzero(new)
-            stop = np.append(begin[1:], len(row))
-            row, item, low, high = row[begin], item[begin], diagonal[begin], diagonal[stop - 1]
+            row, item, low, high = row[begin], item[begin], np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
+            ok = items.promising(w.hash, item, low, high, need[item])
+            row, item, low, high = row[ok], item[ok], low[ok], high[ok]
             size = length[item]
-            low = np.maximum(low - size // 2, 0) + w.first[row]
-            high = np.minimum(high + size + size // 2 + 1 + w.first[row], w.first[row + 1])
             found = []
             order = np.lexsort((high - low, size))
             a = 0
@@ -165,12 +157,12 @@ def blocks(benchmark: DataFrame, n: int, most: int) -> Iterator[Items]:
         yield Items([r[0] for r in rows], [r[1] for r in rows], n)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, span: int = SPAN, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score and end_word (of the passage) for each document and test item whose alignment reaches the threshold."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL")
     out = None
     for items in blocks(benchmark, n, block_bytes):
-        found = search(own, items, items.seeds(corpus_counts(own, items), span), threshold)
+        found = search(own, items, threshold)
         out = found if out is None else out.union(found)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.round("best.score", 6).alias("score"), (-F.col("best.back")).alias("end_word"))

@@ -217,6 +217,32 @@ def test_decontaminate(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def local_score(a, b):
+    row, best = [0] * (len(b) + 1), 0
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_decontaminate_finds_edited_copies(spark, whole):
+    """Copies with a word replaced, added or left out at every 5th to 7th are found as brute force over all pairs finds them, whether or not another document holds the item whole."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(900)]
+    noise = lambda n: [rng.choice(words) for _ in range(n)]
+    items = {i: noise(n) for i, n in enumerate((40, 40, 18, 90, 7))}
+    edits = [lambda x: ["other"], lambda x: [x, "added"], lambda x: []]
+    rows = [noise(30) + [y for j, x in enumerate(item) for y in (edit(x) if j % every == every - 1 else [x])] + noise(rng.choice([0, 25])) for item in items.values() for every in (5, 6, 7) for edit in edits]
+    rows += [noise(200) for _ in range(5)] + ([noise(9) + item for item in items.values()] if whole else [])
+    want = {(d, i): round(x, 6) for d, r in enumerate(rows) for i, item in items.items() if (x := local_score(item, r) / (2 * len(item))) >= 0.5}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs(spark, [(d, " ".join(r)) for d, r in enumerate(rows)]), bench).collect()}
+    assert got == want and len(want) >= 45
+
+
 def test_warc(spark):
     make = lambda i, kind, url, ts, status, headers, payload: (i, kind, url, ts, status, headers, payload, "x")
     rows = [
