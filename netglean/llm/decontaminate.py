@@ -3,7 +3,8 @@
 Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased. Every n-gram of a test item is a seed, so a
 passage that keeps n words in a row of the item meets one, whatever is edited around them. Seeds found in a document are gathered by item and
 diagonal. A place is as wide as any alignment through its seeds that could pass, and is aligned with the whole item unless
-it has too few of the item's words to pass. The score is that of the best local alignment as a share of the item's own.
+it has too few of the item's words to pass. The score is that of the best local alignment as a share of the item's own. An alignment passes
+with THRESHOLD of that, or with the score of PASSAGE words in a row, so that passages of long items count as well.
 
 The benchmark is sent to all tasks in blocks of at most BLOCK_BYTES of text, so any benchmark size works; documents are read once
 for each block. Null and empty texts and items contain and match nothing. Items shorter than n words have one
@@ -26,6 +27,8 @@ N = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score.
 THRESHOLD = 0.5
+#: Words in a row whose score is enough for an item of any length.
+PASSAGE = 13
 BLOCK_BYTES = 2_000_000
 
 
@@ -96,11 +99,11 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, end
 
 
-def search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+def search(docs: DataFrame, items: Items, threshold: float, passage: int) -> DataFrame:
     entry = np.argsort(items.of, kind="stable")
     key, first = items.key, np.append(np.searchsorted(items.of[entry], np.arange(len(items.key))), len(entry))
     length = np.diff(items.first)
-    need = threshold * MATCH * length
+    need = np.minimum(threshold * MATCH * length, MATCH * passage)
     # words that an alignment which passes can leave out or add
     loose = np.floor(MATCH * length - need).astype(np.int64)
 
@@ -136,12 +139,12 @@ def search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
                 while len(z) > 1 and len(z) * int((high[z] - low[z]).max()) > 4_000_000:
                     z = z[: len(z) // 2]
                 best, end = align([items.word[items.first[i] : items.first[i + 1]] for i in item[z]], [w.hash[x:y] for x, y in zip(low[z], high[z])])
-                found.append((z, best / (MATCH * size[z]), low[z] - w.first[row[z]] + end))
+                found.append((z, best, low[z] - w.first[row[z]] + end))
                 a += len(z)
             if found:
                 z, score, end = (np.concatenate(x) for x in zip(*found))
-                ok = score >= threshold
-                z, score, end = z[ok], score[ok], end[ok]
+                ok = score >= need[item[z]]
+                z, score, end = z[ok], score[ok] / (MATCH * size[z[ok]]), end[ok]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row[z])), pa.array(items.ids[item[z]]), pa.array(score), pa.array(end.astype(np.int64))], ["doc_id", "item_id", "score", "end_word"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
@@ -157,12 +160,12 @@ def blocks(benchmark: DataFrame, n: int, most: int) -> Iterator[Items]:
         yield Items([r[0] for r in rows], [r[1] for r in rows], n)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, score and end_word (of the passage) for each document and test item whose alignment reaches the threshold."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, passage: int = PASSAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, score and end_word (of the passage) for each document and test item whose alignment reaches the threshold or the score of a passage."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL")
     out = None
     for items in blocks(benchmark, n, block_bytes):
-        found = search(own, items, threshold)
+        found = search(own, items, threshold, passage)
         out = found if out is None else out.union(found)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.round("best.score", 6).alias("score"), (-F.col("best.back")).alias("end_word"))

@@ -243,6 +243,17 @@ def test_decontaminate_finds_edited_copies(spark, whole):
     assert got == want and len(want) >= 45
 
 
+def test_decontaminate_finds_passages_of_long_items(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    noise = lambda n: [rng.choice(words) for _ in range(n)]
+    item, far = noise(59), noise(900)
+    rows = [noise(50) + item[:29] + noise(50), noise(20) + far[300:500] + noise(20), noise(20) + far[-13:], item[:12] + noise(60), noise(30) + item[5:25] + ["other"] + item[26:30], noise(300)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(far))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs(spark, [(d, " ".join(r)) for d, r in enumerate(rows)]), bench).collect()}
+    assert got == {(0, 1): round(29 / 59, 6), (1, 2): round(200 / 900, 6), (2, 2): round(13 / 900, 6), (4, 1): round(23.5 / 59, 6)}
+
+
 def test_warc(spark):
     make = lambda i, kind, url, ts, status, headers, payload: (i, kind, url, ts, status, headers, payload, "x")
     rows = [
