@@ -1,19 +1,25 @@
 """What spans packets: uptime samples, HTTP exchanges and TLS hellos over segments, in batch. One conversation's packets meet by its key.
 
-A flow is as large as what two hosts exchange before both messages are whole, so only the leading segments are folded: of a flow
-at most LEADING segments of payload for each side are looked at, the bound that live capture sets by its time limit.
+A flow's packets come in order to one task, which holds only what the open connection still needs: a side's segments until its
+headers are whole, at most the MOST_HEAD bytes of least sequence numbers, as headers that are longer are never read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import bisect
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netglean.functions import http, tcp, uptime
 from netglean.operators import wire
 
 HTTP_LIFE_MS, TLS_LIFE_MS = 60_000, 20_000
-LEADING = 256
+MOST_HEAD = (http.MOST_HEADERS + 2) * (http.MOST_LINE + 2)
+_STARTS = (re.compile(rb"(?:" + "|".join(http.METHODS).encode() + rb")[ \t]+\S+[ \t]+HTTP/1\.[01][ \t]*\r?\n"), re.compile(rb"HTTP/1\.[01][ \t]+\d{3}[ \t\r\n]"))
 
 
 def uptimes(observed: DataFrame) -> DataFrame:
@@ -31,26 +37,90 @@ def flow_key(df: DataFrame) -> DataFrame:
     return df.withColumn("flow", F.concat_ws("~", "capture", F.least(a, b), F.greatest(a, b))).withColumn("forward", a <= b)
 
 
+class HttpFlow:
+    """A connection: when it began, whether forward is from its client, and each side's segments (seq, payload) until its headers are whole."""
+
+    def __init__(self, since: int | None, forward: bool):
+        self.since, self.forward, self.parts, self.done, self.closed = since, forward, ([], []), [False, False], False
+
+    def add(self, forward: bool, flags: int, seq: int, payload: bytes) -> tuple[str, bytes] | None:
+        """The side and bytes of the message that this packet completes."""
+        side, found = int(forward != self.forward), None
+        if payload and not self.done[side]:
+            parts = self.parts[side]
+            bisect.insort(parts, (seq, payload), key=lambda p: p[0])
+            size = sum(len(p[1]) for p in parts)
+            while size - len(parts[-1][1]) >= MOST_HEAD:
+                size -= len(parts.pop()[1])
+            if whole := self._message(side):
+                parts.clear()
+                self.done[side], found = True, (("request", "response")[side], whole)
+        self.closed = self.closed or bool(flags & (tcp.FIN | tcp.RST)) or all(self.done)
+        return found
+
+    def _message(self, side: int) -> bytes | None:
+        whole = b"".join(p[1] for p in self.parts[side])
+        return whole if _STARTS[side].match(whole) and b"\r\n\r\n" in whole else None
+
+
+def http_step(flow: HttpFlow | None, t: int | None, forward: bool, flags: int, seq: int, payload: bytes) -> tuple[HttpFlow | None, tuple[str, bytes] | None]:
+    """The connection that is open after a packet, and the message that the packet completes.
+
+    A connection begins at a SYN, whose sender is the client, and lives 60 s; a SYN after both messages, a FIN or a RST begins another.
+    """
+    if flow is not None and t is not None and flow.since is not None and t - flow.since >= HTTP_LIFE_MS:
+        flow = None
+    if flags & tcp.SYN and (flow is None or flow.closed):
+        flow = HttpFlow(t, forward)
+    return (flow, flow.add(forward, flags, seq, payload)) if flow is not None else (None, None)
+
+
+def _in_order(df: DataFrame, key: list[str], start: Callable, schema: str) -> DataFrame:
+    """The rows that start()'s function gives for each of df's rows, a dict; one is made for each key, and gets its rows by packet number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                if (k := tuple(r[c] for c in key)) != last:
+                    last, step = k, start()
+                rows += step(r)
+            yield pa.RecordBatch.from_pylist(rows, out)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    return df.repartition(*key).sortWithinPartitions(*key, "packet_no").mapInArrow(run, schema)
+
+
 def http_messages(segments: DataFrame) -> DataFrame:
-    """First request and first response of each flow: capture, packet_no (that completes it), flow, side, text.
+    """First request and first response of each connection: capture, packet_no (that completes it), flow, side, bytes, text.
 
-    A flow begins at a SYN, whose sender is the client, and lives 60 s. A side's payloads are put together by sequence number,
-    neither trimmed nor freed of repetitions, and end with the headers.
+    A side's payloads are put together by sequence number, neither trimmed nor freed of repetitions, until its headers are whole.
     """
     df = flow_key(segments.select("capture", "packet_no", "ts", "src", "dst", "sport", "dport", "flags", "seq", "payload"))
-    begin = Window.partitionBy("flow").orderBy("packet_no")
-    syn = F.col("flags").bitwiseAND(tcp.SYN) != 0
-    first = F.first(F.when(syn, F.struct("packet_no", "ts", "forward")), ignorenulls=True).over(begin.rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("open", first).where(F.col("open").isNotNull() & (F.octet_length("payload") > 0))
-    df = df.where(F.coalesce(F.unix_millis("ts") - F.unix_millis("open.ts") < HTTP_LIFE_MS, F.lit(True))).withColumn("side", F.when(F.col("forward") == F.col("open.forward"), "request").otherwise("response"))
-    number = Window.partitionBy("flow", "side").orderBy("packet_no")
-    df = df.withColumn("nth", F.row_number().over(number)).where(F.col("nth") <= LEADING)
-    parts = df.groupBy("capture", "flow", "side").agg(F.array_sort(F.collect_list(F.struct("seq", "packet_no", "payload"))).alias("p"))
-    prefix = F.aggregate("p", F.struct(F.lit("").cast("binary").alias("b"), F.lit(None).cast("long").alias("no")), lambda a, x: F.when(F.locate("\r\n\r\n", F.decode(a["b"], "ISO-8859-1")) > 0, a).otherwise(F.struct(F.concat(a["b"], x["payload"]).alias("b"), F.greatest(a["no"], x["packet_no"]).alias("no"))))
-    out = parts.select("capture", "flow", "side", prefix.alias("m")).select("capture", F.col("m.no").alias("packet_no"), "flow", "side", F.col("m.b").alias("bytes"))
+    marks = F.col("flags").bitwiseAND(tcp.SYN | tcp.FIN | tcp.RST) != 0
+    df = df.where(marks | (F.octet_length("payload") > 0)).select("capture", "packet_no", "flow", "forward", F.unix_millis("ts").alias("t"), "flags", F.col("seq").cast("long").alias("seq"), F.col("payload").cast("binary").alias("payload"))
+
+    def start():
+        flow = None
+
+        def step(r):
+            nonlocal flow
+            flow, found = http_step(flow, r["t"], r["forward"], r["flags"], r["seq"], r["payload"] or b"")
+            return [{"capture": r["capture"], "packet_no": r["packet_no"], "flow": r["flow"], "side": found[0], "bytes": found[1]}] if found else []
+
+        return step
+
+    out = _in_order(df, ["flow"], start, HTTP_SCHEMA)
     return out.withColumn("text", F.when(F.is_valid_utf8(F.col("bytes").cast("string")), F.col("bytes").cast("string")))
 
 
+HTTP_SCHEMA = "capture string, packet_no long, flow string, side string, bytes binary"
+
+
 def http_observations(messages: DataFrame) -> DataFrame:
     """HTTP/1 messages (text, side) as observations: version, header order, absent headers, software, and the fields that are reported."""
     c = F.col
@@ -80,31 +150,25 @@ def tls_hellos(segments: DataFrame, reassemble: bool = True) -> DataFrame:
     if not reassemble:
         return data.where(start).select("capture", "packet_no", wire.parse_client_hello("payload").alias("hello")).where("hello.version IS NOT NULL")
     key = ["capture", "src", "sport", "dst", "dport"]
-    order = Window.partitionBy(*key).orderBy("packet_no").rowsBetween(Window.unboundedPreceding, 0)
-    data = data.select(*key, "packet_no", "ts", "payload", F.max(F.when(start, 1).otherwise(0)).over(order).alias("begun")).where("begun = 1")
-    data = data.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("packet_no"))).where(F.col("nth") <= LEADING)
-    per = data.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("packet_no", F.unix_millis("ts").alias("t"), "payload"))).alias("parts"))
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = []
-            for capture, parts in zip(b["capture"], b["parts"]):
-                reader, since = None, None
-                for p in parts:
-                    t, raw = p["t"], bytes(p["payload"])
-                    if reader is not None and since is not None and t is not None and t - since >= TLS_LIFE_MS:
-                        reader = None
-                    if reader is None:
-                        if not wire.is_tls(raw):
-                            continue
-                        reader, since = wire.HelloReader(), t
-                    hello = reader.add(raw)
-                    if hello is not None:
-                        rows.append((capture, p["packet_no"], hello))
-                    if reader.done:
-                        reader = None
-            yield pd.DataFrame(rows, columns=["capture", "packet_no", "hello"])
-
-    return per.select("capture", "parts").mapInPandas(run, TLS_SCHEMA)
+    data = data.select(*key, "packet_no", F.unix_millis("ts").alias("t"), F.col("payload").cast("binary").alias("payload"))
+
+    def start_reader():
+        reader, since = None, None
+
+        def step(r):
+            nonlocal reader, since
+            t, raw = r["t"], r["payload"]
+            if reader is not None and since is not None and t is not None and t - since >= TLS_LIFE_MS:
+                reader = None
+            if reader is None:
+                if not wire.is_tls(raw):
+                    return []
+                reader, since = wire.HelloReader(), t
+            hello = reader.add(raw)
+            if reader.done:
+                reader = None
+            return [{"capture": r["capture"], "packet_no": r["packet_no"], "hello": hello}] if hello is not None else []
+
+        return step
+
+    return _in_order(data, key, start_reader, TLS_SCHEMA)

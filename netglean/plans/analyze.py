@@ -53,7 +53,7 @@ def tcp_results(observed: DataFrame, sigs: Signatures | None) -> DataFrame:
 
 def http_results(segments: DataFrame, sigs: Signatures | None, corrected: bool = False) -> DataFrame:
     """capture, packet_no and the structs http_request and http_response."""
-    obs = flows.http_observations(flows.http_messages(segments)).withColumn("id", F.concat_ws("#", "flow", "direction"))
+    obs = flows.http_observations(flows.http_messages(segments)).withColumn("id", F.concat_ws("#", "flow", "direction", F.col("packet_no").cast("string")))
     if sigs is None:
         m = obs.withColumns({c: F.lit(None).cast("string") for c in ("kind", "class", "name", "flavor", "signature")} | {"score": F.lit(None).cast("double")})
         family = F.lit(None).cast("string")

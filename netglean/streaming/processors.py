@@ -6,14 +6,13 @@ org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider. Late r
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from netglean.functions import http, uptime
+from netglean.functions import uptime
 from netglean.operators import flows, wire
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,16 +31,17 @@ def frequency(ms: int, ticks: int) -> float | None:
 
 
 class _Expiring(StatefulProcessor):
-    """One value of state for each key, which a timer clears."""
+    """One value of state for each key, whose first field is when it began; its own timer clears it, not one of a value before."""
 
     state_schema = ""
+    life = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.state.exists():
+        if self.state.exists() and self.state.get()[0] + self.life <= expiredTimerInfo.getExpiryTimeInMs():
             self.state.clear()
         return iter(())
 
@@ -50,6 +50,7 @@ class _Expiring(StatefulProcessor):
 
 
 class UptimeProcessor(_Expiring):
+    life = uptime.LIFETIME_MS
     state_schema = "since long, ref_ms long, ref long, bad boolean"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -70,6 +71,7 @@ class UptimeProcessor(_Expiring):
 
 
 class TlsProcessor(_Expiring):
+    life = flows.TLS_LIFE_MS
     state_schema = "since long, buffer binary"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -94,35 +96,32 @@ class TlsProcessor(_Expiring):
                     self.handle.registerTimer(since + flows.TLS_LIFE_MS)
 
 
-_STARTS = (re.compile(rb"(?:" + "|".join(http.METHODS).encode() + rb")[ \t]+\S+[ \t]+HTTP/1\.[01]"), re.compile(rb"HTTP/1\.[01][ \t]+\d{3}"))
-
-
 class HttpProcessor(_Expiring):
-    """State: who opened the flow, and each side's segments until its headers are whole."""
+    """State: flows.HttpFlow."""
 
-    state_schema = "since long, forward boolean, request array<struct<seq: long, data: binary>>, response array<struct<seq: long, data: binary>>, done_request boolean, done_response boolean"
+    life = flows.HTTP_LIFE_MS
+    state_schema = "since long, forward boolean, request array<struct<seq: long, data: binary>>, response array<struct<seq: long, data: binary>>, done_request boolean, done_response boolean, closed boolean"
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old = flow = self._get()
         for r in sorted(rows, key=lambda r: r.packet_no):
-            s = list(self.state.get()) if self.state.exists() else None
-            if s is not None and r.t_ms - s[0] >= flows.HTTP_LIFE_MS:
-                s = None
-            if s is None:
-                if not r.flags & 2:
-                    continue
-                s = [r.t_ms, r.forward, [], [], False, False]
-                self.handle.registerTimer(r.t_ms + flows.HTTP_LIFE_MS)
-            side = 2 if r.forward == s[1] else 3
-            if r.payload and not s[side + 2] and len(s[side]) < flows.LEADING:
-                s[side] = sorted([(p[0], bytes(p[1])) for p in s[side]] + [(r.seq, bytes(r.payload))], key=lambda p: p[0])
-                whole = b"".join(p[1] for p in s[side])
-                if b"\r\n\r\n" in whole and _STARTS[side == 3].match(whole):
-                    s[side], s[side + 2] = [], True
-                    yield Row(capture=r.capture, packet_no=r.packet_no, flow=key[0], side="request" if side == 2 else "response", bytes=whole)
-            if s[4] and s[5]:
-                self.state.clear()
-            else:
-                self.state.update(tuple(s))
+            flow, found = flows.http_step(flow, r.t_ms, r.forward, r.flags, r.seq, bytes(r.payload or b""))
+            if found:
+                yield Row(capture=r.capture, packet_no=r.packet_no, flow=key[0], side=found[0], bytes=found[1])
+        if flow is not None:
+            self.state.update((flow.since, flow.forward, *flow.parts, *flow.done, flow.closed))
+            if flow is not old:
+                self.handle.registerTimer(flow.since + self.life)
+        elif old is not None:
+            self.state.clear()
+
+    def _get(self) -> flows.HttpFlow | None:
+        if not self.state.exists():
+            return None
+        s = self.state.get()
+        flow = flows.HttpFlow(s[0], s[1])
+        flow.parts, flow.done, flow.closed = tuple([(p[0], bytes(p[1])) for p in side] for side in s[2:4]), list(s[4:6]), s[6]
+        return flow
 
 
 def uptime_stream(observed: DataFrame) -> DataFrame:
@@ -140,7 +139,7 @@ def tls_stream(segments: DataFrame) -> DataFrame:
 
 
 def http_stream(segments: DataFrame) -> DataFrame:
-    """decode.decode()'s segments of a stream as the first request and response of each flow."""
+    """decode.decode()'s segments of a stream as the first request and response of each connection."""
     data = flows.flow_key(segments).withWatermark("ts", WATERMARK).withColumn("t_ms", F.unix_millis("ts"))
-    out = data.groupBy("flow").transformWithState(HttpProcessor(), "capture string, packet_no long, flow string, side string, bytes binary", "append", "EventTime")
+    out = data.groupBy("flow").transformWithState(HttpProcessor(), flows.HTTP_SCHEMA, "append", "EventTime")
     return out.withColumn("text", F.when(F.is_valid_utf8(F.col("bytes").cast("string")), F.col("bytes").cast("string")))

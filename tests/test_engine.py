@@ -121,3 +121,20 @@ def test_streams_equal_batch(spark, tmp_path):
     seg = decode.decode(pcap.read_pcap(spark, str(tmp_path / "in" / "c.pcap")))
     assert [r.hello.sni for r in spark.table("tls").collect()] == [r.hello.sni for r in flows.tls_hellos(seg).collect()] == ["host"]
     assert sorted((r.side, r.text) for r in spark.table("http").collect()) == sorted((r.side, r.text) for r in flows.http_messages(seg).where(F.col("packet_no").isNotNull()).collect() if r.text and "HTTP/" in r.text)
+
+
+def test_connections_on_the_same_ports(spark, tmp_path):
+    """Ports that are used again, after an answer, a FIN or a minute, and hellos after many segments of data."""
+    c, s, h = "10.0.0.1", "10.0.0.2", hello()
+    answer = b"HTTP/1.1 200 OK\r\nServer: nginx/\r\n\r\n"
+    rows = []
+    for t, port in ((1, 1111), (2, 1111), (100, 1111), (200, 3333)):
+        rows += [(t, segment(c, s, port, 80, 1, 2)), (t + 0.1, segment(c, s, port, 80, 2, 24, REQUEST.replace(b"/a", b"/%d" % t))), (t + 0.2, segment(s, c, 80, port, 1, 24, answer))]
+    rows += [(300, segment(c, s, 4444, 80, 1, 2)), (300.1, segment(c, s, 4444, 80, 2, 17)), (301, segment(c, s, 4444, 80, 7, 2)), (301.1, segment(c, s, 4444, 80, 8, 24, REQUEST.replace(b"/a", b"/301")))]
+    rows += [(400, segment(c, s, 2222, 443, 1, 24, h)), *((401 + i / 1000, segment(c, s, 2222, 443, 1 + i, 24, b"\x17\x03\x03" + bytes(20))) for i in range(300)), (402, segment(c, s, 2222, 443, 9, 24, h))]
+    rows += [(500, segment(c, s, 5555, 80, 1, 2)), *((500 + i / 100, segment(c, s, 5555, 80, 1000 + i, 24, b"x")) for i in range(1, 300)), (504, segment(c, s, 5555, 80, 2, 24, REQUEST.replace(b"/a", b"/500")))]
+    (tmp_path / "c.pcap").write_bytes(pcap.write_pcap(rows))
+    packets = pcap.read_pcap(spark, str(tmp_path / "c.pcap"))
+    r = analyze.analyze(packets, analyze.AnalysisConfig(tcp=False)).collect()
+    assert sorted(x.http_request.uri for x in r if x.http_request) == ["/1", "/100", "/2", "/200", "/301", "/500"]
+    assert sum(x.http_response is not None for x in r) == 4 and sum(x.tls is not None for x in r) == 2
