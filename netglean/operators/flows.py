@@ -43,8 +43,8 @@ class HttpFlow:
     def __init__(self, since: int | None, forward: bool):
         self.since, self.forward, self.parts, self.done, self.closed = since, forward, ([], []), [False, False], False
 
-    def add(self, forward: bool, flags: int, seq: int, payload: bytes) -> tuple[str, bytes] | None:
-        """The side and bytes of the message that this packet completes."""
+    def add(self, forward: bool, flags: int, seq: int, payload: bytes) -> tuple[str, bytes, dict | None] | None:
+        """The side and bytes of the message that this packet completes, and what wire.http2_message() reads if it is HTTP/2."""
         side, found = int(forward != self.forward), None
         if payload and not self.done[side]:
             parts = self.parts[side]
@@ -52,18 +52,21 @@ class HttpFlow:
             size = sum(len(p[1]) for p in parts)
             while size - len(parts[-1][1]) >= MOST_HEAD:
                 size -= len(parts.pop()[1])
-            if whole := self._message(side):
+            if message := self._message(side):
                 parts.clear()
-                self.done[side], found = True, (("request", "response")[side], whole)
+                self.done[side], found = True, (("request", "response")[side], *message)
         self.closed = self.closed or bool(flags & (tcp.FIN | tcp.RST)) or all(self.done)
         return found
 
-    def _message(self, side: int) -> bytes | None:
+    def _message(self, side: int) -> tuple[bytes, dict | None] | None:
         whole = b"".join(p[1] for p in self.parts[side])
-        return whole if _STARTS[side].match(whole) and b"\r\n\r\n" in whole else None
+        if _STARTS[side].match(whole):
+            return (whole, None) if b"\r\n\r\n" in whole else None
+        h2 = wire.http2_message(whole, side == 0)
+        return (whole, h2) if h2 else None
 
 
-def http_step(flow: HttpFlow | None, t: int | None, forward: bool, flags: int, seq: int, payload: bytes) -> tuple[HttpFlow | None, tuple[str, bytes] | None]:
+def http_step(flow: HttpFlow | None, t: int | None, forward: bool, flags: int, seq: int, payload: bytes) -> tuple[HttpFlow | None, tuple[str, bytes, dict | None] | None]:
     """The connection that is open after a packet, and the message that the packet completes.
 
     A connection begins at a SYN, whose sender is the client, and lives 60 s; a SYN after both messages, a FIN or a RST begins another.
@@ -96,7 +99,7 @@ def _in_order(df: DataFrame, key: list[str], start: Callable, schema: str) -> Da
 
 
 def http_messages(segments: DataFrame) -> DataFrame:
-    """First request and first response of each connection: capture, packet_no (that completes it), flow, side, bytes, text.
+    """First request and first response of each connection: capture, packet_no (that completes it), flow, side, bytes, h2 (HTTP/2), text.
 
     A side's payloads are put together by sequence number, neither trimmed nor freed of repetitions, until its headers are whole.
     """
@@ -110,7 +113,7 @@ def http_messages(segments: DataFrame) -> DataFrame:
         def step(r):
             nonlocal flow
             flow, found = http_step(flow, r["t"], r["forward"], r["flags"], r["seq"], r["payload"] or b"")
-            return [{"capture": r["capture"], "packet_no": r["packet_no"], "flow": r["flow"], "side": found[0], "bytes": found[1]}] if found else []
+            return [{"capture": r["capture"], "packet_no": r["packet_no"], "flow": r["flow"], "side": found[0], "bytes": found[1], "h2": found[2]}] if found else []
 
         return step
 
@@ -118,25 +121,29 @@ def http_messages(segments: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.is_valid_utf8(F.col("bytes").cast("string")), F.col("bytes").cast("string")))
 
 
-HTTP_SCHEMA = "capture string, packet_no long, flow string, side string, bytes binary"
+HTTP_SCHEMA = f"capture string, packet_no long, flow string, side string, bytes binary, h2 {wire.HTTP2}"
 
 
 def http_observations(messages: DataFrame) -> DataFrame:
-    """HTTP/1 messages (text, side) as observations: version, header order, absent headers, software, and the fields that are reported."""
+    """Messages (text, h2, side) as observations: version, header order, absent headers, software, and the fields that are reported."""
     c = F.col
     req, res = http.parsed(c("text"), True), http.parsed(c("text"), False)
-    df = messages.withColumn("request", F.when((c("side") == "request") & http.is_request(c("text")), req)).withColumn("response", F.when((c("side") == "response") & http.is_response(c("text")), res))
-    df = df.where("request IS NOT NULL OR response IS NOT NULL")
-    either = lambda a, b: F.when(c("request").isNotNull(), a).otherwise(b)
-    version = either(F.get(c("request.first"), F.lit(2)), F.get(c("response.first"), F.lit(0)))
-    agent, accept = http.first_value(c("request.headers"), "user-agent"), http.first_value(c("request.headers"), "accept-language")
+    df = messages.withColumn("request", F.when(c("h2").isNull() & (c("side") == "request") & http.is_request(c("text")), req)).withColumn("response", F.when(c("h2").isNull() & (c("side") == "response") & http.is_response(c("text")), res))
+    df = df.where("request IS NOT NULL OR response IS NOT NULL OR h2 IS NOT NULL")
+    client = c("side") == "request"
+    either = lambda a, b, h2: F.when(c("h2").isNotNull(), h2).when(c("request").isNotNull(), a).otherwise(b)
+    last = lambda name: F.try_element_at(F.filter("h2.headers", lambda h: (F.lower(h["name"]) == name) & h["value"].isNotNull()), F.lit(-1))["value"]
+    missing = lambda headers: F.when(client, http.absent(headers, True)).otherwise(http.absent(headers, False))
+    version = either(F.get(c("request.first"), F.lit(2)), F.get(c("response.first"), F.lit(0)), F.lit("HTTP/2"))
+    agent = F.when(c("h2").isNull(), http.first_value(c("request.headers"), "user-agent")).when(client, last("user-agent"))
+    accept = F.when(c("h2").isNull(), http.first_value(c("request.headers"), "accept-language")).when(client, last("accept-language"))
     return df.select(
-        "capture", "packet_no", "flow", either(F.lit("request"), F.lit("response")).alias("direction"), F.when(version == "HTTP/1.0", "0").otherwise("1").alias("version"),
-        either(http.header_order(c("request.headers"), True), http.header_order(c("response.headers"), False)).alias("horder"),
-        F.transform(either(http.absent(c("request.headers"), True), http.absent(c("response.headers"), False)), lambda x: F.struct(F.lit(False).alias("optional"), x.alias("name"), F.lit(None).cast("string").alias("value"))).alias("habsent"),
-        either(agent, http.first_value(c("response.headers"), "server")).alias("software"), agent.alias("user_agent"), http.language(accept).alias("lang"),
-        F.get(c("request.first"), F.lit(0)).alias("method"), F.get(c("request.first"), F.lit(1)).alias("uri"), F.get(c("response.first"), F.lit(1)).try_cast("int").alias("status_code"), c("request.cookies").alias("cookies"), c("request.referer").alias("referer"),
-        either(c("request.header_count"), c("response.header_count")).alias("header_count"), either(c("request.malformed"), c("response.malformed")).alias("malformed"), either(c("request.duplicates"), c("response.duplicates")).alias("duplicates"),
+        "capture", "packet_no", "flow", c("side").alias("direction"), F.when(version == "HTTP/2", "2").when(version == "HTTP/1.0", "0").otherwise("1").alias("version"),
+        either(http.header_order(c("request.headers"), True), http.header_order(c("response.headers"), False), F.transform("h2.headers", lambda h: F.struct(F.lit(False).alias("optional"), h["name"].alias("name"), h["value"].alias("value")))).alias("horder"),
+        F.transform(either(http.absent(c("request.headers"), True), http.absent(c("response.headers"), False), missing(c("h2.headers"))), lambda x: F.struct(F.lit(False).alias("optional"), x.alias("name"), F.lit(None).cast("string").alias("value"))).alias("habsent"),
+        either(agent, http.first_value(c("response.headers"), "server"), F.when(client, agent).otherwise(last("server"))).alias("software"), agent.alias("user_agent"), http.language(accept).alias("lang"),
+        F.coalesce("h2.method", F.get(c("request.first"), F.lit(0))).alias("method"), F.coalesce("h2.uri", F.get(c("request.first"), F.lit(1))).alias("uri"), F.coalesce("h2.status", F.get(c("response.first"), F.lit(1))).try_cast("int").alias("status_code"), F.when(client, F.coalesce("h2.cookies", "request.cookies")).alias("cookies"), F.coalesce("h2.referer", "request.referer").alias("referer"),
+        either(c("request.header_count"), c("response.header_count"), F.size("h2.headers")).alias("header_count"), either(c("request.malformed"), c("response.malformed"), F.lit(False)).alias("malformed"), either(c("request.duplicates"), c("response.duplicates"), F.lit(False)).alias("duplicates"),
     )
 
 

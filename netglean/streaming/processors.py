@@ -96,6 +96,13 @@ class TlsProcessor(_Expiring):
                     self.handle.registerTimer(since + flows.TLS_LIFE_MS)
 
 
+def _row(value):
+    """Dicts, also in lists, as rows."""
+    if isinstance(value, dict):
+        return Row(**{k: _row(v) for k, v in value.items()})
+    return [_row(v) for v in value] if isinstance(value, list) else value
+
+
 class HttpProcessor(_Expiring):
     """State: flows.HttpFlow."""
 
@@ -107,7 +114,7 @@ class HttpProcessor(_Expiring):
         for r in sorted(rows, key=lambda r: r.packet_no):
             flow, found = flows.http_step(flow, r.t_ms, r.forward, r.flags, r.seq, bytes(r.payload or b""))
             if found:
-                yield Row(capture=r.capture, packet_no=r.packet_no, flow=key[0], side=found[0], bytes=found[1])
+                yield Row(capture=r.capture, packet_no=r.packet_no, flow=key[0], side=found[0], bytes=found[1], h2=_row(found[2]))
         if flow is not None:
             self.state.update((flow.since, flow.forward, *flow.parts, *flow.done, flow.closed))
             if flow is not old:

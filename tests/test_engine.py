@@ -138,3 +138,36 @@ def test_connections_on_the_same_ports(spark, tmp_path):
     r = analyze.analyze(packets, analyze.AnalysisConfig(tcp=False)).collect()
     assert sorted(x.http_request.uri for x in r if x.http_request) == ["/1", "/100", "/2", "/200", "/301", "/500"]
     assert sum(x.http_response is not None for x in r) == 4 and sum(x.tls is not None for x in r) == 2
+
+
+def literal(name: bytes, value: bytes) -> bytes:
+    return b"\x00" + bytes([len(name)]) + name + bytes([len(value)]) + value
+
+
+def frame(kind: int, flags: int, stream: int, payload: bytes) -> bytes:
+    return len(payload).to_bytes(3, "big") + bytes([kind, flags]) + stream.to_bytes(4, "big") + payload
+
+
+def test_flows_read_http2(spark, tmp_path):
+    from netglean.streaming import processors
+
+    c, s = "10.0.0.1", "10.0.0.2"
+    block = b"\x82\x86\x84" + literal(b"user-agent", b"curl/8.1") + literal(b"cookie", b"a=1; b") + literal(b"cookie", b"c=2") + literal(b"referer", b"http://r/") + literal(b"accept-language", b"de,en;q=0.5")
+    ask = wire.PREFACE + frame(4, 0, 0, b"") + frame(1, 4, 1, block)
+    reply = frame(4, 0, 0, b"") + frame(1, 4, 1, b"\x88" + literal(b"server", b"nginx/1.0")) + frame(0, 1, 1, b"body")
+    rows = [(1.0, segment(c, s, 1111, 80, 1, 2)), (1.1, segment(c, s, 1111, 80, 42, 24, ask[40:])), (1.2, segment(c, s, 1111, 80, 2, 24, ask[:40])), (1.3, segment(s, c, 80, 1111, 1, 24, reply[:20])), (1.4, segment(s, c, 80, 1111, 21, 24, reply[20:])), (2.0, segment(c, s, 2222, 80, 1, 2)), (2.1, segment(c, s, 2222, 80, 2, 24, REQUEST))]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "c.pcap").write_bytes(pcap.write_pcap(rows))
+    packets = pcap.read_pcap(spark, str(tmp_path / "in" / "c.pcap"))
+    got = {x.packet_no: x for x in analyze.analyze_http(packets).collect()}
+    assert set(got) == {2, 4, 6} and got[6].http_request.uri == "/a"
+    q = got[2].http_request
+    assert (q.method, q.uri, q.user_agent, q.referer, q.lang, q.header_count) == ("GET", "/", "curl/8.1", "http://r/", "German", 2)
+    assert [tuple(x) for x in q.cookies] == [("a", "1", 0), ("b", None, 1), ("c", "2", 2)] and q.signature.startswith("2:user-agent=[curl/8.1],accept-language=[de,en;q=0.5]:Host,Connection,Accept,")
+    assert got[4].http_response.status_code == 200 and got[4].http_response.signature.startswith("2:server=[nginx/1.0]:Content-Type,") and got[4].http_response.signature.endswith(":nginx/1.0")
+    pcap.register(spark)
+    out = processors.http_stream(decode.decode(spark.readStream.format("pcap").load(str(tmp_path / "in"))))
+    run = out.writeStream.format("memory").queryName("http2").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    run.stop()
+    assert sorted((r.packet_no, r.side, r.h2 and r.h2.uri) for r in spark.table("http2").collect()) == [(2, "request", "/"), (4, "response", None), (6, "request", None)]
