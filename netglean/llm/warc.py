@@ -5,6 +5,10 @@ canonical URL, the latest earlier full response (status 200) is its original if
 the revisit has one, else the dates of last modification when it has one; with neither it stands for the latest response unchecked.
 The result has the original's headers, in which those that a 304 answer may renew are taken from the revisit.
 
+Files may be plain or gzip, in one or many members. Dates are ISO 8601 and become microseconds since 1970. The identifier of a record that was written
+here gives its number back; any other is hashed to 63 bits. A revisit of another profile than server-not-modified isn't of kind 'revisit'
+but 'revisit:' and the profile's last part, as the rules here don't apply to it.
+
 Records are (record_id long, kind 'response' or 'revisit', url, ts long, status int, headers map of lower-case names, payload binary).
 Order is by ts, then record_id, strictly earlier; rows that agree in both are tied and don't see each other in a defined
 order. Null or empty URLs equal nothing. A null payload is empty. An empty table gives an empty result; extra columns are ignored.
@@ -12,7 +16,10 @@ order. Null or empty URLs equal nothing. A null payload is empty. An empty table
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,6 +31,8 @@ from netglean.llm.asof import latest_before
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only say where a visitor came from.
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
+PROFILE = "server-not-modified"
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def canonical_url(url: Column) -> Column:
@@ -64,7 +73,7 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Records made of (page_id, url, html): a response for each page, and for every third a later revisit, of which some carry another entity tag, and some only a date."""
+    """Records made of (page_id, url, html): a response and a later revisit for each page; some revisits carry another entity tag, some only a date, and some neither."""
     day = (F.col("page_id") % 28 + 1).cast("string")
     etag = F.concat(F.lit('"'), F.substring(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256), 1, 16), F.lit('"'))
     date = F.concat(F.lpad(day, 2, "0"), F.lit(" Jan 2024 00:00:00 GMT"))
@@ -73,9 +82,9 @@ def captures(pages: DataFrame) -> DataFrame:
         (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), "url", (F.col("page_id") * 2).alias("ts"), F.lit(200).alias("status"),
         F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), F.col("etag"), F.lit("last-modified"), F.col("date"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"), F.col("html").cast("binary").alias("payload"),
     )
-    kind = F.col("page_id") % 12
-    headers = F.when(kind == 0, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), F.col("etag")), F.lit("date"), F.col("date"), F.lit("content-type"), F.lit("x/y"))).when(kind == 3, F.create_map(F.lit("etag"), F.lit('"other"'))).when(kind == 6, F.create_map(F.lit("last-modified"), F.col("date"), F.lit("cache-control"), F.lit("no-store"))).otherwise(F.create_map(F.lit("server"), F.lit("none")))
-    again = base.where("page_id % 3 = 0").select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", (F.col("page_id") * 2 + 1).alias("ts"), F.lit(304).alias("status"), headers.alias("headers"), F.lit(None).cast("binary").alias("payload"))
+    kind = F.pmod(F.floor(F.col("page_id") / 3), F.lit(4))
+    headers = F.when(kind == 0, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), F.col("etag")), F.lit("date"), F.col("date"), F.lit("content-type"), F.lit("x/y"))).when(kind == 1, F.create_map(F.lit("etag"), F.lit('"other"'))).when(kind == 2, F.create_map(F.lit("last-modified"), F.col("date"), F.lit("cache-control"), F.lit("no-store"))).otherwise(F.create_map(F.lit("server"), F.lit("none")))
+    again = base.select((F.col("page_id") * 2 + 1).alias("record_id"), F.lit("revisit").alias("kind"), "url", (F.col("page_id") * 2 + 1).alias("ts"), F.lit(304).alias("status"), headers.alias("headers"), F.lit(None).cast("binary").alias("payload"))
     return full.union(again)
 
 
@@ -86,10 +95,49 @@ def to_bytes(kind: str, url: str, ts: str, status: int, headers: dict[str, str],
     block = http.encode() + (payload or b"")
     named = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:record:{record_id}>"), ("WARC-Target-URI", url), ("WARC-Date", ts), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     if kind == "revisit":
-        named.insert(4, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/server-not-modified"))
+        named.insert(4, ("WARC-Profile", f"http://netpreserve.org/warc/1.1/revisit/{PROFILE}"))
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
+def iso(ts: int | None) -> str:
+    """Microseconds since 1970 as a WARC date, which has none if they are unknown or in no year from 1 to 9999."""
+    try:
+        return "" if ts is None else (_EPOCH + timedelta(microseconds=ts)).replace(tzinfo=None).isoformat(timespec="microseconds") + "Z"
+    except OverflowError:
+        return ""
+
+
+def microseconds(date: str) -> int | None:
+    """A WARC date as microseconds since 1970; of fractions six digits count, and months and days may be missing."""
+    try:
+        d = datetime.fromisoformat(date + {4: "-01-01", 7: "-01"}.get(len(date), ""))
+    except ValueError:
+        return None
+    return (d.replace(tzinfo=d.tzinfo or timezone.utc) - _EPOCH) // timedelta(microseconds=1)
+
+
+def number(identifier: str) -> int | None:
+    own = identifier.removeprefix("<urn:record:").removesuffix(">")
+    if identifier.startswith("<urn:record:") and own.removeprefix("-").isdecimal() and -(2**63) <= int(own) < 2**63:
+        return int(own)
+    return int.from_bytes(hashlib.sha256(identifier.encode()).digest()[:8], "big") >> 1 if identifier else None
+
+
+def unzipped(data: bytes) -> bytes:
+    """The contents of gzip members; other data as it is. A damaged tail is left out."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data
+    out = []
+    while data.startswith(b"\x1f\x8b"):
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], int | None, dict[str, str], bytes]]:
     """Each record's named fields, HTTP status, HTTP headers (lower-case names) and payload; parsing ends at the first bytes that are no record."""
     at = 0
@@ -124,7 +172,7 @@ def write_records(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [to_bytes(r["kind"] or "response", r["url"] or "", str(r["ts"]), r["status"] or 0, dict(r["headers"] or {}), r["payload"], str(r["record_id"])) for r in b.to_pylist()]
+            out = [to_bytes(r["kind"] or "response", r["url"] or "", iso(r["ts"]), r["status"] or 0, dict(r["headers"] or {}), r["payload"], str(r["record_id"])) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("record_id"), pa.array(out, pa.binary())], ["record_id", "warc"])
 
     return records.select(F.col("record_id").cast("long").alias("record_id"), "kind", "url", "ts", "status", "headers", "payload").mapInArrow(run, "record_id long, warc binary")
@@ -139,10 +187,11 @@ def read_records(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for data in b.column("content").to_pylist():
-                for f, status, headers, payload in parse(data or b""):
-                    number = "".join(c for c in f.get("warc-record-id", "") if c.isdigit())
-                    when = f.get("warc-date", "")
-                    rows.append((int(number[-18:]) if number else None, f.get("warc-type"), f.get("warc-target-uri"), int(when) if when.isdigit() else None, status, list(headers.items()), payload))
+                for f, status, headers, payload in parse(unzipped(data or b"")):
+                    kind, profile = f.get("warc-type"), f.get("warc-profile", "").rstrip("/").rpartition("/")[2]
+                    if kind == "revisit" and profile not in ("", PROFILE):
+                        kind = f"revisit:{profile}"
+                    rows.append((number(f.get("warc-record-id", "")), kind, f.get("warc-target-uri"), microseconds(f.get("warc-date", "")), status, list(headers.items()), payload))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
 
     return files.select(F.col("content").cast("binary").alias("content")).mapInArrow(run, "record_id long, kind string, url string, ts long, status int, headers map<string,string>, payload binary")

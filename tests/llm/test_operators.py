@@ -1,6 +1,7 @@
 """Each operator against a plain version of itself, and on nulls, empty and repeated rows, long texts, ties and extra columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -269,6 +270,27 @@ def test_warc(spark):
     assert rec.where("payload IS NOT NULL").select(cols).exceptAll(back.select(cols)).count() == 0 and rec.count() == back.count()
 
 
+def test_warc_of_others(spark):
+    def record(kind, ident, date, profile=""):
+        block = b"HTTP/1.1 200 OK\r\nETag: \"1\"\r\n\r\nbody" if kind == "response" else b"HTTP/1.1 304 Not Modified\r\nETag: \"1\"\r\n\r\n"
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{ident}>\r\nWARC-Target-URI: http://a.example/\r\nWARC-Date: {date}\r\n" + (f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/{profile}\r\n" if profile else "")
+        return (head + f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    ids = [f"{a}1234567-1234-4123-8123-123456789012" for a in "abcd"]
+    raw = [record("response", ids[0], "2024-01-02T00:00:00Z"), record("response", ids[1], "2024-01-04T00:00:00.5Z"), record("revisit", ids[2], "2024-01-03T00:00:00Z", "server-not-modified"), record("revisit", ids[3], "2024-01-05T00:00:00Z", "identical-payload-digest")]
+    rows = [[r.asDict() for r in warc.read_records(spark.createDataFrame([(bytearray(x),)], "content binary")).collect()] for x in (b"".join(raw), b"".join(map(gzip.compress, raw)), gzip.compress(b"".join(raw)))]
+    assert rows[0] == rows[1] == rows[2] and len({r["record_id"] for r in rows[0]}) == 4
+    assert rows[0][1]["ts"] == 1704326400500000 and rows[0][3]["kind"] == "revisit:identical-payload-digest"
+    got = warc.resolve(warc.read_records(spark.createDataFrame([(bytearray(gzip.compress(b"".join(raw))),)], "content binary"))).collect()
+    assert [(r.original_id, r.verdict) for r in got] == [(rows[0][0]["record_id"], "resolved")]
+
+
+def test_warc_revisits_of_every_page(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = warc.resolve(warc.captures(pages))
+    assert got.count() == pages.count() and {r.verdict for r in got.select("verdict").collect()} >= {"resolved", "changed", "unchecked"}
+
+
 def test_quotation(spark):
     m = [(1, 0, "u", "Hello there\nfriend"), (1, 1, "a", "hi\n\nsecond  para"), (1, 2, "u", "> > Hello there\n> > friend\n> second para\nyes"), (1, 3, "a", "> Hello there\nok"), (2, 0, "u", "> Hello there\nfrom afar"), (2, 0, "u", "> Hello there\nfrom afar"), (3, None, None, None), (None, 1, "x", "> nothing like it")]
     df = spark.createDataFrame([(*x, 1) for x in m], "conv_id int, turn int, role string, text string, id int")
