@@ -1,4 +1,8 @@
-"""Capture files as a Spark data source: spark.read.format("pcap").load(path), and as a stream over a folder of rotated files."""
+"""Capture files as a Spark data source: spark.read.format("pcap").load(path), and as a stream over a folder of rotated files.
+
+The files of a folder, in order of their names, are one capture, so that connections go on from one file to the next. A packet's number is FILE times
+that of its file, which begins at 0, and its own in the file. A stream counts the files before that are still in the folder.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "capture string, packet_no long, ts timestamp, orig_len int, data binary"
+FILE = 1 << 40
 #: Magic numbers of the classic format, with the byte order and the fraction's unit.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
 
@@ -47,8 +52,8 @@ def _files(path: str) -> list[str]:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, capture: str, number: int):
+        super().__init__((path, capture, number))
 
 
 class _Reader(DataSourceReader):
@@ -56,13 +61,14 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[_File]:
-        return [_File(f) for f in _files(self.path)]
+        return [_File(f, self.path, i) for i, f in enumerate(_files(self.path))]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.value, "rb") as f:
+        path, capture, number = partition.value
+        with open(path, "rb") as f:
             data = f.read()
         for no, ts, orig, raw in packets(data):
-            yield partition.value, no, ts, orig, raw
+            yield capture, FILE * number + no, ts, orig, raw
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -78,7 +84,7 @@ class _StreamReader(DataSourceStreamReader):
         return {"after": max(_files(self.path), default="")}
 
     def partitions(self, start: dict, end: dict) -> list[_File]:
-        return [_File(f) for f in _files(self.path) if start["after"] < f <= end["after"]]
+        return [_File(f, self.path, i) for i, f in enumerate(_files(self.path)) if start["after"] < f <= end["after"]]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         return _Reader(self.path).read(partition)
@@ -109,18 +115,22 @@ def register(spark: SparkSession) -> None:
 
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of files in any store that Spark reads: files come as binaries, and each is parsed where it lies."""
+    """Packets of files in any store that Spark reads: files come as binaries, and each is parsed where it lies. Several files are one capture, path."""
+    files = spark.read.format("binaryFile").load(path)
+    names = sorted(r.path for r in files.select("path").collect())
+    number = {f: i for i, f in enumerate(names)} if len(names) > 1 else {}
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
             for name, data in zip(b["path"], b["content"]):
-                rows = [(name, *p) for p in packets(bytes(data))]
+                capture, base = (path, FILE * number[name]) if name in number else (name, 0)
+                rows = [(capture, base + no, *p) for no, *p in packets(bytes(data))]
                 for a in range(0, len(rows), 10_000):
                     yield pd.DataFrame(rows[a : a + 10_000], columns=["capture", "packet_no", "ts", "orig_len", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
 def from_bytes(spark: SparkSession, raw: list[bytes], capture: str = "memory") -> DataFrame:

@@ -171,3 +171,28 @@ def test_flows_read_http2(spark, tmp_path):
     run.awaitTermination(120)
     run.stop()
     assert sorted((r.packet_no, r.side, r.h2 and r.h2.uri) for r in spark.table("http2").collect()) == [(2, "request", "/"), (4, "response", None), (6, "request", None)]
+
+
+def test_flows_over_rotated_files(spark, tmp_path):
+    """A SYN, the halves of a request and of a hello in files of their own, in batch and as a stream of one file a batch."""
+    from netglean.streaming import processors
+
+    c, s, h, folder = "10.0.0.1", "10.0.0.2", hello(), tmp_path / "in"
+    folder.mkdir()
+    files = [[(1.0, segment(c, s, 1111, 80, 1, 2)), (1.1, segment(c, s, 2222, 443, 1, 24, h[:20]))], [(2.0, segment(c, s, 1111, 80, 2, 24, REQUEST[:10])), (2.1, segment(c, s, 2222, 443, 21, 24, h[20:]))], [(3.0, segment(c, s, 1111, 80, 12, 24, REQUEST[10:]))]]
+    for i, rows_ in enumerate(files):
+        (folder / f"{i}.pcap").write_bytes(pcap.write_pcap(rows_))
+    pcap.register(spark)
+    for packets in (pcap.read_pcap(spark, str(folder)), spark.read.format("pcap").load(str(folder))):
+        seg = decode.decode(packets)
+        assert [(r.packet_no, r.side) for r in flows.http_messages(seg).collect()] == [(2 * pcap.FILE, "request")]
+        assert [(r.packet_no, r.hello.sni) for r in flows.tls_hellos(seg).collect()] == [(pcap.FILE + 1, "host")]
+    late = folder / "2.pcap"
+    late.rename(tmp_path / "2.pcap")
+    for last in (False, True):
+        if last:
+            (tmp_path / "2.pcap").rename(late)
+        q = processors.http_stream(decode.decode(spark.readStream.format("pcap").load(str(folder)))).writeStream.format("json").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(120)
+        q.stop()
+    assert [(r.packet_no, r.side) for r in spark.read.json(str(tmp_path / "out")).collect()] == [(2 * pcap.FILE, "request")]
