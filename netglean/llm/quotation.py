@@ -3,7 +3,7 @@
 A line's level is its number of leading '>' marks, blanks between them allowed. Runs of lines of one level are passages. A passage is
 normalised (lower case, white space collapsed) and hashed; originals are indexed by the hash of each own passage of
 level 0, and of each of its lines. A quoted passage, and else its first line, is joined to the latest earlier message of the same
-conversation with that hash, else to the first message of any other conversation. A message answers the one that its first linked
+conversation with that hash, else to a message of any other conversation. A message answers the one that its first linked
 passage of the lowest level comes from, if that is in its conversation, else the message before it. Pointer doubling over answers gives each
 message its thread's root and its depth, in logarithmically many rounds; (conv_id, root_turn, turn) orders every answer after what it answers.
 
@@ -72,9 +72,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
     events = originals.select("conv_id", "turn", "id", none("no", "int"), none("level", "int"), none("try", "int"), "hash").union(quotes.select("conv_id", "turn", "id", "no", "level", "try", "hash"))
     found = latest_before(events, ["conv_id", "hash"], "turn", [F.col("try").isNotNull().cast("int"), F.col("id")], F.when(F.col("try").isNull(), F.struct("turn", "id")), "source").where("try IS NOT NULL")
-    anywhere = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = found.join(anywhere, "hash", "left").withColumn("foreign", F.when(F.col("source").isNull() & ~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first")))
-    each = found.groupBy("id", "no").agg(F.min("level").alias("level"), F.min(F.when(F.col("source").isNotNull(), F.struct("try", "source"))).alias("s"), F.max(F.col("foreign").isNotNull()).alias("away"))
+    anywhere = originals.groupBy("hash").agg(F.min(F.struct("conv_id")).alias("first"), F.max(F.struct("conv_id")).alias("last"))  # one of them is another conversation, if there is any
+    found = found.join(anywhere, "hash", "left").withColumn("foreign", F.col("source").isNull() & F.col("first").isNotNull() & ~(F.col("first.conv_id").eqNullSafe(F.col("conv_id")) & F.col("last.conv_id").eqNullSafe(F.col("conv_id"))))
+    each = found.groupBy("id", "no").agg(F.min("level").alias("level"), F.min(F.when(F.col("source").isNotNull(), F.struct("try", "source"))).alias("s"), F.max("foreign").alias("away"))
     per = each.groupBy("id").agg(
         F.count("*").alias("n_quotes"), F.count("s").alias("n_linked"), F.count_if(F.col("s").isNull() & F.col("away")).alias("n_foreign"),
         F.min(F.when(F.col("s").isNotNull(), F.struct("level", "no", F.col("s.source").alias("source")))).alias("best"),

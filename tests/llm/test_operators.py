@@ -299,6 +299,13 @@ def test_quotation(spark):
     assert quotation.link_quotations(df.limit(0)).count() == 0
 
 
+def test_quotation_of_what_comes_later_too(spark):
+    """A passage that stands later in the message's own conversation, the one of the least conv_id, and in another."""
+    m = [(1, 0, "u", "> shared words"), (1, 1, "a", "shared words"), (2, 0, "u", "shared words"), (3, 0, "u", "> only here later"), (3, 1, "a", "only here later"), (4, 0, "u", "> nowhere at all")]
+    got = quotation.link_quotations(spark.createDataFrame(m, "conv_id int, turn int, role string, text string")).collect()
+    assert {(r.conv_id, r.turn) for r in got if r.n_foreign} == {(1, 0)} and sum(r.n_foreign for r in got) == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
