@@ -1,32 +1,82 @@
-"""As-of lookup whose groups may be of any size: time is cut into quantiles, and each group's bins are looked at apart."""
+"""As-of lookup whose groups may be of any size: rows are sorted over all partitions, and partitions hand on what crosses their borders."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from netglean.llm.shared import save
+
+#: What a row of a sorted table is: an ordinary one, one that waits for what the partitions before hand on, or a mark of a partition's first or last key.
+ROW, OPEN, HEAD, TAIL = range(4)
+
 
-BINS = 256
+def begins(columns: list[pa.Array]) -> np.ndarray:
+    """Which rows differ from the row before in any column; nulls equal each other, and the first row begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        new[1:] |= differ | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+    return new
 
 
-def latest_before(df: DataFrame, keys: list[str], time: str, tie: list[Column], value: Column, name: str, bins: int = BINS) -> DataFrame:
-    """df with the column name: of the rows with equal keys, the value that isn't null of the latest strictly earlier row, by time (a number) and then tie.
+def latest_before(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with the column name: of the earlier rows with equal keys, by order, the latest value that isn't null.
 
-    A group's last value in each bin comes first from an aggregation; the bins of a group, at most one row each, hand it on; within
-    a bin a window finds the rest. So no task holds more of a group than about a bin's share of all rows. Null keys equal each other; null times come first.
+    Rows are dealt by ranges of keys and order, so a group of any size is cut into many partitions. One pass over a sorted partition
+    carries the last value; its first key's rows that found none wait for what the partitions before it hand on: one
+    row for each partition. Null keys equal each other. Rows that agree in all of order see each other in no defined order. The result reads a
+    table in the shared folder, which forget() deletes.
     """
-    cuts = df.agg(F.percentile_approx(F.col(time).cast("double"), [i / bins for i in range(1, bins)], 10 * bins)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bound = F.array(*map(F.lit, cuts)) if cuts else F.expr("CAST(array() AS ARRAY<DOUBLE>)")
-    at = F.coalesce(F.size(F.filter(bound, lambda b: b <= F.col(time))), F.lit(0))
-    order = [F.col(time).asc_nulls_first(), *tie]
-    df = df.withColumn("_value", value).withColumn("_bin", F.when(F.col(time).isNull(), 0).otherwise(at))
-    held = F.struct(F.col(time), *(t.alias(f"_t{i}") for i, t in enumerate(tie)))
-    last = df.groupBy(*keys, "_bin").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct(held.alias("o"), F.col("_value").alias("v"))))["v"].alias("_last"))
-    carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)))
-    left, right = df.alias("l"), carry.alias("r")
-    on = F.col("l._bin") == F.col("r._bin")
-    for k in keys:
-        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    within = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys, "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    out = left.join(right, on).select("l.*", "r._carry")
-    return out.withColumn(name, F.coalesce(within, F.col("_carry"))).drop("_value", "_bin", "_carry")
+    columns = df.columns
+    kind = df.select(value.alias("_value")).schema["_value"].dataType
+    schema = StructType([StructField(f.name, f.dataType) for f in df.schema] + [StructField(name, kind), StructField("_part", IntegerType()), StructField("_edge", IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        head, held, inside = None, None, True  # the first key; the last key and its value; whether the last key is the first
+        out, kinds = [*columns, name, "_part", "_edge"], None
+
+        def rows(arrays: list[pa.Array], edge: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(edge), part, np.int32)), pa.array(edge.astype(np.int32))], out)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, v = [b.column(k) for k in keys], b.column("_value")
+            if head is None:
+                head, kinds = [k.slice(0, 1) for k in key], [b.column(c).type for c in columns] + [v.type]
+            else:
+                key, v = [pa.concat_arrays([h, k]) for h, k in zip(held[:-1], key)], pa.concat_arrays([held[-1], v])
+            at = np.arange(len(v))
+            new = begins(key)
+            first = np.maximum.accumulate(np.where(new, at, 0))
+            last = np.maximum.accumulate(np.where(v.is_valid().to_numpy(zero_copy_only=False), at, -1))
+            before = np.concatenate(([-1], last[:-1]))
+            none = before < first
+            waits = none & inside & (np.cumsum(new) == 1)
+            x = len(v) - b.num_rows
+            yield rows([*(b.column(c) for c in columns), v.take(pa.array(before, mask=none)).slice(x)], np.where(waits, OPEN, ROW)[x:])
+            inside = inside and new.sum() == 1
+            held = [k.slice(len(k) - 1) for k in key] + [v.slice(last[-1], 1) if last[-1] >= first[-1] else pa.nulls(1, v.type)]
+        if head is not None:
+            for own, edge in ((dict(zip(keys, head)), HEAD), (dict(zip([*keys, name], held)), TAIL)):
+                yield rows([own.get(c, pa.nulls(1, t)) for c, t in zip([*columns, name], kinds)], np.array([edge]))
+
+    by = [*map(F.col, keys), *order]
+    sent = save(df.withColumn("_value", value).repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema), name)
+    before = Window.partitionBy(*keys).orderBy("_part", "_edge").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sent.where(F.col("_edge") >= HEAD).withColumn("_carry", F.last(name, ignorenulls=True).over(before)).where(F.col("_edge") == HEAD).select("_part", "_carry")
+    found = sent.where(F.col("_edge") < HEAD).join(carry, "_part", "left")
+    found = found.select(*(F.col(f"`{c}`") for c in columns), F.when(F.col("_edge") == OPEN, F.col("_carry")).otherwise(F.col(name)).alias(name))
+    found.saved_at = sent.saved_at
+    return found

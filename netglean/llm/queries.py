@@ -72,13 +72,54 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS y FRO
 """
 
 OP3 = r"""
-SELECT conv_id, turn, role, trim(text, chr(32) || chr(10)) AS clean,
-       CASE WHEN turn = first THEN 0 WHEN turn = second THEN a ELSE a + b END AS n_quotes, CASE WHEN turn = first THEN 0 WHEN turn = second THEN a ELSE a + b END AS n_linked, 0 AS n_foreign,
-       parent_turn, first AS root_turn, depth
-FROM (
-  SELECT *, 1 AS a, 1 AS b, lag(turn) OVER w AS parent_turn, min(turn) OVER w AS first, row_number() OVER w - 1 AS depth, nth_value(turn, 2) OVER w AS second
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), near AS (
+  SELECT *, lag(text) OVER w AS one, lag(text, 2) OVER w AS two FROM src WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), mail AS (
+  SELECT conv_id, turn, role, CASE turn % 3
+    WHEN 0 THEN concat_ws(chr(10), '> > ' || replace(two, chr(10), chr(10) || '> > '), '> ' || replace(one, chr(10), chr(10) || '> '), text)
+    WHEN 1 THEN concat_ws(chr(10), '> ' || split_part(one, chr(10), 1), text)
+    ELSE concat_ws(chr(10), '> ' || replace(replace(translate(two, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ', '  '), chr(10), chr(10) || '> '), text) END AS text
+  FROM near
+), line AS (
+  SELECT conv_id, turn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM mail)
+), parsed AS (
+  SELECT conv_id, turn, i, line, regexp_extract(line, '^[ \t]*((>[ \t]*)+)') <> '' AS quoted,
+         length(regexp_replace(regexp_extract(line, '^[ \t]*((>[ \t]*)+)'), '[^>]', '', 'g')) AS level,
+         regexp_replace(regexp_replace(line, '^[ \t]*((>[ \t]*)+)', ''), '^[ \t\r]+|[ \t\r]+$', '', 'g') AS body
+  FROM line
+), runs AS (
+  SELECT *, sum(opens) OVER (PARTITION BY conv_id, turn ORDER BY i) AS run FROM (
+    SELECT *, CASE WHEN level = lag(level) OVER w AND body <> '' AND lag(body) OVER w <> '' THEN 0 ELSE 1 END AS opens FROM parsed WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i))
+), passage AS (
+  SELECT conv_id, turn, min(i) AS i, any_value(level) AS level, string_agg(body, chr(10) ORDER BY i) AS whole, arg_min(body, i) AS first
+  FROM runs WHERE body <> '' GROUP BY conv_id, turn, run
+), own AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(t), '\s+', ' ', 'g')) AS t FROM (
+    SELECT conv_id, turn, whole AS t FROM passage WHERE level = 0 UNION ALL SELECT conv_id, turn, body FROM runs WHERE level = 0 AND body <> '')
+), quote AS (
+  SELECT conv_id, turn, i, level, k, trim(regexp_replace(lower(CASE k WHEN 0 THEN whole ELSE first END), '\s+', ' ', 'g')) AS t FROM passage, (VALUES (0), (1)) tries(k) WHERE level > 0
+), linked AS (
+  SELECT q.conv_id, q.turn, q.i, q.level, arg_min(f.source, q.k) FILTER (f.source IS NOT NULL) AS source, bool_or(f.away) AS away
+  FROM quote q LEFT JOIN (
+    SELECT q.conv_id, q.turn, q.i, q.k, max(o.turn) FILTER (o.conv_id = q.conv_id AND o.turn < q.turn) AS source, bool_or(o.conv_id <> q.conv_id) AS away
+    FROM quote q JOIN own o ON o.t = q.t GROUP BY ALL) f ON f.conv_id = q.conv_id AND f.turn = q.turn AND f.i = q.i AND f.k = q.k
+  GROUP BY q.conv_id, q.turn, q.i, q.level
+), counted AS (
+  SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked, count_if(source IS NULL AND away) AS n_foreign, arg_min(source, (level, i)) FILTER (source IS NOT NULL) AS source
+  FROM linked GROUP BY conv_id, turn
+), clean AS (
+  SELECT conv_id, turn, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT quoted), ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS clean FROM parsed GROUP BY conv_id, turn
+), tree AS (
+  SELECT m.conv_id, m.turn, m.role, c.clean, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, coalesce(n_foreign, 0) AS n_foreign,
+         coalesce(q.source, lag(m.turn) OVER w) AS parent_turn, row_number() OVER w - 1 AS position
+  FROM mail m JOIN clean c USING (conv_id, turn) LEFT JOIN counted q USING (conv_id, turn) WINDOW w AS (PARTITION BY m.conv_id ORDER BY m.turn)
+), reply AS (
+  SELECT conv_id, turn, turn AS root_turn, 0::BIGINT AS depth FROM tree WHERE parent_turn IS NULL
+  UNION ALL SELECT t.conv_id, t.turn, r.root_turn, r.depth + 1 FROM tree t JOIN reply r ON r.conv_id = t.conv_id AND r.turn = t.parent_turn
 )
+SELECT conv_id, turn, role, clean, n_quotes, n_linked, n_foreign, parent_turn, root_turn, depth, position FROM tree JOIN reply USING (conv_id, turn)
 """
 
 OP4 = r"""

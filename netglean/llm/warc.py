@@ -10,8 +10,8 @@ here gives its number back; any other is hashed to 63 bits. A revisit of another
 but 'revisit:' and the profile's last part, as the rules here don't apply to it.
 
 Records are (record_id long, kind 'response' or 'revisit', url, ts long, status int, headers map of lower-case names, payload binary).
-Order is by ts, then record_id, strictly earlier; rows that agree in both are tied and don't see each other in a defined
-order. Null or empty URLs equal nothing. A null payload is empty. An empty table gives an empty result; extra columns are ignored.
+Order is by ts, then record_id, then kind (responses first), digest and headers; rows that agree in all of
+these are alike, so their order has no effect. Null or empty URLs equal nothing. A null payload is empty. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +60,8 @@ def resolve(records: DataFrame) -> DataFrame:
     value = F.when(full, F.struct("record_id", F.to_json("headers").alias("headers"), "digest", "n_bytes"))
     # rows that share no URL with others needn't meet in one group of nulls
     df = df.withColumn("key", F.coalesce(F.col("canonical"), F.concat(F.lit("\u0000"), F.col("record_id").cast("string"))))
-    df = latest_before(df, ["key"], "ts", [F.col("record_id")], value, "original").where("kind = 'revisit'")
+    order = [F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first(), F.col("kind"), F.col("digest"), F.to_json("headers")]
+    df = latest_before(df, ["key"], order, value, "original").where("kind = 'revisit'")
     theirs = F.from_json("original.headers", "map<string,string>")
     df = df.withColumn("theirs", F.when(F.col("original").isNotNull(), F.coalesce(theirs, F.create_map().cast("map<string,string>")))).withColumn("own", F.coalesce("headers", F.create_map().cast("map<string,string>")))
     get = lambda m, k: F.element_at(F.col(m), F.lit(k))

@@ -306,6 +306,88 @@ def test_quotation_of_what_comes_later_too(spark):
     assert {(r.conv_id, r.turn) for r in got if r.n_foreign} == {(1, 0)} and sum(r.n_foreign for r in got) == 1
 
 
+def threads_plain(messages):
+    """Per message (conv, turn, role, text, in that order sorted by conversation): its counts, parent, root, depth and position, looking at all pairs."""
+    own, seen = [], set()
+    for m in messages:
+        if m not in seen:
+            seen.add(m)
+            own.append(m)
+    own.sort(key=lambda m: (m[0], m[1], quotation.message_id(*m)))
+    parts = [quotation.passages(m[3]) for m in own]
+    norm = lambda t: " ".join(t.lower().split())
+    texts = [{norm(t) for level, ls in p if not level for t in [*ls, "\n".join(ls)]} for p in parts]
+    out = {}
+    for i, m in enumerate(own):
+        links, n_foreign = [], 0
+        for no, (level, ls) in enumerate(parts[i]):
+            if not level:
+                continue
+            tries = [norm("\n".join(ls)), norm(ls[0])]
+            found = [max((j for j in range(len(own)) if own[j][0] == m[0] and own[j][1] < m[1] and t in texts[j]), default=None) for t in tries]
+            source = next((j for j in found if j is not None), None)
+            links.append((level, no, source))
+            n_foreign += source is None and any(t in texts[j] and own[j][0] != m[0] for t in tries for j in range(len(own)))
+        best = min((x for x in links if x[2] is not None), default=(0, 0, i - 1 if i and own[i - 1][0] == m[0] else None))[2]
+        root, depth = (i, 0) if best is None else (out[own[best]][-1], out[own[best]][5] + 1)
+        position = 0 if not i or own[i - 1][0] != m[0] else out[own[i - 1]][6] + 1
+        out[m] = (len(links), sum(x[2] is not None for x in links), n_foreign, None if best is None else own[best][1], own[root][1], depth, position, root)
+    return [(*m[:3], quotation.unquoted(m[3]), *out[m][:7]) for m in messages]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotation_of_random_threads(spark, seed):
+    """Nested, edited, repeated and foreign quotations; one conversation has half of all messages, and so lies in many partitions."""
+    rng = random.Random(seed)
+    words, messages = ["alpha", "Beta", "gamma", "delta", "EPS", "zeta", "eta", "theta"], []
+    for turn in range(60):
+        for conv in (0, *rng.sample(range(1, 9), 1)):
+            text = "\n".join(" ".join(rng.choices(words, k=3)) for _ in range(rng.randint(1, 3)))
+            if rng.random() < 0.1:
+                text = "Thank you"
+            if messages and rng.random() < 0.6:
+                c, _, _, q = rng.choice([m for m in messages if m[0] == conv] or messages if rng.random() < 0.8 else messages)
+                q = "\n".join(rng.choice(["> ", ">", " >  "]) + x.upper().replace(" ", "  ") for x in q.split("\n")[: rng.randint(1, 9)])
+                text = rng.choice([q + "\n" + text, text + "\n\n" + q, q + "\n> never said\n" + text, q])
+            messages.append((conv, turn if rng.random() < 0.9 else max(turn - 1, 0), rng.choice("ua"), text))
+            if rng.random() < 0.05:
+                messages.append(messages[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").repartition(5)
+        linked = quotation.link_quotations(df)
+        got = [tuple(r[c] for c in ("conv_id", "turn", "role", "clean", "n_quotes", "n_linked", "n_foreign", "parent_turn", "root_turn", "depth", "position")) for r in linked.collect()]
+        whole = quotation.conversations(linked, most=7).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = threads_plain(messages)
+    assert sorted(got) == sorted(want) and max(x[9] for x in got) > 5 and any(x[6] for x in got)
+    assert max(len(r.messages) for r in whole) == 7
+    chats = {}
+    for r in sorted(whole, key=lambda r: (r.conv_id, r.part)):
+        chats.setdefault(r.conv_id, []).extend((m.position, m.role, m.text) for m in r.messages)
+    assert chats == {c: sorted({(x[10], x[2], x[3]) for x in want if x[0] == c}) for c in {x[0] for x in want}}
+
+
+def test_quotation_made_and_taken_away(spark):
+    """What quoting() adds is linked and removed again; a message quotes the one before, or the one before that."""
+    m = [(c, t, "u", f"Text {c} {t}\nand  more of it") for c in range(3) for t in range(7)]
+    df = spark.createDataFrame(m, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotation.link_quotations(quotation.quoting(df)).collect()}
+    assert {k: r.clean for k, r in got.items()} == {x[:2]: x[3] for x in m}
+    assert all(r.n_quotes == r.n_linked == (0 if not t or t == 0 else 2 if t % 3 == 0 else 1) and r.parent_turn == (None if not t else t - 2 if t % 3 == 2 else t - 1) for (_, t), r in got.items())
+
+
+def test_quotation_of_long_texts(spark):
+    """Time and memory are linear in a text's length."""
+    long = "\n".join(f"line {i}" for i in range(200_000))
+    m = [(1, 0, "u", long), (1, 1, "a", "\n".join("> " + x for x in long.split("\n")) + "\nyes"), (1, 2, "u", "> line 199999\nend" + " x" * 1_000_000)]
+    got = {r.turn: r for r in quotation.link_quotations(spark.createDataFrame(m, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].n_quotes, got[1].n_linked, got[1].parent_turn, got[1].clean) == (1, 1, 0, "yes") and got[2].parent_turn == 0 and got[2].clean.startswith("end x")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
