@@ -28,6 +28,8 @@ from netglean.llm import pretokens, textkit
 REMEMBER = 300_000
 #: Leaves of the trees that are held at a time, if one tree has no more.
 LEAVES = 1 << 20
+#: Pre-tokens of one class of lengths below which each has its tree by itself; more step together. The results are the same.
+FEW = 48
 _NONE = np.int32(1 << 30)
 
 
@@ -79,7 +81,7 @@ class PairTable:
 
 class TreeMerger:
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.pairs = ranks, PairTable(ranks)
+        self.ranks, self.pairs, self.names = ranks, PairTable(ranks), {i: b for b, i in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
@@ -92,12 +94,52 @@ class TreeMerger:
             else:
                 classes.setdefault((len(w) - 1).bit_length(), []).append(i)
         for bits, members in classes.items():
+            if len(members) < FEW:
+                for i in members:
+                    out[i] = tuple(self.grow_one(words[i]))
+                continue
             step = max(1, LEAVES >> bits)
             for a in range(0, len(members), step):
                 for i, ids in zip(members[a : a + step], self.grow(1 << bits, [words[i] for i in members[a : a + step]])):
                     out[i] = tuple(ids)
         return out
 
+    def grow_one(self, word: bytes) -> list[int]:
+        """grow() for a single pre-token, however long."""
+        n, size = len(word), 1 << max(len(word) - 1, 1).bit_length()
+        sym = [self.ranks[word[i : i + 1]] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = lambda a, b: self.ranks.get(self.names[a] + self.names[b], _NONE)
+        tree = [_NONE] * size + [rank(a, b) for a, b in zip(sym, sym[1:])]
+        tree += [_NONE] * (2 * size - len(tree))
+        for node in range(size - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def put(leaf: int, value: int) -> None:
+            node = leaf + size
+            tree[node] = value
+            while node := node >> 1:
+                low = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == low:
+                    return
+                tree[node] = low
+
+        while (low := tree[1]) < _NONE:
+            i = 1
+            while i < size:
+                i = 2 * i + (tree[2 * i] != low)
+            i -= size
+            j = after[i]
+            k = after[j]
+            sym[i], after[i], sym[j] = low, k, -1
+            put(j, _NONE)
+            if k < n:
+                before[k] = i
+            put(i, rank(low, sym[k]) if k < n else _NONE)
+            if (h := before[i]) >= 0:
+                put(h, rank(sym[h], low))
+        return [s for s in sym if s >= 0]
+
     def grow(self, size: int, words: list[bytes]) -> list[list[int]]:
         n = np.array([len(w) for w in words])
         rows, at = len(words), np.arange(size)

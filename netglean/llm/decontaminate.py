@@ -9,12 +9,14 @@ with THRESHOLD of that, or with the score of PASSAGE words in a row, so that pas
 The benchmark is sent to all tasks in blocks of at most BLOCK_BYTES of text, so any benchmark size works; documents are read once
 for each block. Null and empty texts and items contain and match nothing. Items shorter than n words have one
 n-gram of all their words. Rows with one doc_id give one result, the best; repeated items each have theirs. Rows without doc_id
-or item_id are left out of the result. Empty tables give an empty result; extra columns are ignored.
+are left out of contaminated()'s result, but decontaminate() judges each row by its own text, whatever its doc_id. Items without item_id count
+as items without a name: decontaminate() uses them, contaminated() leaves them out. Empty tables give an empty result; extra columns are
+ignored, or kept as they are. A text is looked at by one task as a whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,13 @@ from pyspark.sql import functions as F
 
 from netglean.llm import textkit
 
-N = 4
+N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of an item's own score.
 THRESHOLD = 0.5
 #: Words in a row whose score is enough for an item of any length.
 PASSAGE = 13
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 16_000_000
 
 
 class Items:
@@ -37,7 +39,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], n: int):
         w = textkit.Words(pa.array(texts, pa.string()), textkit.MARKS)
-        self.ids, self.n = np.array(ids, np.int64), n
+        self.ids, self.n = np.array([0 if i is None else i for i in ids], np.int64), n
         self.word, self.first = w.hash, w.first
         gram, start = w.shingles(n)
         self.item = np.repeat(np.arange(len(ids)), np.diff(start))
@@ -99,7 +101,8 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, end
 
 
-def search(docs: DataFrame, items: Items, threshold: float, passage: int) -> DataFrame:
+def finder(items: Items, threshold: float, passage: int) -> Callable[[pa.Array], tuple[np.ndarray, ...]]:
+    """A function that finds, in a batch of texts, the rows, items, scores and ends (words) of all alignments that pass."""
     entry = np.argsort(items.of, kind="stable")
     key, first = items.key, np.append(np.searchsorted(items.of[entry], np.arange(len(items.key))), len(entry))
     length = np.diff(items.first)
@@ -107,56 +110,65 @@ def search(docs: DataFrame, items: Items, threshold: float, passage: int) -> Dat
     # words that an alignment which passes can leave out or add
     loose = np.floor(MATCH * length - need).astype(np.int64)
 
+    def find(texts: pa.Array) -> tuple[np.ndarray, ...]:
+        w = textkit.Words(texts, textkit.MARKS)
+        gram, start = w.shingles(items.n)
+        hit, at = items.lookup(gram, key)
+        if not len(hit):
+            none = np.zeros(0, np.int64)
+            return none, none, none.astype(float), none
+        n = first[at + 1] - first[at]
+        hit = np.repeat(hit, n)
+        e = entry[np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)]
+        row = np.searchsorted(start, hit, "right") - 1
+        item, at, hit = items.item[e], items.at[e], hit - start[row] + w.first[row]
+        left, right = at, length[item] - at
+        low = np.maximum(hit - left - np.minimum(MATCH * left, loose[item]), w.first[row])
+        high = np.minimum(hit + right + np.minimum(MATCH * right, loose[item]), w.first[row + 1])
+        order = np.lexsort((hit - at, item, row))
+        row, item, diagonal, low, high = (x[order] for x in (row, item, hit - at, low, high))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > length[item[1:]] // 2)
+        begin = np.flatnonzero(new)
+        row, item, low, high = row[begin], item[begin], np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
+        ok = items.promising(w.hash, item, low, high, need[item])
+        row, item, low, high = row[ok], item[ok], low[ok], high[ok]
+        size = length[item]
+        score, end = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        order = np.lexsort((high - low, size))
+        a = 0
+        while a < len(order):
+            z = order[a : a + 256]
+            while len(z) > 1 and len(z) * int((high[z] - low[z]).max()) > 4_000_000:
+                z = z[: len(z) // 2]
+            best, last = align([items.word[items.first[i] : items.first[i + 1]] for i in item[z]], [w.hash[x:y] for x, y in zip(low[z], high[z])])
+            score[z], end[z] = best, low[z] - w.first[row[z]] + last
+            a += len(z)
+        ok = score >= need[item]
+        return row[ok], item[ok], score[ok] / (MATCH * size[ok]), end[ok]
+
+    return find
+
+
+def search(docs: DataFrame, items: Items, threshold: float, passage: int) -> DataFrame:
+    find = finder(items, threshold, passage)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in textkit.pieces(batches):
-            w = textkit.Words(b.column("text"), textkit.MARKS)
-            gram, start = w.shingles(items.n)
-            hit, at = items.lookup(gram, key)
-            if not len(hit):
-                continue
-            n = first[at + 1] - first[at]
-            hit = np.repeat(hit, n)
-            e = entry[np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)]
-            row = np.searchsorted(start, hit, "right") - 1
-            item, at, hit = items.item[e], items.at[e], hit - start[row] + w.first[row]
-            left, right = at, length[item] - at
-            low = np.maximum(hit - left - np.minimum(MATCH * left, loose[item]), w.first[row])
-            high = np.minimum(hit + right + np.minimum(MATCH * right, loose[item]), w.first[row + 1])
-            order = np.lexsort((hit - at, item, row))
-            row, item, diagonal, low, high = (x[order] for x in (row, item, hit - at, low, high))
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > length[item[1:]] // 2)
-            begin = np.flatnonzero(new)
-            row, item, low, high = row[begin], item[begin], np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
-            ok = items.promising(w.hash, item, low, high, need[item])
-            row, item, low, high = row[ok], item[ok], low[ok], high[ok]
-            size = length[item]
-            found = []
-            order = np.lexsort((high - low, size))
-            a = 0
-            while a < len(order):
-                z = order[a : a + 256]
-                while len(z) > 1 and len(z) * int((high[z] - low[z]).max()) > 4_000_000:
-                    z = z[: len(z) // 2]
-                best, end = align([items.word[items.first[i] : items.first[i + 1]] for i in item[z]], [w.hash[x:y] for x, y in zip(low[z], high[z])])
-                found.append((z, best, low[z] - w.first[row[z]] + end))
-                a += len(z)
-            if found:
-                z, score, end = (np.concatenate(x) for x in zip(*found))
-                ok = score >= need[item[z]]
-                z, score, end = z[ok], score[ok] / (MATCH * size[z[ok]]), end[ok]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row[z])), pa.array(items.ids[item[z]]), pa.array(score), pa.array(end.astype(np.int64))], ["doc_id", "item_id", "score", "end_word"])
+            row, item, score, end = find(b.column("text"))
+            if len(row):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(items.ids[item]), pa.array(score), pa.array(end)], ["doc_id", "item_id", "score", "end_word"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
 
 
 def blocks(benchmark: DataFrame, n: int, most: int) -> Iterator[Items]:
     """The items in blocks of about most bytes of text, each of a range of item hashes."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-2 * total // most)) if total > most else 1
     for i in range(parts):
-        rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == i).orderBy("item_id", "text").collect()
+        rows = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).orderBy("item_id", "text").collect()
         yield Items([r[0] for r in rows], [r[1] for r in rows], n)
 
 
@@ -164,14 +176,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
     """doc_id, item_id, score and end_word (of the passage) for each document and test item whose alignment reaches the threshold or the score of a passage."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL")
     out = None
-    for items in blocks(benchmark, n, block_bytes):
+    for items in blocks(benchmark.where("item_id IS NOT NULL"), n, block_bytes):
         found = search(own, items, threshold, passage)
         out = found if out is None else out.union(found)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.round("best.score", 6).alias("score"), (-F.col("best.back")).alias("end_word"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a test item; rows without doc_id stay."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, passage: int = PASSAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows whose text holds a test item."""
+
+    def clean(find: Callable[[pa.Array], tuple[np.ndarray, ...]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in textkit.pieces(batches):
+                keep = np.ones(b.num_rows, bool)
+                keep[find(b.column("text"))[0]] = False
+                yield b.filter(pa.array(keep))
+
+        return run
+
+    for items in blocks(benchmark, n, block_bytes):
+        docs = docs.mapInArrow(clean(finder(items, threshold, passage)), docs.schema)
+    return docs

@@ -395,14 +395,18 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     spark, t = docs.sparkSession, Threshold(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = save(sets(docs, k), "sets")
-    classes = own.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    # dealt by a third key, so that adaptive execution may split a class of very many copies
+    third = F.xxhash64("h1").alias("h3")
+    classes = save(own.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("members")), "classes")
+    several = classes.where("members > 1").select("h1", "h2", third, "rep")
     total = own.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_buckets = buckets(spark, 4 * (den - num) * total // (num + den), BUCKET)
-    copies = own.where("n > 0").join(classes, ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    copies = own.where("n > 0").select("doc_id", "h1", "h2", third).join(several, ["h1", "h2", "h3"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     near = connected_components(shared_keys(docs, k, t, n_buckets).union(copies), "blocks")
     # the representatives in each block, and for large blocks the pairs of pages
     reps = classes.groupBy(F.col("rep").alias("node")).agg(F.max("n").alias("n"))
     blocks = save(near.join(reps, "node").select("node", "n", F.col("root").alias("block")), "members")
+    forget(near)
     sizes = blocks.groupBy("block").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).where("members > 1")
     pages = F.ceil(F.greatest(F.col("members") / CELL, F.col("tokens") / (CELL * 500)))
     members = blocks.join(sizes.select("block", pages.alias("pages")), "block").withColumn("page", F.pmod(F.xxhash64("node"), F.col("pages")))
@@ -413,13 +417,42 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     amount = sizes.agg(F.coalesce(F.sum(F.col("tokens") * pages), F.lit(0))).first()[0]
     links = connected_components(cell_links(members, docs, k, t, buckets(spark, int(amount), 1_000_000)), "links")
     forget(blocks)
-    out = own.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").join(links.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
+    # a document's representative, and a class's component; the second join's key is the representative, so copies are dealt by their own ids too
+    roots = several.select("h1", "h2", "h3", F.col("rep").alias("node")).join(links, "node", "left").select("h1", "h2", "h3", F.coalesce("root", "node").alias("of_class"))
+    single = links.select(F.col("node").alias("doc_id"), "root")
+    out = own.select("doc_id", "n", "h1", "h2", third).join(roots, ["h1", "h2", "h3"], "left").join(single, "doc_id", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("of_class", "root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the column _node, a number for each different pair of doc_id and text.
+
+    It is doc_id itself for the first text of a doc_id (by hash, commonly the only one); further texts of the same doc_id, and rows without
+    doc_id, are numbered beyond all doc_ids, in the order of doc_id (nulls last) and hash.
+    """
+    keyed = docs.select("*", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_hash"), F.col("doc_id").cast("long").alias("_id"))
+    ids = keyed.groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most"), F.count("*").alias("_rows"))
+    odd = save(ids.where("_id IS NULL OR _least <> _most").select("_id", F.when(F.col("_id").isNotNull(), F.col("_least")).alias("_least")), "odd")
+    most = keyed.agg(F.coalesce(F.max("_id"), F.lit(0))).first()[0]
+    again = F.col("_id").eqNullSafe(F.col("_odd"))
+    further = keyed.select("_id", "_hash").join(odd.withColumnRenamed("_id", "_odd"), again).where("_least IS NULL OR _hash <> _least").select("_id", "_hash").distinct()
+    further = further.orderBy(F.col("_id").asc_nulls_last(), "_hash").select("_id", "_hash", (F.monotonically_increasing_id() + F.lit(most + 1)).alias("_number"))
+    further = save(further, "further").select(F.col("_id").alias("_odd"), F.col("_hash").alias("_other"), "_number")
+    found = keyed.join(further, again & (F.col("_hash") == F.col("_other")), "left")
+    out = found.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("_number", "_id").alias("_node"))
+    return out
+
+
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one row for each component, that of its least doc_id; rows without doc_id stay as they are."""
-    winners = jaccard_join(docs, k, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """docs with one row for each component. Different texts of one doc_id, and texts without doc_id, are documents of their own.
+
+    That of the least doc_id stays, the first texts of all doc_ids before further ones and those without doc_id; of rows equal in doc_id and text, that of
+    the least JSON of the other columns.
+    """
+    own = numbered(docs)
+    winners = jaccard_join(own.select(F.col("_node").alias("doc_id"), "text"), k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_node")).distinct()
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    kept = own.join(winners, "_node", "left_semi")
+    rows = kept.groupBy("_node").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.to_json(F.struct(*others)) if others else F.lit(0)).alias("_row"))
+    return rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

@@ -55,7 +55,7 @@ def counts(docs: DataFrame, key: Column | None = None) -> DataFrame:
     df = docs.select(key, text.alias("text"))
     df = df.select("doc_id", "text", words_of(F.col("text")).alias("w"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     df = df.withColumn("hashes", F.expr("CASE WHEN size(w) >= 4 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END"))
-    stop = rf"(?i)(?<![^\x20\x09-\x0D])(?:{'|'.join(STOP_WORDS)})(?=[.,;:]?(?:[\x20\x09-\x0D]|$))"
+    stop = rf"(?i)(?<![^\x20\x09-\x0D])(?:{'|'.join(STOP_WORDS)})(?=[.,;:]?(?:[\x20\x09-\x0D]|\z))"
     repeated = """
         CASE WHEN hashes IS NULL OR size(array_distinct(hashes)) = size(hashes) THEN 0L ELSE
           transform(
@@ -127,7 +127,7 @@ WITH d AS (
   SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
-         len(list_filter(w, lambda x: regexp_full_match(x, '(?i)({"|".join(STOP_WORDS)})[.,;:]?'))) AS n_stop_words, len(lines) AS n_lines
+         len(list_filter(w, lambda x: regexp_full_match(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '({"|".join(STOP_WORDS)})[.,;:]?'))) AS n_stop_words, len(lines) AS n_lines
   FROM d LEFT JOIN r USING (row_id)
 ), b AS (
   SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed FROM c

@@ -43,8 +43,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Revisits made of the table's pages, resolved among its responses; headers as JSON."""
-    return warc.flat(warc.resolve(warc.captures(table(spark, sf_dir, "pages"))))
+    """Responses and revisits made of the table's pages, written as WARC records, read again and resolved."""
+    written = warc.write_records(warc.captures(table(spark, sf_dir, "pages")))
+    return warc.flat(warc.resolve(warc.read_records(written.withColumnRenamed("warc", "content"))))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

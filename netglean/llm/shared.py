@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +14,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder that all executors share. A session that names none gets a local folder if it has one machine; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or "/tmp/checkpoints"
+
+
+def _path(spark: SparkSession, path: str):
+    """Hadoop's file system and path, for any store that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation of what came before."""
+    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation of what came before.
+
+    forget() deletes it; what a result still reads is deleted when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    store, at = _path(spark, path)
+    store.deleteOnExit(at)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
@@ -30,9 +45,9 @@ def save(df: DataFrame, tag: str) -> DataFrame:
 def forget(*saved: DataFrame) -> None:
     """Deletes tables that save() wrote, once nothing reads them any more."""
     for df in saved:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        store, at = _path(df.sparkSession, df.saved_at)
+        store.delete(at, True)
+        store.cancelDeleteOnExit(at)
 
 
 def buckets(spark: SparkSession, rows: int, rows_each: int) -> int:

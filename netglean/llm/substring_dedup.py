@@ -10,8 +10,9 @@ travel as one segment of text.
    the whole window, so that a passage in every document isn't one group.
 3. Each bucket sorts its suffixes: by first eight bytes, then by mergesort. Two suffixes are compared by the length
    that they have in common, which binary search finds with the prefix polynomial hashes of the bucket's text, in logarithmically many
-   steps, and by the byte that follows. Neighbours that agree in all bytes by their hashes are compared byte by byte, so a
-   collision removes nothing. Of equal suffixes all but the earliest are marked.
+   steps, and by the byte that follows. All neighbours of the result are then compared byte by byte; a group with two in
+   wrong order, or with equal hashes of different bytes, is sorted again by its bytes, so a collision of hashes has no
+   effect. Of equal suffixes all but the earliest are marked.
 4. The marked windows of a document, united, are what is removed.
 
 Null and short texts lose nothing. Rows with one doc_id are taken for one document, repeated, and have equal results; a row without a doc_id
@@ -180,6 +181,19 @@ def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarr
     return out
 
 
+def compare_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """-1, 0 or 1 for each pair of positions, by their first length bytes."""
+    out = np.zeros(len(a), np.int8)
+    offset, step = np.arange(length), max(1, 4_000_000 // length)
+    for x in range(0, len(a), step):
+        p, q = data[a[x : x + step, None] + offset], data[b[x : x + step, None] + offset]
+        differ = p != q
+        at = differ.argmax(axis=1)
+        row = np.arange(len(at))
+        out[x : x + step] = np.where(differ[row, at], np.where(p[row, at] < q[row, at], -1, 1), 0)
+    return out
+
+
 class SuffixSort:
     """Sorts suffixes of data (positions) by their first length bytes, ties in their given order."""
 
@@ -283,10 +297,17 @@ def repeated(data: np.ndarray, seg_at: np.ndarray, count: np.ndarray, seed: np.n
     back = np.argsort(position)
     order = order[back[np.searchsorted(position[back], ranked)]]
     group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    p, q = ranked[:-1], ranked[1:]
-    equal = (group[1:] == group[:-1]) & sorter.same(p, q)
-    near = np.flatnonzero(equal)
-    equal[near] = equal_bytes(data, p[near], q[near], np.full(len(near), length))
+    equal = np.zeros(max(len(ranked) - 1, 0), bool)
+    near = np.flatnonzero(group[1:] == group[:-1])
+    by_bytes = compare_bytes(data, ranked[near], ranked[near + 1], length)
+    wrong = np.unique(group[near[(by_bytes > 0) | (by_bytes == 0) & (order[near] > order[near + 1])]])
+    if len(wrong):  # hashes have collided
+        for g in wrong:
+            a, b = bounds[g], bounds[g + 1]
+            again = np.array(sorted(range(a, b), key=lambda i: (data[ranked[i] : ranked[i] + length].tobytes(), order[i])))
+            ranked[a:b], order[a:b] = ranked[again], order[again]
+        by_bytes = compare_bytes(data, ranked[near], ranked[near + 1], length)
+    equal[near] = by_bytes == 0
     first = np.maximum.accumulate(np.where(np.concatenate(([True], ~equal)), np.arange(len(ranked)), 0))
     d, s = doc[of[order]], start[of[order]] + (at[order] - seg_at[of[order]])
     marked = (d != d[first]) | (s != s[first])

@@ -6,7 +6,7 @@ the revisit has one, else the dates of last modification when it has one; with n
 The result has the original's headers, in which those that a 304 answer may renew are taken from the revisit.
 
 Files may be plain or gzip, in one or many members. Dates are ISO 8601 and become microseconds since 1970. The identifier of a record that was written
-here gives its number back; any other is hashed to 63 bits. A revisit of another profile than server-not-modified isn't of kind 'revisit'
+here gives its number back; any other is hashed to 63 bits. Repeated header lines are joined by ", ". A file is read by one task, in memory. A revisit of another profile than server-not-modified isn't of kind 'revisit'
 but 'revisit:' and the profile's last part, as the rules here don't apply to it.
 
 Records are (record_id long, kind 'response' or 'revisit', url, ts long, status int, headers map of lower-case names, payload binary).
@@ -30,7 +30,7 @@ from netglean.llm.asof import latest_before
 #: Headers that a 304 answer may renew (RFC 9110, 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that only say where a visitor came from.
-TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
+TRACKING = r"(?:utm_[a-z]+|fbclid|gclid)"
 PROFILE = "server-not-modified"
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -162,7 +162,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], int | None, dict[str, s
             lines = head.decode("utf-8", "replace").split("\r\n")
             part = lines[0].split(" ")
             status = int(part[1]) if len(part) > 1 and part[1].isdigit() else None
-            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            for k, _, v in (x.partition(":") for x in lines[1:]):
+                k, v = k.strip().lower(), v.strip()
+                headers[k] = f"{headers[k]}, {v}" if k in headers else v
         else:
             payload = block
         yield fields, status, headers, payload
@@ -185,15 +187,27 @@ def read_records(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
         names = ["record_id", "kind", "url", "ts", "status", "headers", "payload"]
+
+        def send() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            rows.clear()
+            return out
+
+        rows, size = [], 0
         for b in batches:
-            rows = []
-            for data in b.column("content").to_pylist():
+            for data in b.column("content"):
+                data = data.as_py()
                 for f, status, headers, payload in parse(unzipped(data or b"")):
                     kind, profile = f.get("warc-type"), f.get("warc-profile", "").rstrip("/").rpartition("/")[2]
                     if kind == "revisit" and profile not in ("", PROFILE):
                         kind = f"revisit:{profile}"
                     rows.append((number(f.get("warc-record-id", "")), kind, f.get("warc-target-uri"), microseconds(f.get("warc-date", "")), status, list(headers.items()), payload))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
+                    size += len(payload) + 100
+                    if size >= 8_000_000:
+                        yield send()
+                        size = 0
+        if rows:
+            yield send()
 
     return files.select(F.col("content").cast("binary").alias("content")).mapInArrow(run, "record_id long, kind string, url string, ts long, status int, headers map<string,string>, payload binary")
 
