@@ -1,4 +1,9 @@
-"""From documents to token ids: quality rules, near copies, benchmark leaks, secrets, tokens. Each stage reads what the one before wrote."""
+"""From documents to token ids: quality rules, near copies, benchmark leaks, secrets, tokens. Each stage reads what the one before wrote.
+
+Every stage judges rows by their own text. Null and empty texts fail the quality rules; a null doc_id goes through all stages; different texts of one
+doc_id are different documents, and equal rows count once from the second stage on; empty tables give empty results; further columns
+of documents are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netglean.llm import bpe, decontaminate, jaccard_join, quality_rules, secret_scan
-from netglean.llm.shared import save, table
+from netglean.llm.shared import forget, save, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = save(docs, name)
-    return docs
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            forget(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
