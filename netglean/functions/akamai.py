@@ -53,3 +53,14 @@ def fingerprint(frames: Column, pseudo: Column) -> Column:
     named = lambda t: F.struct(t.alias("text"), F.substring(F.sha2(t.cast("binary"), 256), 1, 32).alias("hash"))
     of = lambda f: F.when(settings(f).isNotNull(), octets.let(text(settings(f), window(f), priorities(f), pseudo), named))
     return octets.let(frames, of)
+
+
+#: Names of the settings of RFC 9113, 6.5.2, by id.
+SETTING_NAMES = {1: "header_table_size", 2: "enable_push", 3: "max_concurrent_streams", 4: "initial_window_size", 5: "max_frame_size", 6: "max_header_list_size"}
+
+
+def named_settings(frames: Column) -> Column:
+    """STRUCT of the known settings over all SETTINGS frames, of each the last; null where none names it."""
+    every = F.flatten(F.transform(F.filter(frames, lambda f: f["type"] == SETTINGS), lambda f: F.coalesce(settings(F.array(F.struct(f["type"].alias("type"), F.lit(0).cast("long").alias("stream_id"), f["payload"].alias("payload")))), F.array().cast("array<struct<id: int, value: bigint>>"))))
+    last = lambda k: F.try_element_at(F.filter(every, lambda x: x["id"] == k), F.lit(-1))["value"]
+    return F.struct(*((last(k) != 0 if name == "enable_push" else last(k)).alias(name) for k, name in SETTING_NAMES.items()))

@@ -129,3 +129,20 @@ def distance(observed: Column, signature: Column) -> Column:
 
     errors = F.aggregate(signature, zero, step, lambda a: a["errors"] + F.greatest(F.size(observed) - a["at"], F.lit(0)))
     return F.when(errors <= 2, 0).when(errors <= 5, 1).when(errors <= 8, 2).when(errors <= 11, 3)
+
+
+def metadata(text: Column) -> Column:
+    """STRUCT about the headers of a message: header_count, duplicates (lower-case names that occur again, as often as they do), case_variations (the spellings of those), malformed, first_line_length, headers_length."""
+
+    def told(lines: Column, pairs: Column) -> Column:
+        names = F.transform(F.filter(pairs, lambda p: p["ok"] & (p["name"] != "")), lambda p: p["name"])
+        lower = F.transform(names, F.lower)
+        again = F.filter(lower, lambda x, i: F.array_position(lower, x) - 1 < i)
+        cases = F.transform(F.array_distinct(again), lambda k: F.struct(k.alias("key"), F.filter(names, lambda n: F.lower(n) == k).alias("value")))
+        return F.struct(
+            F.size(names).alias("header_count"), again.alias("duplicates"), F.map_from_entries(cases).alias("case_variations"), (F.size(names) < F.size(pairs)).alias("malformed"),
+            F.length(F.get(lines, F.lit(0))).alias("first_line_length"), F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), F.lit(0), lambda a, x: a + F.length(x)).alias("headers_length"),
+        )
+
+    lines = F.split(F.regexp_replace(_head(text), "\r\n", "\n"), "\n")
+    return let(lines, lambda ls: let(_pairs(ls), lambda pairs: F.when(ls.isNotNull(), told(ls, pairs))))

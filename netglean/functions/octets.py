@@ -38,28 +38,3 @@ def u16(data: Column, at: Column | int) -> Column:
 
 def u32(data: Column, at: Column | int) -> Column:
     return number(data, at, 4)
-
-
-def octets(data: Column) -> Column:
-    """ARRAY<INT> of a BINARY's bytes."""
-    h = F.hex(data)
-    return F.when(F.octet_length(data) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.octet_length(data) - 1), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-
-
-def ipv4(data: Column, at: Column | int) -> Column:
-    return F.concat_ws(".", *(u8(data, _col(at) + i).cast("string") for i in range(4)))
-
-
-def ipv6(data: Column, at: Column | int) -> Column:
-    """The shortest text of an IPv6 address: the first longest run of two or more zero groups becomes '::'."""
-    text = F.lower(F.hex(cut(data, at, 16)))
-    groups = let(text, lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(h, i * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":"))
-
-    def shortest(g: Column) -> Column:
-        out = g
-        for n in range(2, 9):  # longer runs override shorter ones
-            run = ":".join(["0"] * n)
-            out = F.when(g.rlike(rf"(?:^|:){run}(?:$|:)"), F.regexp_replace(g, rf"^((?:[0-9a-f]+:)*?){run}(?:$|:)(.*)$", "$1::$2")).otherwise(out)
-        return F.regexp_replace(out, ":::", "::")
-
-    return F.when(F.length(text) == 32, let(groups, shortest))

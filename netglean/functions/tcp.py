@@ -94,47 +94,9 @@ def tcp_quirks(flags: Column, seq: Column, ack: Column, urgent: Column) -> Colum
     ))
 
 
-#: Names of TCP option kinds.
-OPTION_NAMES = {1: "nop", 2: "mss", 3: "ws", 4: "sok", 5: "sack", 8: "ts"}
-
-
-def options(raw: Column, syn: Column | bool = True) -> Column:
-    """Walks the option bytes of a TCP header.
-
-    STRUCT<layout, mss, wscale, quirks, ts, malformed>: ts is STRUCT<val, ecr>; quirks come from options, in the order met. Beyond a
-    length that doesn't fit the walk goes on at the end and malformed is set. syn: whether a peer's timestamp is out of place. A header has at most 40 option bytes, so the fold is bounded.
-    """
-    kind = "STRUCT<layout: ARRAY<STRING>, mss: INT, wscale: INT, quirks: ARRAY<STRING>, val: BIGINT, ecr: BIGINT, malformed: BOOLEAN, skip: INT>"
-    zero = F.struct(
-        F.array().cast("array<string>").alias("layout"), F.lit(None).cast("int").alias("mss"), F.lit(None).cast("int").alias("wscale"), F.array().cast("array<string>").alias("quirks"),
-        F.lit(None).cast("long").alias("val"), F.lit(None).cast("long").alias("ecr"), F.lit(False).alias("malformed"), F.lit(0).alias("skip"),
-    )
-    syn = F.lit(syn) if isinstance(syn, bool) else syn
-    walk = lambda b: F.aggregate(F.transform(b, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), zero.cast(kind), lambda a, e: F.when(e["i"] < a["skip"], a).otherwise(_option(b, a, e["i"], e["x"], syn).cast(kind)))
-    named = lambda state: F.struct(state["layout"].alias("layout"), state["mss"].alias("mss"), state["wscale"].alias("wscale"), state["quirks"].alias("quirks"), F.when(state["val"].isNotNull(), F.struct(state["val"].alias("val"), state["ecr"].alias("ecr"))).alias("ts"), state["malformed"].alias("malformed"))
-    return octets.let(octets.let(octets.octets(raw), walk), named)
-
-
-def _option(b: Column, a: Column, i: Column, x: Column, syn: Column) -> Column:
-    size, at = F.size(b), lambda n: F.get(b, i + n)
-    length = F.when(x <= 1, 1).otherwise(F.greatest(F.coalesce(at(1), F.lit(2)), F.lit(2)))
-    data = F.least(i + length, size) - i - 2  # bytes after kind and length that are there
-    bad = (x > 1) & ((i + F.coalesce(at(1), F.lit(255)) > size) | (F.coalesce(at(1), F.lit(0)) < 2))
-    big = lambda n, k: sum((F.shiftleft(at(n + j).cast("long"), 8 * (k - 1 - j)) for j in range(1, k)), F.shiftleft(at(n).cast("long"), 8 * (k - 1)))
-    name = F.when(x == 0, F.concat(F.lit("eol+"), (size - i - 1).cast("string")))
-    for k, v in OPTION_NAMES.items():
-        name = name.when(x == k, v)
-    name = name.otherwise(F.concat(F.lit("?"), x.cast("string")))
-    rest = F.exists(F.slice(b, i + 2, F.greatest(size - i - 1, F.lit(0))), lambda v: v != 0)
-    val, ecr = F.when((x == 8) & (data >= 8), big(2, 4)), F.when((x == 8) & (data >= 8), big(6, 4))
-    new = F.array_compact(F.array(
-        F.when((x == 0) & rest, "opt+"), F.when((x == 3) & (data >= 1) & (at(2) > 14), "exws"), F.when((x == 8) & (data >= 4) & (big(2, 4) == 0), "ts1-"), F.when(syn & (ecr != 0), "ts2+"),
-    ))
-    return F.struct(
-        F.concat(a["layout"], F.array(name)).alias("layout"), F.when((x == 2) & (data >= 2), big(2, 2).cast("int")).otherwise(a["mss"]).alias("mss"),
-        F.when((x == 3) & (data >= 1), at(2)).otherwise(a["wscale"]).alias("wscale"), F.concat(a["quirks"], new).alias("quirks"), F.coalesce(val, a["val"]).alias("val"),
-        F.coalesce(ecr, a["ecr"]).alias("ecr"), (a["malformed"] | bad).alias("malformed"), F.when(x == 0, size).otherwise(i + length).alias("skip"),
-    )
+def ipv6_option_length(next_header: Column, payload: Column) -> Column:
+    """Bytes of an IPv6 packet's first extension header, modulo 256: none before TCP, 8 of a fragment, else what the header itself says."""
+    return F.when((next_header == 6) | (F.octet_length(payload) == 0), 0).when(next_header == 44, 8).otherwise(F.coalesce(((octets.u8(payload, 1) + 1) * 8).bitwiseAND(255), F.lit(0)))
 
 
 def signature_text(version: Column, ttl: Column, olen: Column, mss: Column, window: Column, wscale: Column, layout: Column, quirks: Column, payload: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,22 +42,52 @@ def split(tsval: Column, hz: Column) -> Column:
     return F.struct(F.floor(s / 86400).cast("int").alias("days"), F.floor(F.pmod(s, F.lit(86400)) / 3600).cast("int").alias("hours"), F.floor(F.pmod(s, F.lit(3600)) / 60).cast("int").alias("minutes"), F.floor((_WRAP - 1) / (hz.cast("double") * 86400)).cast("int").alias("wrap_days"))
 
 
-def anchors(samples: Column) -> Column:
-    """Folds a direction's samples, ARRAY<STRUCT<t_ms, no, tsval>> in order, into ARRAY<STRUCT<t_ms, no, tsval, hz>> of those that tell a frequency.
+def raw_frequency(ms: int, ticks: int) -> float | None:
+    """frequency() of plain numbers."""
+    d = ticks % _WRAP
+    back = d > _WRAP - 1 - d
+    n = _WRAP - 1 - d if back else d
+    if not LEAST_MS <= ms <= MOST_MS or n < LEAST_TICKS or back and ms < GRACE_MS and n > MOST_HZ // GRACE_MS * 1000:
+        return None
+    hz = n * 1000.0 / max(ms, 1)
+    return hz if LEAST_HZ <= hz <= MOST_HZ else None
+
+
+class Tracker:
+    """The other way to tell uptimes: a connection's SYN is the reference, its first answer tells the frequency, and later answers use it. Once unusable, it stays so."""
+
+    def __init__(self):
+        self.syn, self.hz, self.bad = None, None, False
+
+    def step(self, t_ms: int, tsval: int, from_client: bool) -> float | None:
+        """The raw frequency by which this answer's timestamp counts."""
+        if from_client:
+            self.syn = (t_ms, tsval)
+        elif self.syn is not None:
+            if self.hz is None and not self.bad:
+                self.hz = raw_frequency(t_ms - self.syn[0], tsval - self.syn[1])
+                self.bad = self.hz is None
+            return self.hz
+        return None
+
+
+class Anchor(NamedTuple):
+    """A direction's reference sample since a time. A bad one silences the direction until it expires."""
+
+    since: int
+    ref_ms: int
+    ref: int
+    bad: bool
+
+
+def step(anchor: Anchor | None, t_ms: int, tsval: int) -> tuple[Anchor, float | None]:
+    """The reference after a sample, and the raw frequency that the sample tells.
 
-    The first sample is the reference while it lives (30 s). A usable pair keeps it; an unusable one puts a mark in its
-    place that silences the direction until it expires.
+    The first sample is the reference while it lives (30 s). A usable pair keeps it; an unusable one puts a mark in its place.
     """
-    out = "ARRAY<STRUCT<t_ms: BIGINT, no: BIGINT, tsval: BIGINT, hz: DOUBLE>>"
-    kind = f"STRUCT<at: BIGINT, ref_ms: BIGINT, ref: BIGINT, bad: BOOLEAN, out: {out}>"
-    zero = F.struct(F.lit(None).cast("long").alias("at"), F.lit(0).cast("long").alias("ref_ms"), F.lit(0).cast("long").alias("ref"), F.lit(False).alias("bad"), F.array().cast(out).alias("out")).cast(kind)
-
-    def step(a: Column, x: Column) -> Column:
-        live = a["at"].isNotNull() & (x["t_ms"] - a["at"] < LIFETIME_MS)
-        hz = frequency(x["t_ms"] - a["ref_ms"], x["tsval"] - a["ref"])
-        fresh = F.struct(x["t_ms"].alias("at"), x["t_ms"].alias("ref_ms"), x["tsval"].alias("ref"), F.lit(False).alias("bad"), a["out"].alias("out"))
-        silenced = F.struct(x["t_ms"].alias("at"), a["ref_ms"].alias("ref_ms"), a["ref"].alias("ref"), F.lit(True).alias("bad"), a["out"].alias("out"))
-        told = F.struct(a["at"].alias("at"), a["ref_ms"].alias("ref_ms"), a["ref"].alias("ref"), F.lit(False).alias("bad"), F.concat(a["out"], F.array(F.struct(x["t_ms"].alias("t_ms"), x["no"].alias("no"), x["tsval"].alias("tsval"), hz.alias("hz")))).alias("out"))
-        return F.when(~F.coalesce(live, F.lit(False)), fresh.cast(kind)).when(a["bad"], a).when(hz.isNull(), silenced.cast(kind)).otherwise(told.cast(kind))
-
-    return F.aggregate(samples, zero, step, lambda a: a["out"])
+    if anchor is None or t_ms - anchor.since >= LIFETIME_MS:
+        return Anchor(t_ms, t_ms, tsval, False), None
+    if anchor.bad:
+        return anchor, None
+    hz = raw_frequency(t_ms - anchor.ref_ms, tsval - anchor.ref)
+    return (anchor, hz) if hz is not None else (Anchor(t_ms, anchor.ref_ms, anchor.ref, True), None)

@@ -1,20 +1,23 @@
-"""From captured bytes to TCP observations, all in column expressions; rows that aren't valid TCP drop out, never fail."""
+"""From captured bytes to TCP observations: headers a batch at a time, what is made of them in column expressions. Rows that aren't valid TCP drop out, never fail."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from netglean.functions import octets, tcp
 from netglean.functions.filters import FilterConfig
-
-ETHERNET_V4, ETHERNET_V6, TCP = 0x0800, 0x86DD, 6
+from netglean.operators import headers
+from netglean.operators.headers import ETHERNET_V4, ETHERNET_V6
 
 
-def ip_offset(data: Column) -> Column:
-    """Where the IP header begins: after Ethernet, at once, or after a 4-byte loopback header; null for other link types."""
-    n, kind, nibble = F.octet_length(data), octets.u16(data, 12), F.floor(octets.u8(data, 0) / 16)
-    return F.when((n >= 14) & kind.isin(ETHERNET_V4, ETHERNET_V6), 14).when((n >= 20) & nibble.isin(4, 6), 0).when((n >= 24) & (octets.u16(data, 0) == 0x1E00), 4)
+def _schema(df: DataFrame, more: str) -> StructType:
+    """df's columns and more, all of which may be null."""
+    return StructType([StructField(f.name, f.dataType) for f in df.schema] + StructType.fromDDL(more).fields)
 
 
 def datalink_format(data: Column) -> Column:
@@ -35,19 +38,12 @@ def _once(df: DataFrame, value: Column, name: str, keep: list[str], all_rows: bo
 
 def endpoints(packets: DataFrame) -> DataFrame:
     """packets with src, dst, sport and dport for filters, null where a packet isn't plainly TCP."""
-    data, columns = F.col("data"), packets.columns
-    n, kind, nibble, family = F.octet_length(data), octets.u16(data, 12), F.floor(octets.u8(data, 0) / 16), octets.u8(data, 0)
-    at = F.when((n >= 14) & kind.isin(ETHERNET_V4, ETHERNET_V6), 14).when(nibble.isin(4, 6), 0).when(family.isin(2, 28, 30), 4)
-    df = _once(packets, at, "_o", columns, True)
-    o = F.col("_o")
-    df = _once(df, F.struct(F.floor(octets.u8(data, o) / 16).alias("v"), octets.u8(data, o).bitwiseAND(15).alias("words"), octets.u8(data, o + 9).alias("p4"), octets.u8(data, o + 6).alias("p6")), "_ip", [*columns, "_o"], True)
-    v, words = F.col("_ip.v"), F.col("_ip.words")
-    t = F.when((v == 4) & (F.col("_ip.p4") == TCP) & (words >= 5), o + words * 4).when((v == 6) & (F.col("_ip.p6") == TCP), o + 40)
-    df = _once(df, F.when(F.octet_length(data) >= t + 4, t), "_t", [*columns, "_o", "_ip"], True)
-    known = F.col("_t").isNotNull()
-    side = lambda a, b: F.when(known, F.when(v == 4, octets.ipv4(data, o + a)).otherwise(octets.ipv6(data, o + b)))
-    ends = F.struct(side(12, 8).alias("src"), side(16, 24).alias("dst"), octets.u16(data, F.col("_t")).alias("sport"), octets.u16(data, F.col("_t") + 2).alias("dport"))
-    return _once(df, ends, "_ends", columns, True).select(*columns, "_ends.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *headers.endpoints(b.column("data"))], [*b.schema.names, "src", "dst", "sport", "dport"])
+
+    return packets.mapInArrow(run, _schema(packets, headers.ENDPOINTS))
 
 
 def apply_filter(packets: DataFrame, config: FilterConfig) -> DataFrame:
@@ -58,48 +54,27 @@ def apply_filter(packets: DataFrame, config: FilterConfig) -> DataFrame:
 
 
 def decode(packets: DataFrame) -> DataFrame:
-    """One row for each valid TCP segment of packets (capture, packet_no, ts, data): addresses, header fields, option bytes and payload."""
-    keep = ["capture", "packet_no", "ts"]
-    data, o = F.col("data"), F.col("o")
-    df = _once(packets, ip_offset(data), "o", [*keep, "data"])
-    df = _once(df, F.when(F.floor(octets.u8(data, o) / 16).isin(4, 6), octets.u8(data, o)), "b0", [*keep, "data", "o"])
-    v4 = F.col("b0") < 80
-    pick = lambda a, b: F.when(v4, a).otherwise(b)
-    ip = F.struct(
-        F.when(v4, 4).otherwise(6).alias("ip_version"), F.when(v4, F.col("b0").bitwiseAND(15)).alias("words"),
-        pick(octets.u8(data, o + 9), octets.u8(data, o + 6)).alias("proto"), pick(octets.u8(data, o + 8), octets.u8(data, o + 7)).alias("ttl"),
-        F.when(v4, octets.u16(data, o + 6)).alias("frag"), F.when(v4, octets.u16(data, o + 4)).alias("ident"),
-        pick(octets.u8(data, o + 1).bitwiseAND(3), F.shiftright(octets.u16(data, o), 4).bitwiseAND(3)).alias("ecn"), F.when(~v4, octets.u32(data, o).bitwiseAND(0xFFFFF)).alias("flow"),
-        pick(octets.ipv4(data, o + 12), octets.ipv6(data, o + 8)).alias("src"), pick(octets.ipv4(data, o + 16), octets.ipv6(data, o + 24)).alias("dst"),
-        (o + pick(octets.u16(data, o + 2), octets.u16(data, o + 4) + 40)).alias("stop"), (o + pick(F.col("b0").bitwiseAND(15) * 4, F.lit(40))).alias("t"),
-    )
-    df = _once(df, ip, "ip", [*keep, "data"])
-    df = df.where((F.col("ip.proto") == TCP) & F.coalesce((F.col("ip.frag").bitwiseAND(0x3FFF) == 0) & (F.col("ip.words") >= 5), F.col("ip.ip_version") == 6))
-    t = F.col("ip.t")
-    head = F.struct(
-        octets.u16(data, t).alias("sport"), octets.u16(data, t + 2).alias("dport"), F.shiftright(octets.u8(data, t + 12), 4).alias("words"), octets.u8(data, t + 13).alias("flags"), octets.u32(data, t + 4).alias("seq"), octets.u32(data, t + 8).alias("ack"),
-        octets.u16(data, t + 14).alias("window"), octets.u16(data, t + 18).alias("urgent"),
-    )
-    df = _once(df, head, "h", [*keep, "data", "ip"]).where((F.col("h.words") >= 5) & F.col("h.urgent").isNotNull() & tcp.valid_flags(F.col("h.flags")))
-    size = F.col("h.words") * 4
-    end = F.least(F.octet_length(data), F.greatest(F.col("ip.stop"), t + size))
-    return df.select(
-        *keep, *(F.col(f"ip.{c}").alias(c) for c in ("ip_version", "src", "dst")), "h.sport", "h.dport", *(F.col(f"ip.{c}").alias(c) for c in ("ttl", "words", "frag", "ident", "ecn", "flow")), size.alias("tcp_header"),
-        *(F.col(f"h.{c}").alias(c) for c in ("flags", "seq", "ack", "window", "urgent")), octets.cut(data, t + 20, size - 20).alias("option_bytes"), octets.cut(data, t + size, F.greatest(end - t - size, F.lit(0))).alias("payload"),
-    )
+    """One row for each valid TCP segment of packets (capture, packet_no, ts, data): addresses, header fields, options walked and in bytes, and payload."""
+    kept = packets.select("capture", "packet_no", "ts")
+    names = [*kept.columns, *(f.name for f in StructType.fromDDL(headers.SEGMENTS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, fields = headers.segments(b.column("data"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(keep) for c in names[:3]), *fields], names)
+
+    return packets.select("capture", "packet_no", "ts", F.col("data").cast("binary").alias("data")).mapInArrow(run, _schema(kept, headers.SEGMENTS))
 
 
 def observe(segments: DataFrame, standard_mtu: bool = False) -> DataFrame:
     """decode()'s rows as signature observations: direction, TTL and window classes, layout, quirks, MTU and the signature's text."""
     c = F.col
     v4 = c("ip_version") == 4
-    syn = c("flags").bitwiseAND(tcp.SYN | tcp.ACK | tcp.FIN | tcp.RST) == tcp.SYN
-    df = _once(segments, tcp.options(c("option_bytes"), syn), "opt", segments.columns)
     header = F.when(v4, c("words")).otherwise(40)
     ip_bytes = F.when(v4, c("words") * 4).otherwise(40)
     client = tcp.from_client(c("flags"))
     reserved, dont = c("frag").bitwiseAND(0x8000) != 0, c("frag").bitwiseAND(0x4000) != 0
-    df = df.select(
+    df = segments.select(
         "capture", "packet_no", "ts", "src", "dst", "sport", "dport", "flags", F.when(client, "request").otherwise("response").alias("direction"), c("ip_version").cast("string").alias("version"), tcp.ttl_class(c("ttl")).alias("ttl"),
         F.when(v4, F.greatest(c("words") - 5, F.lit(0)) * 4).otherwise(0).alias("olen"), c("opt.mss").alias("mss"), tcp.window_class(c("window"), c("opt.mss"), header, F.array_contains("opt.layout", "ts"), c("ip_version")).alias("window"),
         c("opt.wscale").alias("wscale"), c("opt.layout").alias("layout"),

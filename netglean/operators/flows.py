@@ -25,10 +25,46 @@ _STARTS = (re.compile(rb"(?:" + "|".join(http.METHODS).encode() + rb")[ \t]+\S+[
 def uptimes(observed: DataFrame) -> DataFrame:
     """observe()'s rows that tell an uptime: capture, packet_no, role, hz, days, hours, minutes, wrap_days. Time is the packets' own."""
     samples = observed.where("tcp_ts IS NOT NULL AND ts IS NOT NULL").select("capture", "packet_no", "src", "sport", "dst", "dport", "role", F.unix_millis("ts").alias("t_ms"), F.col("tcp_ts.val").alias("tsval"))
-    key = ["capture", "src", "sport", "dst", "dport", "role"]
-    per = samples.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t_ms", F.col("packet_no").alias("no"), "tsval"))).alias("s"))
-    told = per.select("capture", "role", F.explode(uptime.anchors(F.col("s"))).alias("e")).select("capture", "role", "e.*").withColumn("hz", uptime.rounded(F.col("hz")))
-    return told.select("capture", F.col("no").alias("packet_no"), "role", "hz", uptime.split(F.col("tsval"), F.col("hz")).alias("u")).select("capture", "packet_no", "role", "hz", "u.*")
+    return told_uptimes(samples, ["capture", "src", "sport", "dst", "dport", "role"]).select("capture", "packet_no", "role", "hz", "days", "hours", "minutes", "wrap_days")
+
+
+def told_uptimes(samples: DataFrame, key: list[str]) -> DataFrame:
+    """The samples (key columns, packet_no, t_ms, tsval; long) that tell a frequency, with hz, days, hours, minutes and wrap_days. A direction's samples pass in order of time, one anchor at a time."""
+    columns = [*key, "packet_no", "t_ms", "tsval"]
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+
+    def start():
+        anchor = None
+
+        def step(r):
+            nonlocal anchor
+            anchor, hz = uptime.step(anchor, r["t_ms"], r["tsval"])
+            return [{**r, "raw_hz": hz}] if hz is not None else []
+
+        return step
+
+    told = _in_order(samples.select(*columns), key, start, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", raw_hz double", ["t_ms", "packet_no"])
+    told = told.withColumn("hz", uptime.rounded(F.col("raw_hz")))
+    return told.select(*key, "packet_no", "tsval", "hz", uptime.split(F.col("tsval"), F.col("hz")).alias("u")).select(*key, "packet_no", "tsval", "hz", "u.*")
+
+
+def answered_uptimes(samples: DataFrame, key: list[str]) -> DataFrame:
+    """Uptimes by uptime.Tracker: samples (key columns, packet_no, t_ms, tsval, from_client) of one key are both directions of a connection."""
+    columns = [*key, "packet_no", "t_ms", "tsval", "from_client"]
+    kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
+
+    def start():
+        tracker = uptime.Tracker()
+
+        def step(r):
+            hz = tracker.step(r["t_ms"], r["tsval"], r["from_client"])
+            return [{**r, "raw_hz": hz}] if hz is not None else []
+
+        return step
+
+    told = _in_order(samples.select(*columns), key, start, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", raw_hz double", ["t_ms", "packet_no"])
+    told = told.withColumn("hz", uptime.rounded(F.col("raw_hz")))
+    return told.select(*key, "packet_no", "hz", uptime.split(F.col("tsval"), F.col("hz")).alias("u")).select(*key, "packet_no", "hz", "u.*")
 
 
 def flow_key(df: DataFrame) -> DataFrame:
@@ -78,8 +114,8 @@ def http_step(flow: HttpFlow | None, t: int | None, forward: bool, flags: int, s
     return (flow, flow.add(forward, flags, seq, payload)) if flow is not None else (None, None)
 
 
-def _in_order(df: DataFrame, key: list[str], start: Callable, schema: str) -> DataFrame:
-    """The rows that start()'s function gives for each of df's rows, a dict; one is made for each key, and gets its rows by packet number."""
+def _in_order(df: DataFrame, key: list[str], start: Callable, schema: str, order: list[str] = ["packet_no"]) -> DataFrame:  # noqa: B006
+    """The rows that start()'s function gives for each of df's rows, a dict; one is made for each key, and gets its rows in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, step = None, None
@@ -95,7 +131,7 @@ def _in_order(df: DataFrame, key: list[str], start: Callable, schema: str) -> Da
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
-    return df.repartition(*key).sortWithinPartitions(*key, "packet_no").mapInArrow(run, schema)
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
 
 def http_messages(segments: DataFrame) -> DataFrame:

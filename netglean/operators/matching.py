@@ -1,4 +1,4 @@
-"""Nearest signatures: observations meet only signatures with their exact key, by a broadcast hash join, and the least distance wins.
+"""Nearest signatures: observations meet only signatures with their exact key, an array of them by a broadcast hash join, and the least distance wins.
 
 Signature tables are files' contents of bounded size (at most MOST_SIGNATURES rows, checked), so they are sent to all tasks. Wildcards are
 exploded into keys beforehand. Distances that are null are incompatible. Ties go to the first label and signature of the file.
@@ -6,6 +6,10 @@ exploded into keys beforehand. Distances that are null are incompatible. Ties go
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +54,12 @@ def window_distance(o: Column, s: Column, mss: Column) -> Column:
     return F.when(s["kind"] == "any", 0).when(o["kind"] == s["kind"], off(o["n"] == s["n"])).when((o["kind"] == "value") & (s["kind"] == "mss"), off(ratio == s["n"]))
 
 
-def tcp_distance(o: str = "o", s: str = "s") -> Column:
-    """Sum over the nine fields; null if one is incompatible. Version, layout and payload agree by the key."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    wild = lambda name, cost: F.when(c(s, name).isNull() | c(s, name).eqNullSafe(c(o, name)), 0).otherwise(cost)
-    quirks = F.when(c(o, "quirks") == c(s, "quirks"), 0)
-    return ttl_distance(c(o, "ttl"), c(s, "ttl")) + F.when(c(o, "olen") == c(s, "olen"), 0).otherwise(2) + wild("mss", 2) + window_distance(c(o, "window"), c(s, "window"), c(o, "mss")) + wild("wscale", 1) + quirks
+def tcp_distance(s: Column) -> Column:
+    """Sum over the nine fields of an observation (columns) and the signature s (a struct); null if one is incompatible. Version, layout and payload agree by the key."""
+    o = F.col
+    wild = lambda name, cost: F.when(s[name].isNull() | s[name].eqNullSafe(o(name)), 0).otherwise(cost)
+    quirks = F.when(o("quirks") == s["quirks"], 0)
+    return quirks + ttl_distance(o("ttl"), s["ttl"]) + F.when(o("olen") == s["olen"], 0).otherwise(2) + wild("mss", 2) + window_distance(o("window"), s["window"], o("mss")) + wild("wscale", 1)
 
 
 def _score(d: Column, steps: list[tuple[int, float]]) -> Column:
@@ -83,9 +87,8 @@ def software_distance(observed: Column, signature: Column, corrected: bool = Fal
     return F.when(observed.contains(signature) if corrected else signature.contains(observed), 0).otherwise(3)
 
 
-def http_distance(o: str = "o", s: str = "s", corrected: bool = False) -> Column:
-    c = lambda side, name: F.col(f"{side}.{name}")
-    return http.distance(c(o, "horder"), c(s, "horder")) + http.distance(c(o, "habsent"), c(s, "habsent")) + software_distance(F.coalesce(c(o, "software"), F.lit("???")), c(s, "software"), corrected)
+def http_distance(s: Column, corrected: bool = False) -> Column:
+    return http.distance(F.col("horder"), s["horder"]) + http.distance(F.col("habsent"), s["habsent"]) + software_distance(F.coalesce("software", F.lit("???")), s["software"], corrected)
 
 
 def quality(enabled: bool, label: Column, score: Column) -> Column:
@@ -94,29 +97,38 @@ def quality(enabled: bool, label: Column, score: Column) -> Column:
     return F.struct(status.alias("status"), score.alias("score"))
 
 
-def _best(obs: DataFrame, index: DataFrame, on: Column, distance: Column, id_: str, score) -> DataFrame:
-    """obs with dist, kind, class, name, flavor, signature and score of the best match, null where none is compatible."""
-    found = obs.alias("o").join(F.broadcast(index.alias("s")), on).withColumn("_d", distance).where(F.col("_d").isNotNull())
-    order = F.struct(F.col("_d").alias("dist"), F.col("s.label_idx").alias("label_idx"), F.col("s.sig_idx").alias("sig_idx"), F.col("s.kind").alias("kind"), F.col("s.class").alias("class"), F.col("s.name").alias("name"), F.col("s.flavor").alias("flavor"), F.col("s.text").alias("signature"))
-    best = found.groupBy(F.col(f"o.{id_}").alias(id_)).agg(F.min(order).alias("m"))
-    out = obs.join(best, id_, "left")
-    return out.select(*obs.columns, *(F.col(f"m.{x}").alias(x) for x in ("dist", "kind", "class", "name", "flavor", "signature")), score(F.col("m.dist")).alias("score"))
+def _best(obs: DataFrame, index: DataFrame, keys: dict[str, Column], distance: Callable[[Column], Column], score: Callable[[Column], Column]) -> DataFrame:
+    """obs with dist, kind, class, name, flavor, signature and score of the best match, null where none is compatible.
+
+    Each observation meets the array of its key's signatures, which all tasks hold, and keeps the least: no shuffle, one pass. keys: the observation's value of each of index's key columns.
+    """
+    fields = [c for c in index.columns if c not in keys]
+    bag = index.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_signatures"))
+    bag = F.broadcast(bag.select(*(F.col(k).alias(f"_{k}") for k in keys), "_signatures"))
+    on = [value.eqNullSafe(F.col(f"_{k}")) for k, value in keys.items()]
+    names = ("kind", "class", "name", "flavor")
+
+    def told(s: Column) -> Column:
+        d = distance(s)
+        return F.when(d.isNotNull(), F.struct(d.alias("dist"), s["label_idx"].alias("label_idx"), s["sig_idx"].alias("sig_idx"), *(s[n].alias(n) for n in names), s["text"].alias("signature")))
+
+    out = obs.join(bag, reduce(lambda a, b: a & b, on), "left").withColumn("_m", F.array_min(F.transform("_signatures", told)))
+    return out.select(*obs.columns, *(F.col(f"_m.{x}").alias(x) for x in ("dist", *names, "signature")), score(F.col("_m.dist")).alias("score"))
 
 
-def match_tcp(obs: DataFrame, sigs: Signatures, id_: str = "id") -> DataFrame:
-    """obs has id (unique), direction, version, ttl, olen, mss, window, wscale, layout, quirks and payload."""
+def match_tcp(obs: DataFrame, sigs: Signatures) -> DataFrame:
+    """obs has direction, version, ttl, olen, mss, window, wscale, layout, quirks and payload."""
     _bounded(sigs.tcp)
     index = tcp_index(sigs.frames(obs.sparkSession)["tcp"])
-    on = (F.col("o.direction") == F.col("s.direction")) & (F.col("o.version") == F.col("s.k_version")) & (F.array_join("o.layout", ",") == F.col("s.k_layout")) & (F.col("o.payload") == F.col("s.k_payload"))
-    return _best(obs, index, on, tcp_distance(), id_, tcp_score)
+    keys = {"direction": F.col("direction"), "k_version": F.col("version"), "k_layout": F.array_join("layout", ","), "k_payload": F.col("payload")}
+    return _best(obs, index, keys, tcp_distance, tcp_score)
 
 
-def match_http(obs: DataFrame, sigs: Signatures, id_: str = "id", corrected: bool = False) -> DataFrame:
-    """obs has id (unique), direction, version, horder, habsent and software. HTTP/2 observations have a version that no signature has."""
+def match_http(obs: DataFrame, sigs: Signatures, corrected: bool = False) -> DataFrame:
+    """obs has direction, version, horder, habsent and software. HTTP/2 observations have a version that no signature has."""
     _bounded(sigs.http)
     index = http_index(sigs.frames(obs.sparkSession)["http"])
-    on = (F.col("o.direction") == F.col("s.direction")) & (F.col("o.version") == F.col("s.k_version"))
-    return _best(obs, index, on, http_distance(corrected=corrected), id_, http_score)
+    return _best(obs, index, {"direction": F.col("direction"), "k_version": F.col("version")}, lambda s: http_distance(s, corrected), http_score)
 
 
 def match_mtu(obs: DataFrame, sigs: Signatures, mtu: str = "mtu") -> DataFrame:
@@ -128,7 +140,8 @@ def match_mtu(obs: DataFrame, sigs: Signatures, mtu: str = "mtu") -> DataFrame:
 
 def ua_family(user_agent: Column, sigs: Signatures) -> Column:
     """Family of the first token of the table that the user agent contains."""
-    out = F.lit(None).cast("string")
-    for _, ua, family in reversed(_bounded(sigs.ua_os)):
-        out = F.when(user_agent.contains(ua), F.lit(family)).otherwise(out)
-    return out
+    rows = _bounded(sigs.ua_os)
+    if not rows:
+        return F.lit(None).cast("string")
+    table = F.from_json(F.lit(json.dumps([{"ua": ua, "family": family} for _, ua, family in rows])), "array<struct<ua: string, family: string>>")  # a constant, folded once
+    return F.get(F.filter(table, lambda x: user_agent.contains(x["ua"])), F.lit(0))["family"]

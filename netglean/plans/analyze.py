@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,9 @@ class AnalysisConfig:
     matcher: bool = True
     filters: FilterConfig = field(default_factory=FilterConfig)
     reassemble_tls: bool = True
+    #: Matchers in place of the signature files': each adds to observations kind, class, name, flavor, signature, dist and score.
+    tcp_matcher: Callable[[DataFrame], DataFrame] | None = None
+    http_matcher: Callable[[DataFrame], DataFrame] | None = None
     standard_mtu: bool = False
     corrected_software: bool = False
 
@@ -37,28 +41,28 @@ def _label() -> list[Column]:
     return [F.col("name"), F.col("class").alias("family"), F.col("flavor").alias("variant"), F.when(F.col("kind") == "s", "specified").when(F.col("kind") == "g", "generic").alias("kind")]
 
 
-def tcp_results(observed: DataFrame, sigs: Signatures | None) -> DataFrame:
+def tcp_results(observed: DataFrame, sigs: Signatures | None, matcher: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """capture, packet_no and the structs syn, syn_ack and mtu: every answer counts as syn_ack."""
-    obs = observed.withColumn("id", F.concat_ws("#", "capture", F.col("packet_no").cast("string")))
+    obs = observed
     if sigs is None:
         blank = {c: F.lit(None).cast("string") for c in ("kind", "class", "name", "flavor", "signature", "link")} | {"dist": F.lit(None).cast("int"), "score": F.lit(None).cast("double")}
         m = obs.withColumns(blank)
     else:
-        m = matching.match_mtu(matching.match_tcp(obs, sigs), sigs)
+        m = matching.match_mtu(matcher(obs) if matcher else matching.match_tcp(obs, sigs), sigs)
     quality = matching.quality(sigs is not None, F.col("name"), F.col("score"))
     body = F.struct(F.struct("src", "sport").alias("source"), F.struct("dst", "dport").alias("destination"), F.when(F.col("name").isNotNull(), F.struct(*_label())).alias("os"), quality.alias("quality"), F.col("signature_text").alias("signature"))
     link = F.struct("mtu", F.col("link"), matching.quality(sigs is not None, F.col("link"), F.when(F.col("link").isNotNull(), F.lit(1.0))).alias("quality"))
     return m.select("capture", "packet_no", F.when(F.col("direction") == "request", body).alias("syn"), F.when(F.col("direction") == "response", body).alias("syn_ack"), F.when(F.col("mtu").isNotNull(), link).alias("mtu"))
 
 
-def http_results(segments: DataFrame, sigs: Signatures | None, corrected: bool = False) -> DataFrame:
+def http_results(segments: DataFrame, sigs: Signatures | None, corrected: bool = False, matcher: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """capture, packet_no and the structs http_request and http_response."""
-    obs = flows.http_observations(flows.http_messages(segments)).withColumn("id", F.concat_ws("#", "flow", "direction", F.col("packet_no").cast("string")))
+    obs = flows.http_observations(flows.http_messages(segments))
     if sigs is None:
         m = obs.withColumns({c: F.lit(None).cast("string") for c in ("kind", "class", "name", "flavor", "signature")} | {"score": F.lit(None).cast("double")})
         family = F.lit(None).cast("string")
     else:
-        m, family = matching.match_http(obs, sigs, corrected=corrected), matching.ua_family(F.col("user_agent"), sigs)
+        m, family = matcher(obs) if matcher else matching.match_http(obs, sigs, corrected), matching.ua_family(F.col("user_agent"), sigs)
     quality = matching.quality(sigs is not None, F.col("name"), F.col("score"))
     text = http.signature_text(F.col("version"), F.col("horder"), F.transform("habsent", lambda x: x["name"]), F.col("software"))
     label = F.when(F.col("name").isNotNull(), F.struct(*_label()))
@@ -89,11 +93,11 @@ def analyze(packets: DataFrame, config: AnalysisConfig | None = None, sigs: Sign
     parts: list[DataFrame] = []
     if config.tcp:
         observed = decode.observe(segments, config.standard_mtu)
-        parts.append(tcp_results(observed, sigs))
+        parts.append(tcp_results(observed, sigs, config.tcp_matcher))
         up = flows.uptimes(observed).select("capture", "packet_no", F.col("role").alias("_role"), F.struct("hz", "days", "hours", "minutes", "wrap_days").alias("u"))
         parts.append(up.select("capture", "packet_no", F.when(F.col("_role") == "client", F.col("u")).alias("client_uptime"), F.when(F.col("_role") == "server", F.col("u")).alias("server_uptime")))
     if config.http:
-        parts.append(http_results(segments, sigs, config.corrected_software))
+        parts.append(http_results(segments, sigs, config.corrected_software, config.http_matcher))
     if config.tls:
         parts.append(tls_results(segments, config.reassemble_tls))
     out = parts[0]

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from netglean.functions import akamai, http, ja4, octets, tcp, uptime
 from netglean.functions.filters import FilterConfig, IpFilter, PortFilter, SubnetFilter
-from netglean.operators import decode, flows, matching, wire
-from netglean.plans import analyze
+from netglean.operators import decode, flows, headers, http2, matching, wire
+from netglean.plans import analyze, metrics
 from netglean.sources import signatures
 
 FLAGS = (2, 18, 16, 24, 17, 4, 1, 3, 6, 41, 194, 0, 32, 20)
@@ -27,8 +27,14 @@ SIG_ALGS = (0x0403, 0x0804, 0x0401, 0x0503, 0x0805, 0x0501, 0x0806, 0x0601)
 ALPNS = ("h2", "http/1.1", "h", "", "hñ")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Numbers for costly expressions: those of a table of fewer files than there are cores are dealt to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("long").alias("e"))
+    return _dealt(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("long").alias("e")))
 
 
 def _pick(values: tuple, index: str) -> Column:
@@ -155,7 +161,7 @@ w AS (SELECT *, CASE e % 5 WHEN 0 THEN mss * 20 WHEN 1 THEN mss * 10 WHEN 2 THEN
 o AS (SELECT *, {_TTL_TEXT} AS ttl_text, {_window_sql()} AS win_text FROM w)"""
 
 
-def _match_sql(source: str, tail: str) -> str:
+def _match_sql(source: str, tail: str, obs: str | None = None) -> str:
     rows = []
     for d, li, si, kind, cls, name, flavor, _, ver, ttl, olen, mss, win, ws, layout, quirks, payload in signatures.load().tcp:
         for v in ("4", "6") if ver == "*" else (ver,):
@@ -166,7 +172,7 @@ def _match_sql(source: str, tail: str) -> str:
     wkind = "CASE WHEN starts_with(o.win_text, 'mss') THEN 'mss' WHEN starts_with(o.win_text, 'mtu') THEN 'mtu' WHEN starts_with(o.win_text, '%') THEN 'mod' ELSE 'value' END"
     wn = "CAST(regexp_extract(o.win_text, '[0-9]+$') AS INT)"
     return f"""
-WITH {_obs_sql(source)},
+WITH {obs or _obs_sql(source)},
 c AS (SELECT o.e, s.label_idx, s.sig_idx, s.name, s.class AS family, s.flavor AS variant,
   CASE WHEN {okind} = s.ttl_kind AND s.ttl_kind IN ('value', 'bad') THEN CASE WHEN o.ttl = s.ttl_n THEN 0 ELSE 2 END
        WHEN {okind} = 'distance' AND s.ttl_kind = 'value' THEN CASE WHEN o.ttl + ({_HOPS.replace('ttl', 'o.ttl')}) = s.ttl_n THEN 0 ELSE 2 END END
@@ -186,10 +192,9 @@ _LINE_E = "(SELECT l_orderkey * 7 + l_partkey AS e FROM lineitem)"
 
 def tcp_bulk_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches for each line item, counted: the observation columns are pruned to what matching needs."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("CAST(l_orderkey * 7 + l_partkey AS BIGINT) AS e")
-    keys = lines.groupBy("e").agg(F.count("*").alias("n"))
-    m = matching.match_tcp(_observations(keys.select("e")), signatures.load())
-    return m.select("id", "name", "score").join(keys.withColumnRenamed("e", "id"), "id").groupBy("name", F.round("score", 2).alias("score")).agg(F.sum("n").alias("n"))
+    lines = _dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("CAST(l_orderkey * 7 + l_partkey AS BIGINT) AS e"))
+    m = matching.match_tcp(_observations(lines), signatures.load())
+    return m.groupBy("name", F.round("score", 2).alias("score")).agg(F.count("*").alias("n"))
 
 
 def _hosts() -> list[str]:
@@ -240,9 +245,8 @@ _TSVAL = "CASE WHEN flow % 10 = 3 THEN (4294967000 + n * 40) % 4294967296 WHEN f
 
 def uptime_anchor_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _events(spark, sf_dir).selectExpr("e", "e % 97 AS flow", "e DIV 97 AS n").selectExpr("e", "flow", "n", "n * (20 + flow) AS t_ms", f"CAST({_TSVAL} AS BIGINT) AS tsval")
-    per = s.groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("t_ms", F.col("n").alias("no"), "tsval"))).alias("s"))
-    told = per.select("flow", F.explode(uptime.anchors(F.col("s"))).alias("x")).select("flow", F.col("x.no").alias("n"), F.col("x.tsval").alias("tsval"), uptime.rounded(F.col("x.hz")).alias("hz"))
-    return told.select("flow", "n", "hz", uptime.split(F.col("tsval"), F.col("hz")).alias("u")).select("flow", "n", "hz", "u.*")
+    told = flows.told_uptimes(s.withColumnRenamed("n", "packet_no"), ["flow"])
+    return told.select("flow", F.col("packet_no").alias("n"), "hz", "days", "hours", "minutes", "wrap_days")
 
 
 UPTIME_ANCHOR_FOLD = f"""
@@ -374,33 +378,44 @@ def _diagnosis_sql() -> str:
 FROM (SELECT *, {family} AS family FROM (SELECT event_id AS e, CASE WHEN event_id % 5 = 0 THEN NULL ELSE {_sql_pick(AGENTS, f"event_id % {len(AGENTS)}")} END AS ua, CASE WHEN event_id % 7 = 0 THEN NULL ELSE {_sql_pick(SYSTEMS, f"event_id % {len(SYSTEMS)}")} END AS os FROM events))"""
 
 
-def _segments(df: DataFrame) -> DataFrame:
-    """Five packets for each flow: SYN, the request in two segments that come in either order, and the answer in one."""
-    req = F.concat(F.lit("GET /p"), F.col("flow").cast("string"), F.lit(" HTTP/1.1\r\nHost: h\r\nUser-Agent: curl/"), F.col("flow").cast("string"), F.lit("\r\n\r\n"))
-    res = F.concat(F.lit("HTTP/1.1 "), (200 + F.col("flow") % 5).cast("string"), F.lit(" OK\r\nServer: s"), F.col("flow").cast("string"), F.lit("\r\nX: y\r\n\r\nbody"))
-    half = F.lit(11)
-    flip = F.col("flow") % 2
-    part = lambda no, client, flags, seq, text: F.struct(no.alias("no"), F.lit(client).alias("client"), F.lit(flags).alias("flags"), seq.cast("long").alias("seq"), text.cast("binary").alias("payload"))
-    rows = F.array(
-        part(F.lit(0), True, 2, F.lit(1), F.lit("")), part(F.lit(1), False, 18, F.lit(1), F.lit("")), part(1 + 1 + flip, True, 24, F.lit(2), F.substr(req, F.lit(1), half)),
-        part(3 - flip, True, 24, F.lit(13), F.substr(req, half + 1)), part(F.lit(4), False, 24, F.lit(2), res),
-    )
-    p = df.select("flow", F.explode(rows).alias("p")).select("flow", "p.*")
+def _part(no, client: bool, flags: int, seq, payload, t=0) -> Column:
+    """A packet of a made flow: its number, whether the client sends it, flags, sequence number, payload, and milliseconds since the flow began."""
+    col = lambda x: F.lit(x) if isinstance(x, (int, str, bytes)) else x
+    return F.struct(col(no).cast("int").alias("no"), F.lit(client).alias("client"), F.lit(flags).alias("flags"), col(seq).cast("long").alias("seq"), col(payload).cast("binary").alias("payload"), col(t).cast("long").alias("t"))
+
+
+def _exchange(df: DataFrame, parts: list[Column]) -> DataFrame:
+    """decode()'s columns of the packets of each row's flow."""
+    p = df.select("flow", F.explode(F.array(*parts)).alias("p")).select("flow", "p.*")
     host, server = F.concat(F.lit("10.1.0."), (F.col("flow") % 250).cast("string")), F.lit("10.2.0.1")
     return p.select(
-        F.lit("t").alias("capture"), (F.col("flow") * 8 + F.col("no")).alias("packet_no"), F.timestamp_millis(F.col("flow") * 1000 + F.col("no")).alias("ts"), F.when(F.col("client"), host).otherwise(server).alias("src"), F.when(F.col("client"), server).otherwise(host).alias("dst"),
+        F.lit("t").alias("capture"), (F.col("flow") * 8 + F.col("no")).alias("packet_no"), F.timestamp_millis(F.col("flow") * 1000 + F.col("no") + F.col("t")).alias("ts"), F.when(F.col("client"), host).otherwise(server).alias("src"), F.when(F.col("client"), server).otherwise(host).alias("dst"),
         F.when(F.col("client"), F.col("flow") + 1024).otherwise(80).cast("int").alias("sport"), F.when(F.col("client"), 80).otherwise(F.col("flow") + 1024).cast("int").alias("dport"), "flags", "seq", "payload",
     )
 
 
+def _request(n: Column) -> Column:
+    return F.concat(F.lit("GET /p"), n.cast("string"), F.lit(" HTTP/1.1\r\nHost: h\r\nUser-Agent: curl/"), n.cast("string"), F.lit("\r\n\r\n"))
+
+
+def _segments(df: DataFrame) -> DataFrame:
+    """Five packets for each flow: SYN, the request in two segments that come in either order, and the answer in one."""
+    req = _request(F.col("flow"))
+    res = F.concat(F.lit("HTTP/1.1 "), (200 + F.col("flow") % 5).cast("string"), F.lit(" OK\r\nServer: s"), F.col("flow").cast("string"), F.lit("\r\nX: y\r\n\r\nbody"))
+    half, flip = F.lit(11), F.col("flow") % 2
+    return _exchange(df, [
+        _part(0, True, 2, 1, ""), _part(1, False, 18, 1, ""), _part(2 + flip, True, 24, 2, F.substr(req, F.lit(1), half)), _part(3 - flip, True, 24, 13, F.substr(req, half + 1)), _part(4, False, 24, 2, res),
+    ])
+
+
 def flow_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = _segments(_events(spark, sf_dir).where("e % 5 = 0").select(F.col("e").alias("flow")))
+    seg = _segments(_events(spark, sf_dir).select(F.col("e").alias("flow")))
     o = flows.http_observations(flows.http_messages(seg))
     return o.select("packet_no", "direction", "uri", "status_code", "software", "header_count")
 
 
 FLOW_REASSEMBLY = """
-WITH f AS (SELECT event_id AS flow FROM events WHERE event_id % 5 = 0)
+WITH f AS (SELECT event_id AS flow FROM events)
 SELECT flow * 8 + 3 AS packet_no, 'request' AS direction, '/p' || flow AS uri, CAST(NULL AS INT) AS status_code, 'curl/' || flow AS software, 2 AS header_count FROM f
 UNION ALL SELECT flow * 8 + 4, 'response', NULL, CAST(200 + flow % 5 AS INT), 's' || flow, 2 FROM f"""
 
@@ -430,7 +445,8 @@ def ja4_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ja4(spark, sf_dir, "stable")
 
 
-def _ja4_sql(mode: str) -> str:
+def _ja4_sql(mode: str, in_bytes: bool = False) -> str:
+    """in_bytes: signature algorithms and ALPN are there only with their extensions."""
     some = lambda values, salt: f"list_filter({_list(values)}, lambda x, i: (e * {salt} + (i - 1) * 7) % 5 <> 0)"
     hexes = lambda a: f"list_transform({a}, lambda x: lower(lpad(to_hex(x), 4, '0')))"
     grease = "list_filter({}, lambda x: NOT ((x & 3855) = 2570 AND (x >> 8) = (x & 255)))"
@@ -440,7 +456,7 @@ def _ja4_sql(mode: str) -> str:
     pair = "CASE WHEN coalesce(alpn, '') = '' THEN '00' ELSE (CASE WHEN ascii(alpn[1]) < 128 THEN alpn[1] ELSE '9' END) || CASE WHEN length(alpn) = 1 THEN '0' WHEN unicode(alpn[-1]) < 128 THEN alpn[-1] ELSE '9' END END"
     return f"""
 WITH h AS (SELECT e, {grease.format(some(CIPHERS, 3))} AS cip, {grease.format(some(EXTENSIONS, 2))} AS ext0, CASE WHEN e % 9 = 0 THEN [] ELSE {some(SIG_ALGS, 1)} END AS sig, CASE WHEN e % 6 = 5 THEN NULL ELSE {_sql_pick(ALPNS, f"e % {len(ALPNS)}")} END AS alpn FROM {_EVENT_E}),
-x AS (SELECT *, {drop} AS ext FROM h),
+x AS (SELECT e, cip, ext0, {'CASE WHEN list_contains(ext0, 13) THEN sig ELSE [] END' if in_bytes else 'sig'} AS sig, {'CASE WHEN list_contains(ext0, 16) THEN alpn END' if in_bytes else 'alpn'} AS alpn, {drop} AS ext FROM h),
 t AS (SELECT e, 't' || CASE WHEN list_contains(ext0, 43) THEN '13' ELSE '12' END || CASE WHEN list_contains(ext0, 0) THEN 'd' ELSE 'i' END || lpad('' || least(len(cip), 99), 2, '0') || lpad('' || least(len(ext), 99), 2, '0') || {pair} AS a,
   coalesce(array_to_string({c_list}, ','), '') AS b, coalesce(array_to_string({e_list}, ','), '') AS x, coalesce(array_to_string({hexes('sig')}, ','), '') AS s FROM x),
 u AS (SELECT e, a, b, CASE WHEN x <> '' AND s <> '' THEN x || '_' || s ELSE x END AS c FROM t)
@@ -481,7 +497,8 @@ def tcp_options_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda k: "CASE " + " ".join(f"WHEN (e DIV {7**k}) % 7 = {i} THEN {x}" for i, (_, x, _) in enumerate(_OPTIONS)) + " END"
     parts = [pick(k) if k < 3 else f"CASE WHEN e % 2 = 0 THEN {pick(k)} ELSE '' END" for k in range(4)]
     df = _events(spark, sf_dir).selectExpr("e", "(e * 131) % 65536 AS v").selectExpr("e", f"concat({', '.join(parts)}, CASE WHEN e % 3 = 0 THEN '0000' WHEN e % 3 = 1 THEN '0007' ELSE '' END) AS h")
-    o = tcp.options(F.unhex("h"))
+    df = df.select("e", headers.options(F.unhex("h")).alias("o"))
+    o = F.col("o")
     return df.select("e", F.array_join(o["layout"], ",").alias("layout"), o["mss"].alias("mss"), o["wscale"].alias("wscale"), F.array_join(o["quirks"], ",").alias("quirks"), o["ts"]["val"].alias("ts_val"), o["malformed"].alias("malformed"))
 
 
@@ -529,18 +546,46 @@ SELECT event_id AS e, CASE event_id % 3 WHEN 0 THEN 'ethernet' WHEN 1 THEN 'raw_
 WHERE event_id % 17 = 0 OR (event_id % 60000 < 300 AND event_id % 200 < 128)"""
 
 
-def tls_client_hello(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hellos in bytes, walked by the Arrow UDF and fingerprinted by columns."""
-    df = _events(spark, sf_dir).withColumns(_hello())
+def _hello_records(df: DataFrame) -> DataFrame:
+    """df with record, a TLS record with the ClientHello of each e."""
+    df = df.withColumns(_hello())
     u16s = lambda a: F.unhex(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 4, "0")), ""))
     sized = lambda n, body: F.concat(_be(F.octet_length(body), n), body)
     body = lambda x: F.when(x == 13, sized(2, u16s(F.col("sig_algs")))).when(x == 0, sized(2, F.concat(F.unhex(F.lit("00")), sized(2, F.lit("host").cast("binary"))))).when((x == 16) & F.col("alpn").isNotNull(), sized(2, sized(1, F.col("alpn").cast("binary")))).otherwise(F.lit("").cast("binary"))
     ext = F.unhex(F.array_join(F.transform("extensions", lambda x: F.concat(F.lpad(F.hex(x), 4, "0"), F.hex(sized(2, body(x))))), ""))
     hello = F.concat(F.unhex(F.lit("0303" + "00" * 32 + "00")), sized(2, u16s(F.col("ciphers"))), F.unhex(F.lit("0100")), sized(2, ext))
     record = F.concat(F.unhex(F.lit("160301")), sized(2, F.concat(F.unhex(F.lit("01")), sized(3, hello))))
-    out = df.select("e", wire.parse_client_hello(record).alias("h"))
-    f = ja4.fingerprints(F.col("h"))
-    return out.select("e", f["sni"].alias("sni"), f["version"].alias("version"), f["alpn"].alias("alpn"), f["ja4"].alias("ja4"), f["ja4_o"].alias("ja4_o"), f["ja4_s1r"].alias("ja4_s1r"))
+    return df.select("e", record.alias("record"))
+
+
+def _published(hello: Column) -> list[Column]:
+    f = ja4.fingerprints(hello)
+    return [f[k].alias(k) for k in ("sni", "version", "alpn", "ja4", "ja4_o", "ja4_s1r")]
+
+
+def tls_client_hello(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hellos in bytes, walked by the Arrow UDF and fingerprinted by columns."""
+    out = _hello_records(_events(spark, sf_dir)).select("e", wire.parse_client_hello("record").alias("h"))
+    return out.select("e", *_published(F.col("h")))
+
+
+def tls_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hellos, each cut into three segments of one direction, the first of which ends within or just after the record's header."""
+    df = _hello_records(_events(spark, sf_dir)).withColumn("flow", F.col("e"))
+    at = (F.col("e") % 3 + 5).cast("int")
+    piece = lambda a, n: F.substr(F.col("record"), a, n)
+    cut = df.select("flow", F.explode(F.array(_part(1, True, 24, 1, piece(F.lit(1), at)), _part(2, True, 24, 6, piece(at + 1, F.lit(30))), _part(3, True, 24, 36, piece(at + 31, F.lit(1 << 20))))).alias("p"))
+    seg = cut.select(F.lit("t").alias("capture"), (F.col("flow") * 8 + F.col("p.no")).alias("packet_no"), F.timestamp_millis(F.col("flow") * 10).alias("ts"), F.concat(F.lit("10.3.0."), (F.col("flow") % 250).cast("string")).alias("src"), F.lit("10.2.0.1").alias("dst"), F.col("flow").cast("int").alias("sport"), F.lit(443).alias("dport"), "p.flags", "p.seq", "p.payload")
+    return flows.tls_hellos(seg).select(F.floor(F.col("packet_no") / 8).alias("e"), *_published(F.col("hello")))
+
+
+def _hello_sql() -> str:
+    one = {m: _ja4_sql(m, in_bytes=True) for m in ("sorted", "original", "stable")}
+    some = f"list_filter({_list(EXTENSIONS)}, lambda x, i: (e * 2 + (i - 1) * 7) % 5 <> 0)"
+    return f"""
+SELECT e, CASE WHEN list_contains(ext, 0) THEN 'host' END AS sni, CASE WHEN list_contains(ext, 43) THEN '13' ELSE '12' END AS version,
+  CASE WHEN list_contains(ext, 16) AND e % 6 <> 5 THEN {_sql_pick(ALPNS, f"e % {len(ALPNS)}")} END AS alpn, a.full AS ja4, b.full AS ja4_o, c.raw AS ja4_s1r
+FROM (SELECT e, {some} AS ext FROM {_EVENT_E}) JOIN ({one['sorted']}) a USING (e) JOIN ({one['original']}) b USING (e) JOIN ({one['stable']}) c USING (e)"""
 
 
 def protocol_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -549,11 +594,146 @@ def protocol_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy(F.col("syn.os.name").alias("os"), F.col("syn.quality.status").alias("status"), F.col("mtu.link").alias("link"), F.col("tls").isNotNull().alias("has_tls")).agg(F.count("*").alias("n"))
 
 
+def _union_sql() -> str:
+    source = f"""w AS (SELECT event_id AS e, 'request' AS direction, '4' AS version, event_id % 64 + 1 AS ttl, 0 AS olen, 1460 AS mss, 7 AS wscale, 'mss,sok,ts,nop,ws' AS layout, CASE WHEN event_id % 65536 = 0 THEN 'df' ELSE 'df,id+' END AS quirks, '0' AS payload,
+  CASE WHEN event_id % 2 = 0 THEN 29200 ELSE (event_id * 7919) % 65536 END AS win, 5 AS hdr, 4 AS ver, true AS has_ts FROM events WHERE event_id % 17 <> 0 AND event_id % 19 <> 0),
+o AS (SELECT *, {_TTL_TEXT} AS ttl_text, {_window_sql()} AS win_text FROM w)"""
+    links = _values(signatures.load().mtu, "ord, link, mtu")
+    return _match_sql("", f"SELECT name AS os, status, (SELECT arg_min(link, ord) FROM {links} WHERE mtu = 1500) AS link, false AS has_tls, count(*) AS n FROM m GROUP BY name, status", source)
+
+
+def flow_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three connections on one pair of ports: closed by RST, expired after 60 s, and one whose request comes twice; each tells its own request."""
+    n = F.col("flow")
+    seg = _exchange(_events(spark, sf_dir).select(F.col("e").alias("flow")), [
+        _part(0, True, 2, 1, ""), _part(1, True, 24, 2, _request(n)), _part(2, True, 4, 99, ""), _part(3, True, 2, 1, "", 10), _part(4, True, 24, 2, _request(n + 1_000_000), 20), _part(5, True, 2, 1, "", 70_000), _part(6, True, 24, 2, _request(n + 2_000_000), 70_010), _part(7, True, 24, 99, _request(n), 70_020),
+    ])
+    return flows.http_observations(flows.http_messages(seg)).select("packet_no", "direction", "uri", "software")
+
+
+FLOW_REOPENED = """
+SELECT event_id * 8 + no AS packet_no, 'request' AS direction, '/p' || (event_id + more) AS uri, 'curl/' || (event_id + more) AS software FROM events, (VALUES (1, 0), (4, 1000000), (6, 2000000)) t(no, more)"""
+
+
+def _frame(kind: int, flags: int, stream: int, payload: Column) -> Column:
+    return F.concat(_be(F.octet_length(payload), 3), F.unhex(F.lit(f"{kind:02X}{flags:02X}{stream:08X}")), payload)
+
+
+def _literal(name: str, value: Column) -> Column:
+    """A header as an HPACK literal that isn't indexed."""
+    return F.concat(F.unhex(F.lit(f"00{len(name):02X}" + name.encode().hex())), _be(F.octet_length(value), 1), value.cast("binary"))
+
+
+def _said(x: str) -> Column:
+    return F.lit(x).cast("string")
+
+
+def http2_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP/2 requests, in two segments, and answers through flows: what HTTP/1 flows tell, and cookies."""
+    n = F.col("flow").cast("string")
+    block = F.concat(_literal(":method", _said("GET")), _literal(":path", F.concat(F.lit("/p"), n)), _literal(":authority", _said("h")), _literal("user-agent", F.concat(F.lit("ua/"), n)), _literal("accept-language", _said("de")), _literal("cookie", _said("a=1; b")))
+    client = F.concat(F.lit(wire.PREFACE), _frame(4, 0, 0, F.lit(b"")), _frame(1, 5, 1, block))
+    server = F.concat(_frame(4, 0, 0, F.lit(b"")), _frame(1, 4, 1, F.concat(_literal(":status", (200 + F.col("flow") % 5).cast("string")), _literal("server", F.concat(F.lit("s"), n)))))
+    seg = _exchange(_events(spark, sf_dir).select(F.col("e").alias("flow")), [_part(0, True, 2, 1, ""), _part(1, False, 18, 1, ""), _part(2, True, 24, 2, F.substr(client, F.lit(1), F.lit(50))), _part(3, True, 24, 52, F.substr(client, F.lit(51))), _part(4, False, 24, 2, server)])
+    o = flows.http_observations(flows.http_messages(seg))
+    return o.select("packet_no", "direction", "version", "method", "uri", "status_code", "software", "lang", F.array_join(F.transform("cookies", lambda c: F.concat_ws("=", c["name"], c["value"])), ";").alias("cookies"), "header_count")
+
+
+HTTP2_EXCHANGE = """
+SELECT event_id * 8 + 3 AS packet_no, 'request' AS direction, '2' AS version, 'GET' AS method, '/p' || event_id AS uri, CAST(NULL AS INT) AS status_code, 'ua/' || event_id AS software, 'German' AS lang, 'a=1;b' AS cookies, 2 AS header_count FROM events
+UNION ALL SELECT event_id * 8 + 4, 'response', '2', NULL, NULL, CAST(200 + event_id % 5 AS INT), 's' || event_id, NULL, NULL, 1 FROM events"""
+
+
+def akamai_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of connections whose bytes come in two segments: cut after the settings only these count, cut within them all frames do."""
+    e = F.col("e")
+    setting = F.concat(_be(F.lit(1), 2), _be(F.lit(65536), 4), _be(F.lit(3), 2), _be(e % 100 + 1, 4))
+    names = F.when(e % 3 == 0, F.concat(_literal(":method", _said("GET")), _literal(":path", _said("/")))).otherwise(F.concat(_literal(":path", _said("/")), _literal(":scheme", _said("https"))))
+    client = F.concat(F.lit(wire.PREFACE), _frame(4, 0, 0, setting), _frame(8, 0, 0, _be(e % 1000 + 1, 4)), _frame(2, 0, 3, F.concat(_be(e % 5, 4), _be(e % 256, 1))), _frame(1, 4, 1, names))
+    at = F.when(e % 2 == 0, len(wire.PREFACE) + 21).otherwise(40)
+    df = _events(spark, sf_dir).select(F.col("e").alias("flow"), client.alias("bytes"), at.alias("at"))
+    cut = df.select("flow", F.explode(F.array(_part(0, True, 2, 1, ""), _part(1, True, 24, 2, F.substr(F.col("bytes"), F.lit(1), F.col("at"))), _part(2, True, 24, 50, F.substr(F.col("bytes"), F.col("at") + 1)))).alias("p"))
+    seg = cut.select(F.lit("t").alias("capture"), (F.col("flow") * 8 + F.col("p.no")).alias("packet_no"), F.concat(F.lit("10.4.0."), (F.col("flow") % 250).cast("string")).alias("src"), F.lit("10.2.0.1").alias("dst"), F.col("flow").cast("int").alias("sport"), F.lit(443).alias("dport"), "p.flags", "p.payload")
+    return http2.fingerprints(seg).select("packet_no", "text", "hash")
+
+
+AKAMAI_SEGMENTS = """
+SELECT packet_no, text, substr(sha256(text), 1, 32) AS hash FROM (
+  SELECT event_id * 8 + CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS packet_no, '1:65536;3:' || (event_id % 100 + 1) || CASE WHEN event_id % 2 = 0 THEN '|00|0|' ELSE '|' || (event_id % 1000 + 1) || '|3:0:' || (event_id % 5) || ':' || (event_id % 256 + 1) || '|' || CASE WHEN event_id % 3 = 0 THEN 'm,p' ELSE 'p,s' END END AS text FROM events)"""
+
+
+def uptime_by_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other way to tell uptimes: every 50th packet of a flow is a SYN, and the first answer's frequency counts for all."""
+    s = _events(spark, sf_dir).selectExpr("e", "e % 97 AS flow", "e DIV 97 AS packet_no").selectExpr("flow", "packet_no", "packet_no AS n", "packet_no * (20 + flow) AS t_ms").selectExpr("flow", "packet_no", "t_ms", f"CAST({_TSVAL} AS BIGINT) AS tsval", "packet_no % 50 = 0 AS from_client")
+    return flows.answered_uptimes(s, ["flow"]).select("flow", F.col("packet_no").alias("n"), "hz", "days", "hours", "minutes", "wrap_days")
+
+
+UPTIME_BY_ANSWERS = f"""
+WITH s AS (SELECT flow, n, n * (20 + flow) AS t, {_TSVAL} AS v FROM (SELECT event_id % 97 AS flow, event_id // 97 AS n FROM events)),
+d AS (SELECT a.flow, b.t - a.t AS ms, ((b.v - a.v) % 4294967296 + 4294967296) % 4294967296 AS d FROM s a JOIN s b ON a.flow = b.flow AND a.n = 0 AND b.n = 1),
+k AS (SELECT flow, ms, d > 4294967295 - d AS back, CASE WHEN d > 4294967295 - d THEN 4294967295 - d ELSE d END AS ticks FROM d),
+f AS (SELECT flow, CAST({_ROUND} AS INT) AS hz FROM (SELECT *, ticks * 1000.0::DOUBLE / greatest(ms, 1) AS hz FROM k) WHERE ms BETWEEN 25 AND 600000 AND ticks >= 5 AND NOT (back AND ms < 100 AND ticks > 15000) AND hz BETWEEN 1 AND 1500)
+SELECT flow, n, hz, CAST(floor(v / hz / 86400) AS INT) AS days, CAST(floor((floor(v / hz) % 86400) / 3600) AS INT) AS hours, CAST(floor((floor(v / hz) % 3600) / 60) AS INT) AS minutes, CAST(floor(4294967295 / (hz * 86400.0)) AS INT) AS wrap_days
+FROM f JOIN s USING (flow) WHERE n % 50 <> 0"""
+
+#: Option bytes of mixed packets, and what they are in a signature: MSS, scale and layout.
+_MIXED = (("020405B404020101", "1460", "*", "mss,sok,nop,nop"), ("020405B4", "1460", "*", "mss"), ("0103030700000000", "*", "7", "nop,ws,eol+3"), ("020405B41E0A0000", "1460", "*", "mss,?30"), ("", "*", "*", ""))
+
+
+def packets_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv4 with and without options, and IPv6; SYNs and answers, some with data; options that are malformed or end early; padding after the packet."""
+    h = lambda x, n: F.lpad(F.hex(F.expr(x)), n, "0")
+    opts, size = _pick(tuple(m[0] for m in _MIXED), "e % 5"), _pick(tuple(len(m[0]) // 2 for m in _MIXED), "e % 5")
+    df = _events(spark, sf_dir).select("e", opts.alias("opts"), size.alias("size")).withColumn("data", F.expr("CASE WHEN e % 5 = 2 THEN '616263' ELSE '' END")).withColumn("n", F.expr("20 + size + length(data) DIV 2"))
+    tcp_hex = F.concat(h("1024 + e % 60000", 4), F.lit("0050"), h("e + 1", 8), h("CASE WHEN e % 2 = 1 THEN e + 7 ELSE 0 END", 8), F.hex(F.expr("(5 + size DIV 4) * 16")).cast("string"), F.expr("CASE WHEN e % 2 = 1 THEN '12' ELSE '02' END"), F.lit(f"{5840:04X}"), F.lit("00000000"), F.col("opts"), F.col("data"))
+    v4 = F.concat(F.expr("CASE WHEN e % 4 = 1 THEN '46' ELSE '45' END"), F.expr("CASE WHEN e % 6 = 1 THEN '01' ELSE '00' END"), h("n + CASE WHEN e % 4 = 1 THEN 24 ELSE 20 END", 4), h("e % 7", 4), F.expr("CASE WHEN e % 5 = 0 THEN '0000' ELSE '4000' END"), h("e % 200 + 1", 2), F.lit("060000"), F.lit("0A"), h("e % 200", 2), F.lit("0001"), F.lit("C0A80001"), F.expr("CASE WHEN e % 4 = 1 THEN '01010100' ELSE '' END"))
+    v6 = F.concat(F.expr("CASE WHEN e % 6 = 0 THEN '6010' ELSE '6000' END"), h("e % 5", 4), h("n", 4), F.lit("06"), h("e % 200 + 1", 2), F.lit("20010DB8"), F.lit("0" * 20), h("e % 65536", 4), F.lit("20010DB8" + "0" * 23 + "1"))
+    raw = F.concat(F.lit("000000000001000000000002"), F.when(F.expr("e % 3 = 0"), F.concat(F.lit("86DD"), v6)).otherwise(F.concat(F.lit("0800"), v4)), tcp_hex, F.lit("000000000000"))
+    made = df.select(F.lit("made").alias("capture"), F.col("e").alias("packet_no"), F.timestamp_millis(F.col("e")).alias("ts"), F.unhex(raw).alias("data"))
+    o = decode.observe(decode.decode(made))
+    return o.select(F.col("packet_no").alias("e"), "src", "sport", "direction", "signature_text", "malformed")
+
+
+def _mixed_sql() -> str:
+    pick = lambda i: _sql_pick(tuple(m[i] for m in _MIXED), "e % 5")
+    return f"""
+SELECT e, CASE WHEN e % 3 = 0 THEN '2001:db8::' || CASE WHEN e % 65536 = 0 THEN '' ELSE lower(to_hex(e % 65536)) END ELSE '10.' || (e % 200) || '.0.1' END AS src, CAST(1024 + e % 60000 AS INT) AS sport, CASE WHEN e % 2 = 1 THEN 'response' ELSE 'request' END AS direction,
+  CASE WHEN e % 3 = 0 THEN '6' ELSE '4' END || ':' || ({_TTL_TEXT}) || ':' || CASE WHEN e % 3 <> 0 AND e % 4 = 1 THEN 4 ELSE 0 END || ':' || {pick(1)} || ':' || CASE WHEN {pick(1)} = '*' THEN '5840' ELSE 'mss*4' END || ',' || {pick(2)} || ':' || {pick(3)} || ':'
+  || array_to_string(list_filter(CASE WHEN e % 3 = 0 THEN [CASE WHEN e % 5 <> 0 THEN 'flow' END, CASE WHEN e % 6 = 0 THEN 'ecn' END]
+     ELSE [CASE WHEN e % 6 = 1 THEN 'ecn' END, CASE WHEN e % 5 <> 0 THEN 'df' END, CASE WHEN e % 5 <> 0 AND e % 7 <> 0 THEN 'id+' END, CASE WHEN e % 5 = 0 AND e % 7 = 0 THEN 'id-' END] END, lambda x: x IS NOT NULL), ',')
+  || ':' || CASE WHEN e % 5 = 2 THEN '+' ELSE '0' END AS signature_text, e % 5 = 3 AS malformed
+FROM (SELECT event_id AS e, CAST(event_id % 200 + 1 AS INT) AS ttl FROM events)"""
+
+
+def capture_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pool's counters tell, by link type: packets, bytes, kept by filters, and TCP."""
+    return metrics.capture_stats(frames_of(_events(spark, sf_dir)), FilterConfig("allow", (PortFilter().source_range(1024, 1324),))).select("link", "packets", "bytes", "kept", "tcp")
+
+
+CAPTURE_STATS = """
+SELECT CASE event_id % 3 WHEN 0 THEN 'ethernet' WHEN 1 THEN 'raw_ip' ELSE 'null' END AS link, count(*) AS packets, CAST(sum(60 + CASE event_id % 3 WHEN 0 THEN 16 WHEN 1 THEN 0 ELSE 4 END) AS BIGINT) AS bytes,
+  count_if(event_id % 17 = 0 OR event_id % 60000 < 300) AS kept, count_if(event_id % 17 <> 0 AND event_id % 60000 < 300) AS tcp FROM events GROUP BY 1"""
+
+
+def http_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicates, spellings and sizes of made headers."""
+    lines = [F.lit("GET / HTTP/1.1"), F.lit("Host: a"), F.when(F.expr("e % 2 = 0"), "HOST: b"), F.when(F.expr("e % 3 = 0"), "host: c"), F.when(F.expr("e % 5 = 0"), "no colon"), F.concat(F.lit("X: "), F.col("e").cast("string"))]
+    df = _events(spark, sf_dir).select("e", http.metadata(F.concat(F.array_join(F.array_compact(F.array(*lines)), "\r\n"), F.lit("\r\n\r\n"))).alias("m"))
+    return df.select("e", "m.header_count", F.array_join("m.duplicates", ",").alias("duplicates"), F.array_join(F.flatten(F.map_values("m.case_variations")), ",").alias("spellings"), "m.malformed", "m.first_line_length", "m.headers_length")
+
+
+HTTP_METADATA = """
+SELECT e, CAST(2 + a + b AS INT) AS header_count, array_to_string(list_filter([CASE WHEN a > 0 THEN 'host' END, CASE WHEN b > 0 THEN 'host' END], lambda x: x IS NOT NULL), ',') AS duplicates,
+  CASE WHEN a + b = 0 THEN '' ELSE 'Host' || CASE WHEN a > 0 THEN ',HOST' ELSE '' END || CASE WHEN b > 0 THEN ',host' ELSE '' END END AS spellings, c > 0 AS malformed, 14 AS first_line_length, CAST(7 + 7 * a + 7 * b + 8 * c + 3 + length('' || e) AS INT) AS headers_length
+FROM (SELECT event_id AS e, CAST(event_id % 2 = 0 AS INT) AS a, CAST(event_id % 3 = 0 AS INT) AS b, CAST(event_id % 5 = 0 AS INT) AS c FROM events)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tcp_os_match, ttl_classify, window_classify, mtu_link, flag_validity_direction, quirks_text, tcp_signature_text, tcp_bulk_match, filter_allow, filter_deny, freq_round, uptime_anchor_fold, http_header_order,
         http_browser_match, accept_language, ua_os_diagnosis, flow_reassembly, ja4_sorted, ja4_original, ja4_stable, akamai_fingerprint, tcp_options_walk, packet_decode, packet_endpoints_filtered, tls_client_hello, protocol_union,
+        tls_reassembly, flow_reopened, http2_exchange, akamai_segments, uptime_by_answers, packets_mixed, capture_stats, http_metadata,
     )
 }
 
@@ -566,4 +746,6 @@ def sql() -> dict[str, str]:
         "filter_allow": _filter_sql(""), "filter_deny": _filter_sql("NOT"), "freq_round": FREQ_ROUND, "uptime_anchor_fold": UPTIME_ANCHOR_FOLD, "http_header_order": _header_order_sql(), "http_browser_match": _browser_sql(), "accept_language": _language_sql(),
         "ua_os_diagnosis": _diagnosis_sql(), "flow_reassembly": FLOW_REASSEMBLY, "ja4_sorted": _ja4_sql("sorted"), "ja4_original": _ja4_sql("original"), "ja4_stable": _ja4_sql("stable"), "akamai_fingerprint": AKAMAI_FINGERPRINT,
         "tcp_options_walk": _options_sql(), "packet_decode": PACKET_DECODE, "packet_endpoints_filtered": PACKET_ENDPOINTS_FILTERED,
+        "tls_client_hello": _hello_sql(), "tls_reassembly": _hello_sql(), "protocol_union": _union_sql(), "flow_reopened": FLOW_REOPENED, "http2_exchange": HTTP2_EXCHANGE, "akamai_segments": AKAMAI_SEGMENTS,
+        "uptime_by_answers": UPTIME_BY_ANSWERS, "packets_mixed": _mixed_sql(), "capture_stats": CAPTURE_STATS, "http_metadata": HTTP_METADATA,
     }

@@ -19,17 +19,6 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 WATERMARK = "30 seconds"
 
 
-def frequency(ms: int, ticks: int) -> float | None:
-    """uptime.frequency for plain numbers."""
-    d = ticks % 2**32
-    back = d > 2**32 - 1 - d
-    n = 2**32 - 1 - d if back else d
-    if not uptime.LEAST_MS <= ms <= uptime.MOST_MS or n < uptime.LEAST_TICKS or back and ms < uptime.GRACE_MS and n > uptime.MOST_HZ // uptime.GRACE_MS * 1000:
-        return None
-    hz = n * 1000.0 / max(ms, 1)
-    return hz if uptime.LEAST_HZ <= hz <= uptime.MOST_HZ else None
-
-
 class _Expiring(StatefulProcessor):
     """One value of state for each key, whose first field is when it began; its own timer clears it, not one of a value before."""
 
@@ -55,19 +44,13 @@ class UptimeProcessor(_Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         for r in sorted(rows, key=lambda r: (r.t_ms, r.packet_no)):
-            s = self.state.get() if self.state.exists() else None
-            if s is None or r.t_ms - s[0] >= uptime.LIFETIME_MS:
-                self._put((r.t_ms, r.t_ms, r.tsval, False))
-            elif not s[3]:
-                hz = frequency(r.t_ms - s[1], r.tsval - s[2])
-                if hz is None:
-                    self._put((r.t_ms, s[1], s[2], True))
-                else:
-                    yield Row(capture=r.capture, packet_no=r.packet_no, role=r.role, tsval=r.tsval, raw_hz=hz)
-
-    def _put(self, value: tuple) -> None:
-        self.state.update(value)
-        self.handle.registerTimer(value[0] + uptime.LIFETIME_MS)
+            old = uptime.Anchor(*self.state.get()) if self.state.exists() else None
+            new, hz = uptime.step(old, r.t_ms, r.tsval)
+            if new is not old:
+                self.state.update(tuple(new))
+                self.handle.registerTimer(new.since + uptime.LIFETIME_MS)
+            if hz is not None:
+                yield Row(capture=r.capture, packet_no=r.packet_no, role=r.role, tsval=r.tsval, raw_hz=hz)
 
 
 class TlsProcessor(_Expiring):

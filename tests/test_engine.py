@@ -4,12 +4,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from netglean.operators import decode, flows, wire
-from netglean.plans import analyze, queries, sinks
+from netglean.operators import decode, flows, http2, wire
+from netglean.plans import analyze, metrics, queries, sinks
 from netglean.sources import pcap, signatures
 
 SF = "/root/testdata/sf0.001"
-FAST = ["tcp_os_match", "ttl_classify", "window_classify", "mtu_link", "flag_validity_direction", "quirks_text", "filter_allow", "filter_deny", "freq_round", "uptime_anchor_fold", "http_browser_match", "accept_language", "ja4_sorted", "akamai_fingerprint", "tcp_options_walk", "packet_decode"]
+FAST = ["tcp_os_match", "ttl_classify", "window_classify", "mtu_link", "flag_validity_direction", "quirks_text", "filter_allow", "filter_deny", "freq_round", "uptime_anchor_fold", "http_browser_match", "accept_language", "ja4_sorted", "akamai_fingerprint", "tcp_options_walk", "packet_decode", "packets_mixed", "flow_reassembly", "flow_reopened", "http2_exchange", "akamai_segments", "uptime_by_answers", "capture_stats", "http_metadata", "tls_client_hello", "tls_reassembly", "protocol_union"]
 
 
 def rows(values):
@@ -196,3 +196,23 @@ def test_flows_over_rotated_files(spark, tmp_path):
         q.awaitTermination(120)
         q.stop()
     assert [(r.packet_no, r.side) for r in spark.read.json(str(tmp_path / "out")).collect()] == [(2 * pcap.FILE, "request")]
+
+
+def test_matchers_of_ones_own_and_counters(spark):
+    def every(obs):
+        return obs.withColumns({"kind": F.lit("s"), "class": F.lit("mine"), "name": F.lit("any"), "flavor": F.lit(None).cast("string"), "signature": F.lit("x"), "dist": F.lit(0), "score": F.lit(1.0)})
+
+    made = queries.frames_of(spark.range(100).withColumnRenamed("id", "e"))
+    counted, seen = metrics.observed(made)
+    got = analyze.analyze(counted, analyze.AnalysisConfig(http=False, tls=False, tcp_matcher=every))
+    assert {(r.syn.os.name, r.syn.os.family) for r in got.collect()} == {("any", "mine")}
+    n = seen.get
+    assert n["packets"] == 100 and n["bytes"] > 6000 and n["cut"] == 0
+
+
+def test_settings_are_read_once(spark):
+    data = wire.PREFACE + bytes.fromhex("0000060400000000000003000000640000040800000000000000ffff")
+    df = http2.with_fingerprint(spark.createDataFrame([(bytearray(data),), (bytearray(data[24:]),), (bytearray(data[:30]),), (None,)], "data binary"), "data")
+    assert [r.akamai and r.akamai.text for r in df.collect()] == ["3:100|65535|0|", "3:100|65535|0|", None, None]
+    r = http2.FrameReader()
+    assert [len(r.add(data[a:b])) for a, b in ((0, 20), (20, 38), (38, 60))] == [0, 0, 28]
