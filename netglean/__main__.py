@@ -5,11 +5,11 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from netglean.functions.filters import FilterConfig, IpFilter, PortFilter
 from netglean.plans import analyze, sinks
 from netglean.sources import pcap, signatures
+from netglean.streaming import processors, results
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -22,8 +22,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--format", choices=["json", "text"], default="json")
     p.add_argument("--signatures", default=None)
     p.add_argument("--output", default=None, help="a folder for results, else they are printed")
+    p.add_argument("--checkpoint", default=None, help="stream: a folder that all machines share, where state and offsets are kept, so that a stopped stream goes on")
+    p.add_argument("--once", action="store_true", help="stream: end when the files that are there have been read")
     a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("netglean").getOrCreate()
+    spark = SparkSession.builder.appName("netglean").config("spark.sql.streaming.stateStore.providerClass", processors.STORE).getOrCreate()
     filters = FilterConfig()
     if a.port:
         filters = filters.with_filter(PortFilter().source(*a.port).any_port())
@@ -34,8 +36,7 @@ def main(argv: list[str] | None = None) -> None:
     sigs = signatures.load(a.signatures or signatures.DEFAULT)
     show = sinks.to_ndjson if a.format == "json" else sinks.to_text
 
-    def emit(packets) -> None:
-        out = show(analyze.analyze(packets, config, sigs))
+    def emit(out) -> None:
         if a.output:
             out.write.mode("append").text(a.output)
         else:
@@ -44,12 +45,19 @@ def main(argv: list[str] | None = None) -> None:
 
     if a.mode == "pcap":
         for path in a.path:
-            emit(pcap.read_pcap(spark, path))
+            emit(show(analyze.analyze(pcap.read_pcap(spark, path), config, sigs)))
         return
     pcap.register(spark)
-    stream = spark.readStream.format("pcap").load(a.path[0]).withColumn("ts", F.col("ts"))
-    query = stream.writeStream.foreachBatch(lambda df, _: emit(df)).trigger(availableNow=True).start()
-    query.awaitTermination()
+    packets = spark.readStream.format("pcap").load(a.path[0])
+    out = (results.ndjson if a.format == "json" else results.text)(packets, config, sigs)
+    writer = out.writeStream.outputMode("append").foreachBatch(lambda df, _: emit(df))
+    if a.checkpoint:
+        writer = writer.option("checkpointLocation", a.checkpoint)
+    query = (writer.trigger(availableNow=True) if a.once else writer).start()
+    try:
+        query.awaitTermination()
+    except KeyboardInterrupt:
+        query.stop()
 
 
 if __name__ == "__main__":

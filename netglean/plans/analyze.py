@@ -57,7 +57,13 @@ def tcp_results(observed: DataFrame, sigs: Signatures | None, matcher: Callable[
 
 def http_results(segments: DataFrame, sigs: Signatures | None, corrected: bool = False, matcher: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """capture, packet_no and the structs http_request and http_response."""
-    obs = flows.http_observations(flows.http_messages(segments))
+    rows = http_rows(flows.http_messages(segments), sigs, corrected, matcher)
+    return rows.groupBy("capture", "packet_no").agg(F.first("http_request", ignorenulls=True).alias("http_request"), F.first("http_response", ignorenulls=True).alias("http_response"))
+
+
+def http_rows(messages: DataFrame, sigs: Signatures | None, corrected: bool = False, matcher: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """http_results() of messages, with a row for each."""
+    obs = flows.http_observations(messages)
     if sigs is None:
         m = obs.withColumns({c: F.lit(None).cast("string") for c in ("kind", "class", "name", "flavor", "signature")} | {"score": F.lit(None).cast("double")})
         family = F.lit(None).cast("string")
@@ -68,16 +74,24 @@ def http_results(segments: DataFrame, sigs: Signatures | None, corrected: bool =
     label = F.when(F.col("name").isNotNull(), F.struct(*_label()))
     request = F.struct("method", "uri", "user_agent", "lang", http.diagnosis(F.col("user_agent"), family, F.col("name")).alias("diagnosis"), label.alias("browser"), quality.alias("quality"), text.alias("signature"), "cookies", "referer", "header_count")
     response = F.struct("status_code", F.lit("none").alias("diagnosis"), label.alias("web_server"), quality.alias("quality"), text.alias("signature"), "header_count")
-    rows = m.select("capture", "packet_no", F.when(F.col("direction") == "request", request).alias("http_request"), F.when(F.col("direction") == "response", response).alias("http_response"))
-    return rows.groupBy("capture", "packet_no").agg(F.first("http_request", ignorenulls=True).alias("http_request"), F.first("http_response", ignorenulls=True).alias("http_response"))
+    return m.select("capture", "packet_no", F.when(F.col("direction") == "request", request).alias("http_request"), F.when(F.col("direction") == "response", response).alias("http_response"))
 
 
 def tls_results(segments: DataFrame, reassemble: bool = True) -> DataFrame:
     """capture, packet_no and the struct tls."""
-    hellos = flows.tls_hellos(segments, reassemble)
+    return tls_rows(flows.tls_hellos(segments, reassemble))
+
+
+def tls_rows(hellos: DataFrame) -> DataFrame:
     return hellos.select("capture", "packet_no", F.struct(*(v.alias(k) for k, v in ja4.fingerprints(F.col("hello")).items())).alias("tls"))
 
 
+def uptime_rows(told: DataFrame) -> DataFrame:
+    """capture, packet_no and the structs client_uptime and server_uptime."""
+    up = told.select("capture", "packet_no", "role", F.struct("hz", "days", "hours", "minutes", "wrap_days").alias("u"))
+    return up.select("capture", "packet_no", F.when(F.col("role") == "client", F.col("u")).alias("client_uptime"), F.when(F.col("role") == "server", F.col("u")).alias("server_uptime"))
+
+
 RESULTS = ("syn", "syn_ack", "mtu", "client_uptime", "server_uptime", "http_request", "http_response", "tls")
 
 
@@ -94,8 +108,7 @@ def analyze(packets: DataFrame, config: AnalysisConfig | None = None, sigs: Sign
     if config.tcp:
         observed = decode.observe(segments, config.standard_mtu)
         parts.append(tcp_results(observed, sigs, config.tcp_matcher))
-        up = flows.uptimes(observed).select("capture", "packet_no", F.col("role").alias("_role"), F.struct("hz", "days", "hours", "minutes", "wrap_days").alias("u"))
-        parts.append(up.select("capture", "packet_no", F.when(F.col("_role") == "client", F.col("u")).alias("client_uptime"), F.when(F.col("_role") == "server", F.col("u")).alias("server_uptime")))
+        parts.append(uptime_rows(flows.uptimes(observed)))
     if config.http:
         parts.append(http_results(segments, sigs, config.corrected_software, config.http_matcher))
     if config.tls:

@@ -1,15 +1,19 @@
 """Capture files as a Spark data source: spark.read.format("pcap").load(path), and as a stream over a folder of rotated files.
 
 The files of a folder, in order of their names, are one capture, so that connections go on from one file to the next. A packet's number is FILE times
-that of its file, which begins at 0, and its own in the file. A stream counts the files before that are still in the folder.
+that of its file, which begins at 0, and its own in the file. A stream counts the files that it saw before.
+The data source opens files as local paths, so all machines must see the folder (read_pcap() reads any store that Spark reads). It reads a file's packets one by one.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,23 +21,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "capture string, packet_no long, ts timestamp, orig_len int, data binary"
 FILE = 1 << 40
+#: A longer one is taken for damage.
+MOST_PACKET = 1 << 24
 #: Magic numbers of the classic format, with the byte order and the fraction's unit.
 MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
 
 
-def packets(data: bytes) -> Iterator[tuple[int, datetime, int, bytes]]:
-    """Number, time, original length and bytes of each packet; a damaged tail ends the file, other formats hold none."""
-    if (kind := MAGIC.get(data[:4])) is None or len(data) < 24:
+def packets(data: bytes | BinaryIO) -> Iterator[tuple[int, datetime, int, bytes]]:
+    """Number, time, original length and bytes of each packet of a capture in memory or in an open file; a damaged tail ends it, other formats hold none."""
+    file = io.BytesIO(data) if isinstance(data, bytes) else data
+    if (kind := MAGIC.get((head := file.read(24))[:4])) is None or len(head) < 24:
         return
-    order, unit = kind
-    at, no = 24, 0
-    while at + 16 <= len(data):
-        sec, frac, size, orig = struct.unpack_from(f"{order}IIII", data, at)
-        at += 16
-        if at + size > len(data):
+    (order, unit), no = kind, 0
+    while len(head := file.read(16)) == 16:
+        sec, frac, size, orig = struct.unpack(f"{order}IIII", head)
+        if size > MOST_PACKET or len(raw := file.read(size)) < size:
             return
-        yield no, datetime.fromtimestamp(sec, timezone.utc).replace(microsecond=min(frac // unit, 999_999)), orig, data[at : at + size]
-        at += size
+        yield no, datetime.fromtimestamp(sec, timezone.utc).replace(microsecond=min(frac // unit, 999_999)), orig, raw
         no += 1
 
 
@@ -66,25 +70,29 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[tuple]:
         path, capture, number = partition.value
         with open(path, "rb") as f:
-            data = f.read()
-        for no, ts, orig, raw in packets(data):
-            yield capture, FILE * number + no, ts, orig, raw
+            for no, ts, orig, raw in packets(f):
+                yield capture, FILE * number + no, ts, orig, raw
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Each batch has the files whose names follow those already read, a partition for each."""
+    """Each batch has the files that weren't there before, whatever their names, a partition for each.
+
+    An offset lists the folder's files. Files must come whole, by a rename, and stay while the stream runs. A file's number says how many were seen before it.
+    """
 
     def __init__(self, path: str):
         self.path = path
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"after": max(_files(self.path), default="")}
+        return {"files": [os.path.basename(f) for f in _files(self.path)]}
 
     def partitions(self, start: dict, end: dict) -> list[_File]:
-        return [_File(f, self.path, i) for i, f in enumerate(_files(self.path)) if start["after"] < f <= end["after"]]
+        seen = set(start["files"])
+        new = [f for f in _files(self.path) if (name := os.path.basename(f)) not in seen and name in end["files"]]
+        return [_File(f, self.path, len(seen) + i) for i, f in enumerate(new)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         return _Reader(self.path).read(partition)
@@ -126,9 +134,9 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, data in zip(b["path"], b["content"]):
                 capture, base = (path, FILE * number[name]) if name in number else (name, 0)
-                rows = [(capture, base + no, *p) for no, *p in packets(bytes(data))]
-                for a in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[a : a + 10_000], columns=["capture", "packet_no", "ts", "orig_len", "data"])
+                every = ((capture, base + no, *p) for no, *p in packets(bytes(data)))
+                while rows := list(islice(every, 10_000)):
+                    yield pd.DataFrame(rows, columns=["capture", "packet_no", "ts", "orig_len", "data"])
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 

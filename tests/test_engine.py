@@ -216,3 +216,26 @@ def test_settings_are_read_once(spark):
     assert [r.akamai and r.akamai.text for r in df.collect()] == ["3:100|65535|0|", "3:100|65535|0|", None, None]
     r = http2.FrameReader()
     assert [len(r.add(data[a:b])) for a, b in ((0, 20), (20, 38), (38, 60))] == [0, 0, 28]
+
+
+def test_stream_of_whole_analysis(spark, tmp_path):
+    """State goes on from one run to the next, and a file that comes later counts though its name is less."""
+    import json
+
+    from netglean.streaming import results
+
+    c, s, h, folder = "10.0.0.1", "10.0.0.2", hello(), tmp_path / "in"
+    folder.mkdir()
+    files = {"b.pcap": [(1.0, segment(c, s, 1111, 80, 1, 2)), (1.1, segment(c, s, 2222, 443, 1, 24, h[:20])), (1.2, segment(c, s, 1111, 80, 2, 24, REQUEST[:10]))], "a.pcap": [(2.1, segment(c, s, 2222, 443, 21, 24, h[20:])), (3.0, segment(c, s, 1111, 80, 12, 24, REQUEST[10:]))]}
+    pcap.register(spark)
+    for name, made in files.items():
+        (tmp_path / name).write_bytes(pcap.write_pcap(made))
+        (tmp_path / name).rename(folder / name)
+        out = results.ndjson(spark.readStream.format("pcap").load(str(folder)))
+        q = out.writeStream.format("text").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination(120)
+        q.stop()
+    got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len([x for x in got if "syn" in x or "syn_ack" in x]) == 5
+    assert [(x["packet_no"], x["http_request"]["uri"]) for x in got if "http_request" in x] == [(pcap.FILE + 1, "/a")]
+    assert [x["tls"]["sni"] for x in got if "tls" in x] == ["host"]
