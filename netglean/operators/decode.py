@@ -66,8 +66,8 @@ def decode(packets: DataFrame) -> DataFrame:
     return packets.select("capture", "packet_no", "ts", F.col("data").cast("binary").alias("data")).mapInArrow(run, _schema(kept, headers.SEGMENTS))
 
 
-def observe(segments: DataFrame, standard_mtu: bool = False) -> DataFrame:
-    """decode()'s rows as signature observations: direction, TTL and window classes, layout, quirks, MTU and the signature's text."""
+def observe(segments: DataFrame, standard_mtu: bool = False, keep: dict[str, str] | None = None) -> DataFrame:
+    """decode()'s rows as signature observations: direction, TTL and window classes, layout, quirks, MTU and the signature's text. keep: further columns by their new names."""
     c = F.col
     v4 = c("ip_version") == 4
     header = F.when(v4, c("words")).otherwise(40)
@@ -81,6 +81,7 @@ def observe(segments: DataFrame, standard_mtu: bool = False) -> DataFrame:
         F.concat(tcp.ip_quirks(c("ip_version"), c("ecn") != 0, reserved, dont, c("ident"), c("flow")), tcp.tcp_quirks(c("flags"), c("seq"), c("ack"), c("urgent")), c("opt.quirks")).alias("quirks"),
         F.when(F.octet_length("payload") == 0, "0").otherwise("+").alias("payload"), F.when(client & c("opt.mss").isNotNull(), tcp.mtu(c("opt.mss"), ip_bytes, c("tcp_header"), standard_mtu)).alias("mtu"),
         c("opt.malformed").alias("malformed"), c("opt.ts").alias("tcp_ts"), tcp.uptime_role(c("flags"), c("sport"), c("dport")).alias("role"),
+        *(c(old).alias(new) for new, old in (keep or {}).items()),
     )
     df = _once(df, F.struct(*df.columns), "x", []).select("x.*")
     text = tcp.signature_text(c("version"), tcp.ttl_text(c("ttl")), c("olen"), c("mss"), tcp.window_text(c("window")), c("wscale"), c("layout"), c("quirks"), c("payload"))

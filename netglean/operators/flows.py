@@ -160,12 +160,76 @@ def http_messages(segments: DataFrame) -> DataFrame:
 HTTP_SCHEMA = f"capture string, packet_no long, flow string, side string, bytes binary, h2 {wire.HTTP2}"
 
 
-def http_observations(messages: DataFrame) -> DataFrame:
-    """Messages (text, h2, side) as observations: version, header order, absent headers, software, and the fields that are reported."""
+class Connection:
+    """What one flow's packets tell in order: messages, hellos of each direction, and uptimes of each direction and role."""
+
+    def __init__(self, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool):
+        self.with_http, self.with_tls, self.with_uptime, self.reassemble = with_http, with_tls, with_uptime, reassemble
+        self.http, self.anchors, self.readers = None, {}, {}
+
+    def step(self, t: int | None, forward: bool, flags: int, seq: int, payload: bytes, role: str | None, tsval: int | None) -> tuple[float | None, tuple | None, dict | None]:
+        """The raw frequency, message and hello that a packet tells."""
+        hz = found = hello = None
+        if self.with_uptime and tsval is not None and t is not None:
+            self.anchors[forward, role], hz = uptime.step(self.anchors.get((forward, role)), t, tsval)
+        if self.with_http and (payload or flags & (tcp.SYN | tcp.FIN | tcp.RST)):
+            self.http, found = http_step(self.http, t, forward, flags, seq, payload)
+        if self.with_tls and payload:
+            hello = self._hello(t, forward, payload) if self.reassemble else wire.client_hello(payload) if wire.is_tls(payload) else None
+        return hz, found, hello
+
+    def _hello(self, t: int | None, forward: bool, payload: bytes) -> dict | None:
+        reader, since = self.readers.get(forward, (None, None))
+        if reader is not None and since is not None and t is not None and t - since >= TLS_LIFE_MS:
+            reader = None
+        if reader is None:
+            if not wire.is_tls(payload):
+                self.readers.pop(forward, None)
+                return None
+            reader, since = wire.HelloReader(), t
+        hello = reader.add(payload)
+        self.readers[forward] = (None, None) if reader.done else (reader, since)
+        return hello
+
+
+def told(df: DataFrame, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool = True) -> DataFrame:
+    """df with raw_hz, side, bytes, h2 and hello, null where a packet tells none. All that spans packets is found in one pass over flows, after one exchange.
+
+    df: capture, packet_no, ts, src, sport, dst, dport, flags, seq, raw (payload), role and tsval; further columns go along.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType
+
+    more = StructType.fromDDL(f"raw_hz double, side string, bytes binary, h2 {wire.HTTP2}, hello {wire.HELLO}")
+    kinds = [to_arrow_type(f.dataType) for f in more]
+    df = flow_key(df).withColumn("_t", F.unix_millis("ts"))
+    schema = StructType([StructField(f.name, f.dataType) for f in df.schema] + more.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, flow = None, None
+        for b in batches:
+            rows = []
+            for key, *packet in zip(*(b.column(c).to_pylist() for c in ("flow", "_t", "forward", "flags", "seq", "raw", "role", "tsval"))):
+                if key != last:
+                    last, flow = key, Connection(with_http, with_tls, with_uptime, reassemble)
+                packet[4] = packet[4] or b""
+                hz, found, hello = flow.step(*packet)
+                rows.append((hz, *(found or (None, None, None)), hello))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds))], schema.names)
+
+    return df.repartition("flow").sortWithinPartitions("flow", "packet_no").mapInArrow(run, schema)
+
+
+def http_observations(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Messages (text, h2, side) as observations: version, header order, absent headers, software, and the fields that are reported.
+
+    keep: columns that go along; then rows without a message stay, and have no direction.
+    """
     c = F.col
     req, res = http.parsed(c("text"), True), http.parsed(c("text"), False)
     df = messages.withColumn("request", F.when(c("h2").isNull() & (c("side") == "request") & http.is_request(c("text")), req)).withColumn("response", F.when(c("h2").isNull() & (c("side") == "response") & http.is_response(c("text")), res))
-    df = df.where("request IS NOT NULL OR response IS NOT NULL OR h2 IS NOT NULL")
+    some = F.expr("request IS NOT NULL OR response IS NOT NULL OR h2 IS NOT NULL")
+    df = df.withColumn("direction", F.when(some, c("side"))) if keep else df.where(some).withColumn("direction", c("side"))
     client = c("side") == "request"
     either = lambda a, b, h2: F.when(c("h2").isNotNull(), h2).when(c("request").isNotNull(), a).otherwise(b)
     last = lambda name: F.try_element_at(F.filter("h2.headers", lambda h: (F.lower(h["name"]) == name) & h["value"].isNotNull()), F.lit(-1))["value"]
@@ -174,7 +238,7 @@ def http_observations(messages: DataFrame) -> DataFrame:
     agent = F.when(c("h2").isNull(), http.first_value(c("request.headers"), "user-agent")).when(client, last("user-agent"))
     accept = F.when(c("h2").isNull(), http.first_value(c("request.headers"), "accept-language")).when(client, last("accept-language"))
     return df.select(
-        "capture", "packet_no", "flow", c("side").alias("direction"), F.when(version == "HTTP/2", "2").when(version == "HTTP/1.0", "0").otherwise("1").alias("version"),
+        "capture", "packet_no", "flow", *keep, "direction", F.when(version == "HTTP/2", "2").when(version == "HTTP/1.0", "0").otherwise("1").alias("version"),
         either(http.header_order(c("request.headers"), True), http.header_order(c("response.headers"), False), F.transform("h2.headers", lambda h: F.struct(F.lit(False).alias("optional"), h["name"].alias("name"), h["value"].alias("value")))).alias("horder"),
         F.transform(either(http.absent(c("request.headers"), True), http.absent(c("response.headers"), False), missing(c("h2.headers"))), lambda x: F.struct(F.lit(False).alias("optional"), x.alias("name"), F.lit(None).cast("string").alias("value"))).alias("habsent"),
         either(agent, http.first_value(c("response.headers"), "server"), F.when(client, agent).otherwise(last("server"))).alias("software"), agent.alias("user_agent"), http.language(accept).alias("lang"),

@@ -28,7 +28,7 @@ def to_text(results: DataFrame) -> DataFrame:
     blocks = []
     for c, title in (("syn", "syn"), ("syn_ack", "syn+ack")):
         if c in results.columns:
-            blocks.append(F.when(F.col(c).isNotNull(), _block(title, ends(c), [("os", F.when(F.col(f"{c}.os").isNotNull(), name(c, "os"))), ("quality", F.col(f"{c}.quality.score")), ("raw_sig", F.col(f"{c}.signature"))])))
+            blocks.append(F.when(F.col(c).isNotNull(), _block(title, ends(c), [("os", F.when(F.col(f"{c}.os").isNotNull(), name(c, "os"))), ("dist", F.col(f"{c}.distance")), ("params", F.coalesce(f"{c}.os.kind", F.lit("none"))), ("quality", F.col(f"{c}.quality.score")), ("raw_sig", F.col(f"{c}.signature"))])))
     if "mtu" in results.columns:
         blocks.append(F.when(F.col("mtu").isNotNull(), _block("mtu", at, [("link", F.col("mtu.link")), ("raw_mtu", F.col("mtu.mtu"))])))
     for c in ("client_uptime", "server_uptime"):
