@@ -5,14 +5,15 @@ Packets, headers and hellos are functions of events.event_id (or of lineitem's c
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netglean.functions import akamai, http, ja4, octets, tcp, uptime
 from netglean.functions.filters import FilterConfig, IpFilter, PortFilter, SubnetFilter
 from netglean.operators import decode, flows, headers, http2, matching, wire
-from netglean.plans import analyze, metrics
-from netglean.sources import signatures
+from netglean.plans import analyze, metrics, sinks
+from netglean.sources import pcap, signatures
 
 FLAGS = (2, 18, 16, 24, 17, 4, 1, 3, 6, 41, 194, 0, 32, 20)
 LAYOUTS = ("mss,sok,ts,nop,ws", "mss,nop,ws,nop,nop,ts,sok,eol+1", "mss,nop,ws,nop,nop,sok", "mss", "mss,nop,ws,sok,ts", "nop,nop,ts")
@@ -728,12 +729,107 @@ SELECT e, CAST(2 + a + b AS INT) AS header_count, array_to_string(list_filter([C
 FROM (SELECT event_id AS e, CAST(event_id % 2 = 0 AS INT) AS a, CAST(event_id % 3 = 0 AS INT) AS b, CAST(event_id % 5 = 0 AS INT) AS c FROM events)"""
 
 
+def pcap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of at most 1000 packets, written in the classic format and read again."""
+    made = frames_of(_events(spark, sf_dir)).select(F.expr("packet_no DIV 1000").alias("file"), "packet_no", F.unix_millis("ts").alias("ms"), "data")
+
+    def write(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(t.column("packet_no").to_pylist(), t.column("ms").to_pylist(), t.column("data").to_pylist()))
+        return pa.table({"path": [str(t.column("file")[0].as_py())], "content": [pcap.write_pcap([(ms / 1000, d) for _, ms, d in rows])]})
+
+    p = pcap.parse_files(made.groupBy("file").applyInArrow(write, "path string, content binary"))
+    return p.select("capture", "packet_no", F.unix_millis("ts").alias("ms"), "orig_len", F.octet_length("data").alias("size"), F.lower(F.hex(F.substring("data", 1, 2))).alias("head"))
+
+
+PCAP_SCAN = """
+SELECT '' || (event_id // 1000) AS capture, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS packet_no, event_id * 10 AS ms, CAST(60 + CASE event_id % 3 WHEN 0 THEN 16 WHEN 1 THEN 0 ELSE 4 END AS INT) AS orig_len,
+  CAST(60 + CASE event_id % 3 WHEN 0 THEN 16 WHEN 1 THEN 0 ELSE 4 END AS INT) AS size, CASE event_id % 3 WHEN 0 THEN '0000' WHEN 1 THEN '4500' ELSE '1e00' END AS head FROM events"""
+
+
+def ndjson_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as JSON lines, nulls left out."""
+    return sinks.to_ndjson(mtu_link(spark, sf_dir).select("e", "mtu", F.struct("link", (F.col("mtu") > 1400).alias("large")).alias("told")))
+
+
+def _ndjson_sql() -> str:
+    return f"""SELECT '{{"e":' || e || ',"mtu":' || mtu || ',"told":{{' || coalesce('"link":"' || link || '",', '') || '"large":' || (mtu > 1400) || '}}}}' AS value FROM ({_mtu_sql()})"""
+
+
+#: Made signature files: lines of the format and what they say.
+_SIGNATURE_LINES = (
+    ("4:64:0:1460:mss*4,7:mss,nop,ws:df,id+:0", ("4", "value", 64, None, 0, 1460, "mss", 4, 7, "mss,nop,ws", "df,id+", "0")), ("*:128-:8:*:8192,*:mss,eol+2::+", ("*", "bad", 128, None, 8, None, "value", 8192, None, "mss,eol+2", "", "+")),
+    ("6:57+7:0:*:%512,0:?30,sok:flow:*", ("6", "distance", 57, 7, 0, None, "mod", 512, 0, "?30,sok", "flow", "*")), ("4:200+?:0:536:mtu*2,*:ts:ecn,0+:0", ("4", "guess", 200, None, 0, 536, "mtu", 2, None, "ts", "ecn,0+", "0")), ("*:64:0:*:*,*:nop::0", ("*", "value", 64, None, 0, None, "any", None, None, "nop", "", "0")),
+)
+
+
+def signature_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of a signature file for each event, parsed."""
+    df = _events(spark, sf_dir).select("e", _pick(tuple(x for x, _ in _SIGNATURE_LINES), f"e % {len(_SIGNATURE_LINES)}").alias("line"))
+    kinds = "e long, version string, ttl_kind string, ttl int, dist int, olen int, mss int, win_kind string, win int, wscale int, layout string, quirks string, payload string"
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for e, line in zip(b.column("e").to_pylist(), b.column("line").to_pylist()):
+                (*_, version, ttl, olen, mss, window, scale, layout, quirks, payload), = signatures.parse(f"[tcp:request]\nlabel = s:unix:x:\nsig = {line}\n").tcp
+                rows.append((e, version, *ttl, olen, mss, *window, scale, ",".join(layout), ",".join(quirks), payload))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 13, [pa.int64(), pa.string(), pa.string(), *[pa.int32()] * 4, pa.string(), *[pa.int32()] * 2, *[pa.string()] * 3])], [x.split()[0] for x in kinds.split(", ")])
+
+    return df.mapInArrow(run, kinds)
+
+
+def _signature_sql() -> str:
+    rows = _values([(i, *said) for i, (_, said) in enumerate(_SIGNATURE_LINES)], "i, version, ttl_kind, ttl, dist, olen, mss, win_kind, win, wscale, layout, quirks, payload")
+    return f"SELECT event_id AS e, version, ttl_kind, CAST(ttl AS INT) AS ttl, CAST(dist AS INT) AS dist, CAST(olen AS INT) AS olen, CAST(mss AS INT) AS mss, win_kind, CAST(win AS INT) AS win, CAST(wscale AS INT) AS wscale, layout, quirks, payload FROM events JOIN {rows} ON event_id % {len(_SIGNATURE_LINES)} = i"
+
+
+#: First bytes of messages: whether they are a request, a response, and whether the headers are whole.
+_STARTS = (
+    ("GET /abcdef HTTP/1.1\r\nA: b\r\n\r\n", True, False, True), ("GET / HTTP/2.0\r\nLong: enough\r\n\r\n", False, False, True), ("HTTP/1.1 200 OK\r\nA: b\r\n", False, True, False), ("HTTP/1.0 404\r\n\r\n", False, True, True),
+    ("POST\t/x\tHTTP/1.0\r\n", True, False, False), ("FETCH /abcdef HTTP/1.1\r\n\r\n", False, False, True), ("HTTP/1.1 20 OK no code\r\n\r\n", False, False, True), ("GET / HTTP/1.1", False, False, False), ("", False, False, False),
+)
+
+
+def http_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _events(spark, sf_dir).select("e", _pick(tuple(x[0] for x in _STARTS), f"e % {len(_STARTS)}").alias("t"))
+    return df.select("e", http.is_request(F.col("t")).alias("request"), http.is_response(F.col("t")).alias("response"), http.complete(F.col("t")).alias("whole"))
+
+
+def _detect_sql() -> str:
+    rows = _values([(i, *x[1:]) for i, x in enumerate(_STARTS)], "i, request, response, whole")
+    return f"SELECT event_id AS e, request, response, whole FROM events JOIN {rows} ON event_id % {len(_STARTS)} = i"
+
+
+_VERSIONS = ((0x0304, "13"), (0x0303, "12"), (0x0302, "11"), (0x0301, "10"), (0x0300, "s3"), (0x0200, "12"))
+
+
+def tls_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of hellos, with and without supported_versions; whether a payload begins a handshake record."""
+    df = _events(spark, sf_dir).select("e", _pick(tuple(v for v, _ in _VERSIONS), f"e % {len(_VERSIONS)}").alias("v"), F.when(F.expr("e % 7 = 0"), F.array(F.lit(0), F.lit(43))).otherwise(F.array(F.lit(0))).alias("x"))
+    return df.select("e", ja4.version(F.col("v"), F.col("x")).alias("version"))
+
+
+TLS_VERSION = f"SELECT event_id AS e, CASE WHEN event_id % 7 = 0 THEN '13' ELSE {_sql_pick(tuple(t for _, t in _VERSIONS), f'event_id % {len(_VERSIONS)}')} END AS version FROM events"
+
+
+def filter_any_port(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ports of either side, and a deny list of addresses of either side."""
+    df = _events(spark, sf_dir).select("e", F.expr("CAST(e % 1000 AS INT)").alias("sport"), F.expr("CAST((e * 7) % 1000 AS INT)").alias("dport"), F.expr("concat('10.0.0.', CAST(e % 9 AS STRING))").alias("src"), F.lit("10.0.0.3").alias("dst"))
+    config = FilterConfig("allow", (PortFilter().source(80).destination_range(100, 200).any_port(), IpFilter().allow("10.0.0.1", "10.0.0.2").source_only()))
+    return df.where(config.predicate(F.col("src"), F.col("dst"), F.col("sport"), F.col("dport"))).select("e", "sport", "dport")
+
+
+FILTER_ANY_PORT = """
+SELECT e, CAST(s AS INT) AS sport, CAST(d AS INT) AS dport FROM (SELECT event_id AS e, event_id % 1000 AS s, (event_id * 7) % 1000 AS d FROM events) WHERE (s = 80 OR d = 80 OR s BETWEEN 100 AND 199 OR d BETWEEN 100 AND 199) AND e % 9 IN (1, 2)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tcp_os_match, ttl_classify, window_classify, mtu_link, flag_validity_direction, quirks_text, tcp_signature_text, tcp_bulk_match, filter_allow, filter_deny, freq_round, uptime_anchor_fold, http_header_order,
         http_browser_match, accept_language, ua_os_diagnosis, flow_reassembly, ja4_sorted, ja4_original, ja4_stable, akamai_fingerprint, tcp_options_walk, packet_decode, packet_endpoints_filtered, tls_client_hello, protocol_union,
         tls_reassembly, flow_reopened, http2_exchange, akamai_segments, uptime_by_answers, packets_mixed, capture_stats, http_metadata,
+        pcap_scan, ndjson_sink, signature_parse, http_detect, tls_version, filter_any_port,
     )
 }
 
@@ -748,4 +844,5 @@ def sql() -> dict[str, str]:
         "tcp_options_walk": _options_sql(), "packet_decode": PACKET_DECODE, "packet_endpoints_filtered": PACKET_ENDPOINTS_FILTERED,
         "tls_client_hello": _hello_sql(), "tls_reassembly": _hello_sql(), "protocol_union": _union_sql(), "flow_reopened": FLOW_REOPENED, "http2_exchange": HTTP2_EXCHANGE, "akamai_segments": AKAMAI_SEGMENTS,
         "uptime_by_answers": UPTIME_BY_ANSWERS, "packets_mixed": _mixed_sql(), "capture_stats": CAPTURE_STATS, "http_metadata": HTTP_METADATA,
+        "pcap_scan": PCAP_SCAN, "ndjson_sink": _ndjson_sql(), "signature_parse": _signature_sql(), "http_detect": _detect_sql(), "tls_version": TLS_VERSION, "filter_any_port": FILTER_ANY_PORT,
     }

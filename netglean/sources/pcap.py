@@ -10,11 +10,12 @@ from __future__ import annotations
 import io
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from itertools import islice
 from typing import BinaryIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -127,13 +128,16 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     names = sorted(r.path for r in files.select("path").collect())
     number = {f: i for i, f in enumerate(names)} if len(names) > 1 else {}
+    return parse_files(files.select("path", "content"), lambda name: (path, FILE * number[name]) if name in number else (name, 0))
 
-    def run(batches):
-        import pandas as pd
 
+def parse_files(files: DataFrame, named: Callable[[str], tuple[str, int]] = lambda path: (path, 0)) -> DataFrame:
+    """Packets of files (path, content). named: the capture that a path belongs to, and the number of its first packet."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, data in zip(b["path"], b["content"]):
-                capture, base = (path, FILE * number[name]) if name in number else (name, 0)
+                capture, base = named(name)
                 every = ((capture, base + no, *p) for no, *p in packets(bytes(data)))
                 while rows := list(islice(every, 10_000)):
                     yield pd.DataFrame(rows, columns=["capture", "packet_no", "ts", "orig_len", "data"])
