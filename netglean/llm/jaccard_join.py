@@ -426,22 +426,21 @@ def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with the column _node, a number for each different pair of doc_id and text.
+    """docs as row (a struct of all columns), text, and node, a number for each different pair of doc_id and text.
 
     It is doc_id itself for the first text of a doc_id (by hash, commonly the only one); further texts of the same doc_id, and rows without
     doc_id, are numbered beyond all doc_ids, in the order of doc_id (nulls last) and hash.
     """
-    keyed = docs.select("*", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_hash"), F.col("doc_id").cast("long").alias("_id"))
-    ids = keyed.groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("_hash").alias("_most"), F.count("*").alias("_rows"))
-    odd = save(ids.where("_id IS NULL OR _least <> _most").select("_id", F.when(F.col("_id").isNotNull(), F.col("_least")).alias("_least")), "odd")
-    most = keyed.agg(F.coalesce(F.max("_id"), F.lit(0))).first()[0]
-    again = F.col("_id").eqNullSafe(F.col("_odd"))
-    further = keyed.select("_id", "_hash").join(odd.withColumnRenamed("_id", "_odd"), again).where("_least IS NULL OR _hash <> _least").select("_id", "_hash").distinct()
-    further = further.orderBy(F.col("_id").asc_nulls_last(), "_hash").select("_id", "_hash", (F.monotonically_increasing_id() + F.lit(most + 1)).alias("_number"))
-    further = save(further, "further").select(F.col("_id").alias("_odd"), F.col("_hash").alias("_other"), "_number")
-    found = keyed.join(further, again & (F.col("_hash") == F.col("_other")), "left")
-    out = found.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("_number", "_id").alias("_node"))
-    return out
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, "text", F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("hash"))
+    ids = keyed.groupBy("id").agg(F.min("hash").alias("least"), F.max("hash").alias("most"))
+    odd = save(ids.where("id IS NULL OR least <> most").select(F.col("id").alias("odd"), F.when(F.col("id").isNotNull(), F.col("least")).alias("least")), "odd")
+    top = keyed.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    again = F.col("id").eqNullSafe(F.col("odd"))
+    further = keyed.select("id", "hash").join(odd, again).where("least IS NULL OR hash <> least").select("id", "hash").distinct()
+    further = further.orderBy(F.col("id").asc_nulls_last(), "hash").select(F.col("id").alias("odd"), F.col("hash").alias("other"), (F.monotonically_increasing_id() + F.lit(top + 1)).alias("number"))
+    further = save(further, "further")
+    return keyed.join(further, again & (F.col("hash") == F.col("other")), "left").select("row", "text", F.coalesce("number", "id").alias("node"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -451,8 +450,8 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     the least JSON of the other columns.
     """
     own = numbered(docs)
-    winners = jaccard_join(own.select(F.col("_node").alias("doc_id"), "text"), k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_node")).distinct()
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    kept = own.join(winners, "_node", "left_semi")
-    rows = kept.groupBy("_node").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.to_json(F.struct(*others)) if others else F.lit(0)).alias("_row"))
-    return rows.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    winners = jaccard_join(own.select(F.col("node").alias("doc_id"), "text"), k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("node")).distinct()
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    kept = own.join(winners, "node", "left_semi")
+    rows = kept.groupBy("node").agg(F.min_by("row", F.to_json(F.struct(*others)) if others else F.lit(0)).alias("row"))
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
