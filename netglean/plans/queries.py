@@ -713,7 +713,7 @@ def capture_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CAPTURE_STATS = """
 SELECT CASE event_id % 3 WHEN 0 THEN 'ethernet' WHEN 1 THEN 'raw_ip' ELSE 'null' END AS link, count(*) AS packets, CAST(sum(60 + CASE event_id % 3 WHEN 0 THEN 16 WHEN 1 THEN 0 ELSE 4 END) AS BIGINT) AS bytes,
-  count_if(event_id % 17 = 0 OR event_id % 60000 < 300) AS kept, count_if(event_id % 17 <> 0 AND event_id % 60000 < 300) AS tcp FROM events GROUP BY 1"""
+  CAST(count_if(event_id % 17 = 0 OR event_id % 60000 < 300) AS BIGINT) AS kept, CAST(count_if(event_id % 17 <> 0 AND event_id % 60000 < 300) AS BIGINT) AS tcp FROM events GROUP BY 1"""
 
 
 def http_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
