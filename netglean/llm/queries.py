@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netglean.llm import bpe, decontaminate, jaccard_join, quality_classifier, quality_rules, quotation, secret_scan, substring_dedup, token_counts, warc
+from netglean.llm import bpe, decontaminate, jaccard_join, merkle, quality_classifier, quality_rules, quotation, secret_scan, substring_dedup, token_counts, url_filter, warc, whitening
 from netglean.llm.shared import table
 
 
@@ -52,7 +52,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_quotation_links, op4_substring_dedup, op5_quality_rules, op6_quality_classifier, op7_secret_scan, op8_decontamination, op9_warc_revisits, op10_byte_bpe)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.RULES, url_filter.own_model())
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_counts, op3_quotation_links, op4_substring_dedup, op5_quality_rules, op6_quality_classifier, op7_secret_scan, op8_decontamination, op9_warc_revisits, op10_byte_bpe, op11_url_filter, op12_embedding_whitening, op13_merkle_manifest)}
 
 OP1 = r"""
 WITH RECURSIVE d AS (
@@ -142,4 +154,9 @@ SELECT d.doc_id, d.n AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op1_jaccard_join": OP1, "op3_quotation_links": OP3, "op4_substring_dedup": OP4, "op5_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op1_jaccard_join": OP1, "op3_quotation_links": OP3, "op4_substring_dedup": OP4, "op5_quality_rules": quality_rules.SQL, "op13_merkle_manifest": merkle.SQL}
+
+
+def sql() -> dict[str, str]:
+    """All of it; op11's has the weights that training gives."""
+    return SQL | {"op11_url_filter": url_filter.sql(url_filter.own_model(), url_filter.RULES)}
