@@ -8,6 +8,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from netglean.functions import networks
+
+#: So many IPv4 blocks stay comparisons of numbers; more, and all of IPv6, are looked up among sorted intervals.
+FEW_BLOCKS = 8
+
 
 def _any(parts: list[Column]) -> Column:
     out = F.lit(False)
@@ -84,18 +89,9 @@ def ip_number(ip: Column) -> Column:
     return F.when(ok, sum((F.get(parts, F.lit(i)).try_cast("long") * 256 ** (3 - i) for i in range(1, 4)), F.get(parts, F.lit(0)).try_cast("long") * 256**3))
 
 
-def ipv6_hex(ip: Column) -> Column:
-    """An IPv6 text's 32 hexadecimal digits, else null."""
-    halves = F.split(ip, "::", 2)
-    groups = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ":"), lambda x: x != "")
-    head, tail = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
-    zeros = F.when(F.size(head) + F.size(tail) < 8, F.array_repeat(F.lit("0"), 8 - F.size(head) - F.size(tail))).otherwise(F.array().cast("array<string>"))
-    return F.when(ip.contains(":"), F.array_join(F.transform(F.concat(head, zeros, tail), lambda x: F.lower(F.lpad(x, 4, "0"))), ""))
-
-
 @dataclass(frozen=True)
 class SubnetFilter:
-    """CIDR blocks of both families, checked on one side or either."""
+    """CIDR blocks of both families, as many as there are, checked on one side or either."""
 
     networks: tuple[str, ...] = ()
     check_source: bool = True
@@ -111,14 +107,11 @@ class SubnetFilter:
         return replace(self, check_source=False, check_destination=True)
 
     def _in(self, ip: Column) -> Column:
-        parts = []
-        for n in map(ipaddress.ip_network, self.networks):
-            low, high = int(n.network_address), int(n.broadcast_address)
-            if n.version == 4:
-                parts.append(F.coalesce(ip_number(ip).between(low, high), F.lit(False)))
-            else:
-                parts.append(F.coalesce(ipv6_hex(ip).between(f"{low:032x}", f"{high:032x}"), F.lit(False)))
-        return _any(parts)
+        blocks = [*map(ipaddress.ip_network, self.networks)]
+        if len(blocks) > FEW_BLOCKS or any(n.version == 6 for n in blocks):
+            return networks.inside(self.networks)(ip)
+        number = ip_number(ip)
+        return _any([F.coalesce(number.between(int(n.network_address), int(n.broadcast_address)), F.lit(False)) for n in blocks])
 
     def match(self, src: Column, dst: Column) -> Column:
         return _any([self._in(c) for c, on in ((src, self.check_source), (dst, self.check_destination)) if on])

@@ -1,4 +1,4 @@
-"""Nearest signatures: observations meet only signatures with their exact key, an array of them by a broadcast hash join, and the least distance wins.
+"""Nearest signatures: TCP observations meet only signatures with their exact key, an array of them by a broadcast hash join, and the least distance wins; header lists walk a trie.
 
 Signature tables are files' contents of bounded size (at most MOST_SIGNATURES rows, checked), so they are sent to all tasks. Wildcards are
 exploded into keys beforehand. Distances that are null are incompatible. Ties go to the first label and signature of the file.
@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netglean.functions import http
+from netglean.operators import tries
 from netglean.sources.signatures import Signatures
 
 MOST_SIGNATURES = 100_000
+FEW_TOKENS = 32
 
 
 def _bounded(rows: list) -> list:
@@ -32,11 +34,6 @@ def tcp_index(sigs: DataFrame) -> DataFrame:
     return sigs.withColumn("k_layout", F.array_join("layout", ",")).withColumn("k_version", F.explode(versions)).withColumn("k_payload", F.explode(payloads))
 
 
-def http_index(sigs: DataFrame) -> DataFrame:
-    versions = F.when(F.col("version") == "*", F.array(F.lit("0"), F.lit("1"))).otherwise(F.array("version"))
-    return sigs.withColumn("k_version", F.explode(versions))
-
-
 def ttl_distance(o: Column, s: Column) -> Column:
     """0 when equal, 2 when not, by pairs of kinds; null for pairs that can't be compared."""
     off = lambda same: F.when(same, 0).otherwise(2)
@@ -125,10 +122,14 @@ def match_tcp(obs: DataFrame, sigs: Signatures) -> DataFrame:
 
 
 def match_http(obs: DataFrame, sigs: Signatures, corrected: bool = False) -> DataFrame:
-    """obs has direction, version, horder, habsent and software. HTTP/2 observations have a version that no signature has."""
-    _bounded(sigs.http)
-    index = http_index(sigs.frames(obs.sparkSession)["http"])
-    return _best(obs, index, {"direction": F.col("direction"), "k_version": F.col("version")}, lambda s: http_distance(s, corrected), http_score)
+    """obs has direction, version, horder, habsent and software. HTTP/2 observations have a version that no signature has.
+
+    The least http_distance(), found by a walk of the signatures' trie for each different observation of a batch.
+    """
+    rows = [(label, sig, kind, class_, name, flavor, direction, version, horder, habsent, software, text) for direction, label, sig, kind, class_, name, flavor, text, version, horder, habsent, software in _bounded(sigs.http)]
+    match = tries.header_matcher(rows, {"*": ("0", "1")}, corrected)
+    out = obs.withColumn("_m", match(F.col("direction"), F.col("version"), F.to_json(F.struct("horder", "habsent", "software"))))
+    return out.select(*obs.columns, *(F.col(f"_m.{x}").alias(x) for x in ("dist", "kind", "class", "name", "flavor", "signature")), http_score(F.col("_m.dist")).alias("score"))
 
 
 def match_mtu(obs: DataFrame, sigs: Signatures, mtu: str = "mtu") -> DataFrame:
@@ -139,9 +140,11 @@ def match_mtu(obs: DataFrame, sigs: Signatures, mtu: str = "mtu") -> DataFrame:
 
 
 def ua_family(user_agent: Column, sigs: Signatures) -> Column:
-    """Family of the first token of the table that the user agent contains."""
+    """Family of the first token of the table that the user agent contains. A table of few tokens is a constant of the expression, of more an automaton."""
     rows = _bounded(sigs.ua_os)
     if not rows:
         return F.lit(None).cast("string")
-    table = F.from_json(F.lit(json.dumps([{"ua": ua, "family": family} for _, ua, family in rows])), "array<struct<ua: string, family: string>>")  # a constant, folded once
+    if len(rows) > FEW_TOKENS:
+        return tries.first_token([ua for _, ua, _ in rows], [family for *_, family in rows])(user_agent)
+    table = F.from_json(F.lit(json.dumps([{"ua": ua, "family": family} for _, ua, family in rows])), "array<struct<ua: string, family: string>>")  # folded once
     return F.get(F.filter(table, lambda x: user_agent.contains(x["ua"])), F.lit(0))["family"]

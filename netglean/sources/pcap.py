@@ -2,7 +2,7 @@
 
 The files of a folder, in order of their names, are one capture, so that connections go on from one file to the next. A packet's number is FILE times
 that of its file, which begins at 0, and its own in the file. A stream counts the files that it saw before.
-The data source opens files as local paths, so all machines must see the folder (read_pcap() reads any store that Spark reads). It reads a file's packets one by one.
+The data source opens files as local paths, so all machines must see the folder (read_pcap() reads any store that Spark reads, and a large file in many tasks). It reads a file's packets one by one.
 """
 
 from __future__ import annotations
@@ -124,11 +124,14 @@ def register(spark: SparkSession) -> None:
 
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of files in any store that Spark reads: files come as binaries, and each is parsed where it lies. Several files are one capture, path."""
-    files = spark.read.format("binaryFile").load(path)
-    names = sorted(r.path for r in files.select("path").collect())
-    number = {f: i for i, f in enumerate(names)} if len(names) > 1 else {}
-    return parse_files(files.select("path", "content"), lambda name: (path, FILE * number[name]) if name in number else (name, 0))
+    """Packets of files of any size in any store that Spark reads, a file's blocks in many tasks (netglean.sources.capture). Several files are one capture, path."""
+    from netglean.sources import capture
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path")).select("path", F.xxhash64("path").alias("file"))
+    found = sorted((r["path"], r["file"]) for r in files.collect())
+    if len({f for _, f in found}) < len(found):
+        raise ValueError("two paths have the same hash")
+    return capture.read(spark, path, path if len(found) > 1 else found[0][0] if found else path, {f: FILE * i for i, (_, f) in enumerate(found)})
 
 
 def parse_files(files: DataFrame, named: Callable[[str], tuple[str, int]] = lambda path: (path, 0)) -> DataFrame:
