@@ -6,7 +6,7 @@ the logistic function of the strength's distance from a threshold, the quantile
 so that a score of 0.5 or more predicts label 1.
 
 Null texts count as empty; an empty text has features, all 0, and so a score. Rows are scored one by one, so ties and
-repeated rows have no effect; an empty table gives an empty result; extra columns are ignored. Labels that are null, or contradict
+repeated rows have no effect on each other; training takes the least of several texts of one id, and rows in order of their ids; long texts are read whole; an empty table gives an empty result; extra columns are ignored. Labels that are null, or contradict
 each other for one document, are left out of training; without both labels all scores are 0.5.
 """
 
@@ -112,12 +112,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Ranking:
     rows = rows.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS).select("doc_id", "quality")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")  # of at most MAX_ROWS rows of two numbers
+    text = text.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one row for each labelled id, however many it has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in textkit.pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(list(features(b.column("text"))), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    got = text.mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    got = text.mapInArrow(run, "doc_id long, quality int, x array<double>").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist()).reshape(len(got), len(FEATURES))
     return Ranking(x, got["quality"].to_numpy() == 1)
 

@@ -100,7 +100,7 @@ def _judged(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs without the rows that the rules reject, all columns as they are."""
-    row = F.struct(*(F.col(c) for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     # an id in the projection keeps the filter above it; pushed down, it would repeat every count's expression
     judged = _judged(counts(docs, row), rules).withColumn("at", F.monotonically_increasing_id())
     return judged.where("kept AND at >= 0").select(*(F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns))

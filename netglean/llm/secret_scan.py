@@ -1,11 +1,12 @@
 """Secret scans by built-in functions: fixed patterns, and Markov models of random strings and of identifiers.
 
 Spans are (start, end) in code points, end exclusive. A null text counts as empty and has no spans. Documents are judged
-one by one, so ties and repeated rows have no effect; an empty table gives an empty result; extra columns are ignored.
+one by one, so ties and repeated rows have no effect; an empty table gives an empty result; extra columns are ignored. Long texts are scanned whole.
 
 The two models are first-order Markov chains over characters, counted from labelled samples (text, is_random).
 A candidate, a run of 20 or more characters of tokens, is a secret when the mean log-likelihood ratio of its
-transitions is over a threshold. What reaches the driver of the models is one row for each pair of ASCII characters.
+transitions is over a threshold, it has at least LEAST_CHARACTERS different characters, and it isn't of an ordinary SHAPE (a UUID, a number of groups
+of letters followed by digits). A transition counts the less, the fewer samples of its first character there were. What reaches the driver of the models is one row for each pair of ASCII characters.
 """
 
 from __future__ import annotations
@@ -23,6 +24,12 @@ HINT = {"assign": r"(?i)(password|passwd|secret|token|api_?key)[\x22']?\x20*[:=]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least mean log-likelihood ratio of a transition, in nats.
 THRESHOLD = 0.7
+#: Least number of different characters of a random string (rules, sequences of bases and repetitions have fewer), and shapes of ordinary identifiers; digits alone, with up to four letters
+#: before them or separators between them, are numbers of accounts, dates and versions.
+LEAST_CHARACTERS = 10
+SHAPES = (r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", r"[A-Za-z]{0,4}[0-9]+([-_/=+][A-Za-z]{0,4}[0-9]+)*", r"([A-Za-z]{2,12}[-_/=+]?[0-9]{0,5}[-_/=+])+[A-Za-z]{0,12}[-_/=+]?[0-9]{0,5}")
+#: A transition's ratio is multiplied by n / (n + SHRINK), n the samples of its first character.
+SHRINK = 50
 #: How many labelled samples of each class the default training set has.
 SAMPLES = 4000
 
@@ -56,17 +63,18 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each transition between ASCII characters, at index 128 * first + second, with one added to each count."""
+    """Log-likelihood ratio of each transition between ASCII characters, at index 128 * first + second, with one added to each count and drawn to 0 where samples are few."""
     pairs = samples.where(F.length("text") > 1).select("is_random", F.explode(F.expr("transform(sequence(1, length(text) - 1), i -> ascii(substr(text, i, 1)) * 128 + ascii(substr(text, i + 1, 1)))")).alias("pair"))
     pairs = pairs.where("pair < 16384").groupBy("pair").agg(F.count_if("is_random").alias("r"), F.count_if(~F.col("is_random")).alias("o"))
     table = "+/_=-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     seen = {x["pair"]: (x["r"], x["o"]) for x in pairs.collect()}  # at most one row for each pair of characters
     out = [0.0] * 16384
     for a in map(ord, table):
+        n = sum(sum(seen.get(a * 128 + b, (0, 0))) for b in map(ord, table))
         r, o = (sum(seen.get(a * 128 + b, (0, 0))[k] + 1 for b in map(ord, table)) for k in (0, 1))
         for b in map(ord, table):
             x, y = seen.get(a * 128 + b, (0, 0))
-            out[a * 128 + b] = round(math.log((x + 1) / r) - math.log((y + 1) / o), 4)
+            out[a * 128 + b] = round((math.log((x + 1) / r) - math.log((y + 1) / o)) * n / (n + SHRINK), 4)
     return out
 
 
@@ -97,6 +105,8 @@ def find(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> D
         df = df.withColumn(kind, F.coalesce(spans(F.col("text"), kind, pattern, f"length(y.g) >= {least}"), none))
     table = "from_json('[" + ",".join(map(str, model)) + "]', 'array<double>')"
     ratio = f"""aggregate(zip_with(slice(split(y.m, ''), 1, length(y.m) - 1), slice(split(y.m, ''), 2, length(y.m) - 1), (a, b) -> {table}[ascii(a) * 128 + ascii(b)]), 0D, (acc, v) -> acc + v) > {threshold}D * (length(y.m) - 1)"""
+    ordinary = "|".join(SHAPES)
+    ratio = f"""size(array_distinct(split(y.m, ''))) >= {LEAST_CHARACTERS} AND NOT y.m RLIKE '^({ordinary})$' AND {ratio}"""
     df = df.withColumn("markov", F.coalesce(spans(F.col("text"), "markov", CANDIDATE, ratio), none))
     df = df.withColumn("base", F.concat("assign", "access", "hex"))
     return df.withColumn("markov", F.expr("CASE WHEN size(markov) = 0 OR size(base) = 0 THEN markov ELSE filter(markov, m -> NOT exists(base, b -> b.start < m.end AND m.start < b.end)) END"))
@@ -124,7 +134,7 @@ def redact(docs: DataFrame, samples: DataFrame | None = None, threshold: float =
     """docs with each span of text, or run of overlapping spans, replaced by mark, and n_chars renewed where there is one; other columns stay."""
     model = train(samples if samples is not None else labelled_samples(docs.sparkSession))
     kept = docs.columns
-    df = find(docs.select(F.struct(*kept).alias("row"), F.coalesce("text", F.lit("")).alias("text")), model, threshold)
+    df = find(docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce("text", F.lit("")).alias("text")), model, threshold)
     df = df.select("row", "text", F.sort_array(F.concat("base", "markov")).alias("spans"))
     mark = mark.replace("\\", "\\\\").replace("'", "\\'")
     cut = f"""

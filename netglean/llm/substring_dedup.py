@@ -15,7 +15,8 @@ travel as one segment of text.
    effect. Of equal suffixes all but the earliest are marked.
 4. The marked windows of a document, united, are what is removed.
 
-Null and short texts lose nothing. Rows with one doc_id are taken for one document, repeated, and have equal results; a row without a doc_id
+Null and short texts lose nothing. Rows with one doc_id and one text are one document, repeated, and have equal results; different texts of one doc_id are documents of their
+own, in the order of their hashes. A long text is a document like others, worked on as a whole. A row without a doc_id
 has no place in the order: it loses nothing and nothing is removed because of it. Windows never cross documents. An empty
 table gives an empty result; extra columns are ignored.
 """
@@ -27,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netglean.llm import textkit
@@ -408,11 +409,33 @@ def covered(n: int, runs: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(edge)[:-1] > 0
 
 
+def _nodes(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with node, a number for each different pair of them, in the order of doc_id; different texts of one doc_id follow each other by their hashes.
+
+    It is doc_id itself where all doc_ids have one text, else doc_id times a power of two and the text's number, for which 64 bits must do.
+    """
+    spark = docs.sparkSession
+    hashed = docs.withColumn("hash", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))
+    odd = hashed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least <> most").select("doc_id")
+    odd = save(odd, "several")
+    if odd.isEmpty():
+        forget(odd)
+        return docs.withColumn("node", F.col("doc_id"))
+    further = hashed.join(odd, "doc_id", "left_semi").select("doc_id", "hash").distinct()
+    further = save(further.select("doc_id", "hash", (F.row_number().over(Window.partitionBy("doc_id").orderBy("hash")) - 1).alias("own")), "further")
+    forget(odd)
+    bits = int(further.agg(F.max("own")).first()[0]).bit_length()
+    far = docs.agg(F.max(F.abs("doc_id"))).first()[0]
+    if far >= 1 << 63 - bits:
+        raise ValueError(f"doc_ids up to {far} leave no room for different texts of one doc_id")
+    return hashed.join(further, ["doc_id", "hash"], "left").select("doc_id", "text", (F.col("doc_id") * (1 << bits) + F.coalesce("own", F.lit(0))).alias("node"))
+
+
 def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, with_text: bool = False, hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with_text adds kept, the remaining bytes (binary)."""
     spark, hot = docs.sparkSession, HOT if hot is None else hot
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    long = own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    own = _nodes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    long = own.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.col("node").alias("doc_id"), "text")
     total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_buckets = buckets(spark, total // 40, BUCKET)
     marks = shared_seeds(long, length, seed, n_buckets, hot).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
@@ -441,6 +464,6 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, seed: int = SEED, wit
     less = save(less.withColumnRenamed("kept_sha256", "sha"), "cut")
     forget(some, sent)
     whole = [F.col("text").cast("binary").alias("whole")] * with_text
-    out = own.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha"), *whole).join(less, "doc_id", "left")
+    out = own.select("doc_id", "node", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole_sha"), *whole).join(less.withColumnRenamed("doc_id", "node"), "node", "left")
     kept = [F.when(F.col("sha").isNull(), F.col("whole")).otherwise(F.col("kept")).alias("kept")] * with_text
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole_sha").alias("kept_sha256"), *kept)

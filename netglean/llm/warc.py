@@ -17,6 +17,7 @@ these are alike, so their order has no effect. Null or empty URLs equal nothing.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -32,6 +33,10 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 #: Query parameters that only say where a visitor came from.
 TRACKING = r"(?:utm_[a-z]+|fbclid|gclid)"
 PROFILE = "server-not-modified"
+_GZIP, _FEED = b"\x1f\x8b\x08", 1 << 16
+#: A record's first line, and its greatest length.
+_LINE = 16
+_RECORD = re.compile(rb"WARC/[0-9]{1,2}\.[0-9]{1,4}\r\n")
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -124,38 +129,86 @@ def number(identifier: str) -> int | None:
     return int.from_bytes(hashlib.sha256(identifier.encode()).digest()[:8], "big") >> 1 if identifier else None
 
 
-def unzipped(data: bytes) -> bytes:
-    """The contents of gzip members; other data as it is. A damaged tail is left out."""
-    if not data.startswith(b"\x1f\x8b"):
-        return data
-    out = []
-    while data.startswith(b"\x1f\x8b"):
-        member = zlib.decompressobj(31)
+def unzipped(data: bytes) -> Iterator[bytes | None]:
+    """The contents of gzip members in pieces, one member after the other; other data as it is. A damaged member is skipped up to the next one's magic number, and None stands for it."""
+    if not data.startswith(_GZIP):
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while 0 <= at < len(data):
+        member, began = zlib.decompressobj(31), at
         try:
-            out.append(member.decompress(data))
+            while not member.eof and at < len(data):
+                fed = view[at : at + _FEED]
+                if piece := member.decompress(fed):
+                    yield piece
+                at += len(fed) - len(member.unused_data)
+            if not member.eof:
+                yield None
         except zlib.error:
-            break
-        data = member.unused_data
-    return b"".join(out)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], int | None, dict[str, str], bytes]]:
-    """Each record's named fields, HTTP status, HTTP headers (lower-case names) and payload; parsing ends at the first bytes that are no record."""
+            yield None
+            at = data.find(_GZIP, began + 1)
+            continue
+        if at < len(data) and not data.startswith(_GZIP, at):  # bytes between members
+            yield None
+            at = data.find(_GZIP, at)
+
+
+def parse(pieces: Iterator[bytes | None]) -> Iterator[tuple[dict[str, str], int | None, dict[str, str], bytes] | None]:
+    """Each record's named fields, HTTP status, HTTP headers (lower-case names) and payload.
+
+    Bytes that are no record, or the rest of one whose member is damaged, are skipped up to what looks like the next record; None stands for each such gap. What is held is one record.
+    """
+    kept, gap = bytearray(), False
+    for piece in pieces:
+        if piece is None:
+            kept.clear()  # the record that was begun has lost its end
+        else:
+            kept += piece
+        for r in [None] if piece is None else _records(kept, gap, False):
+            if r is not None or not gap:
+                yield r
+            gap = r is None
+    for r in _records(kept, gap, True):
+        if r is not None or not gap:
+            yield r
+        gap = r is None
+
+
+def _records(kept: bytearray, gap: bool, last: bool) -> Iterator[tuple | None]:
+    """The whole records at the beginning of kept, which are taken off it. gap: whether what precedes kept is no record. None where bytes are skipped."""
     at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
+    while at < len(kept):
+        start = _RECORD.match(kept, at)
+        if not start:
+            found = _RECORD.search(kept, at)
+            skip = found.start() if found else len(kept) if last else max(at, len(kept) - _LINE)
+            begun = not found and not last and not gap and b"WARC/".startswith(kept[at : at + 5])
+            if begun:  # a record's first line may still be coming
+                break
+            if kept[at:skip].strip():
+                gap = True
+                yield None
+            at = skip
+            if not found:
+                break
+            continue
+        end = kept.find(b"\r\n\r\n", at)
         fields = {}
-        for line in data[at:end].split(b"\r\n")[1:]:
+        for line in bytes(kept[at : max(end, at)]).split(b"\r\n")[1:]:
             k, _, v = line.decode("utf-8", "replace").partition(":")
             fields[k.strip().lower()] = v.strip()
-        try:
-            size = int(fields.get("content-length", ""))
-        except ValueError:
-            return
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        size = fields.get("content-length", "")
+        stop = end + 4 + int(size) if size.isdecimal() else 0
+        if not last and (end < 0 or len(kept) < stop + 4):
+            break
+        if end < 0 or not size.isdecimal() or len(kept) < stop:  # no length, or cut: a later record may stand inside what the length covers
+            gap = True
+            yield None
+            at += 5
+            continue
+        block = bytes(kept[end + 4 : stop])
+        at = stop + 4 if kept.startswith(b"\r\n\r\n", stop) else stop
         head, _, payload = block.partition(b"\r\n\r\n")
         status, headers = None, {}
         if head.startswith(b"HTTP/"):
@@ -167,7 +220,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], int | None, dict[str, s
                 headers[k] = f"{headers[k]}, {v}" if k in headers else v
         else:
             payload = block
+        gap = False
         yield fields, status, headers, payload
+    del kept[:at]
 
 
 def write_records(records: DataFrame) -> DataFrame:
@@ -181,8 +236,8 @@ def write_records(records: DataFrame) -> DataFrame:
     return records.select(F.col("record_id").cast("long").alias("record_id"), "kind", "url", "ts", "status", "headers", "payload").mapInArrow(run, "record_id long, warc binary")
 
 
-def read_records(files: DataFrame) -> DataFrame:
-    """Records of the column content (binary; one or more WARC records each, as spark.read.format('binaryFile') gives files)."""
+def read_records(files: DataFrame, lost: bool = False) -> DataFrame:
+    """Records of the column content (binary; one or more WARC records each, as spark.read.format('binaryFile') gives files). lost: also a row of kind lost for each gap where bytes were no record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
@@ -197,7 +252,12 @@ def read_records(files: DataFrame) -> DataFrame:
         for b in batches:
             for data in b.column("content"):
                 data = data.as_py()
-                for f, status, headers, payload in parse(unzipped(data or b"")):
+                for record in parse(unzipped(data or b"")):
+                    if record is None:
+                        if lost:
+                            rows.append((None, "lost", None, None, None, None, None))
+                        continue
+                    f, status, headers, payload = record
                     kind, profile = f.get("warc-type"), f.get("warc-profile", "").rstrip("/").rpartition("/")[2]
                     if kind == "revisit" and profile not in ("", PROFILE):
                         kind = f"revisit:{profile}"
