@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +61,27 @@ def decode(packets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, fields = headers.segments(b.column("data"))
+            keep, fields, _ = headers.segments(b.column("data"))
             yield pa.RecordBatch.from_arrays([*(b.column(c).filter(keep) for c in names[:3]), *fields], names)
 
     return packets.select("capture", "packet_no", "ts", F.col("data").cast("binary").alias("data")).mapInArrow(run, _schema(kept, headers.SEGMENTS))
 
 
+def judge(packets: DataFrame) -> DataFrame:
+    """A row for each packet (capture, packet_no, ts, data) with decode()'s columns and reason, one of headers.REASONS where it gives no segment; then the columns are null. One pass gives results and rejects."""
+    names = ["capture", "packet_no", "ts", *(f.name for f in StructType.fromDDL(headers.SEGMENTS)), "reason"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, fields, reason = headers.segments(b.column("data"))
+            keep = keep.to_numpy(zero_copy_only=False)
+            back = pa.array(np.cumsum(keep) - 1, mask=~keep)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:3]), *(f.take(back) for f in fields), reason], names)
+
+    kept = packets.select("capture", "packet_no", "ts")
+    return packets.select("capture", "packet_no", "ts", F.col("data").cast("binary").alias("data")).mapInArrow(run, _schema(kept, f"{headers.SEGMENTS}, reason STRING"))
+
+
 def observe(segments: DataFrame, standard_mtu: bool = False, keep: dict[str, str] | None = None) -> DataFrame:
     """decode()'s rows as signature observations: direction, TTL and window classes, layout, quirks, MTU and the signature's text. keep: further columns by their new names."""
     c = F.col

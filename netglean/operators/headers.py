@@ -152,8 +152,12 @@ SEGMENTS = (
 )
 
 
-def segments(column: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
-    """Which packets are valid TCP segments, and the SEGMENTS fields of those."""
+#: Why a packet gives no segment, in the order in which that is judged: no link or IP header that is known, another protocol, a fragment, too few bytes for its headers, flags that no segment has.
+REASONS = ("link", "protocol", "fragment", "short", "flags")
+
+
+def segments(column: pa.Array) -> tuple[pa.Array, list[pa.Array], pa.Array]:
+    """Which packets are valid TCP segments, the SEGMENTS fields of those, and each packet's reason for giving none (null for those)."""
     d = Octets(column)
     kind, nibble = d.number(12, 2), d.at(0) >> 4
     o = np.where((d.size >= 14) & np.isin(kind, (ETHERNET_V4, ETHERNET_V6)), 14, np.where((d.size >= 20) & np.isin(nibble, (4, 6)), 0, np.where((d.size >= 24) & (d.number(0, 2) == 0x1E00), 4, MISSING)))
@@ -165,7 +169,11 @@ def segments(column: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
     flags, tcp_words = d.at(t + 13), d.at(t + 12) >> 4
     has = lambda m: flags & m != 0
     fine = has(0x17) & ~(has(2) & has(5)) & ~(has(1) & has(4))
-    ok = whole & (d.size >= t + 20) & (tcp_words >= 5) & fine
+    enough = (d.size >= t + 20) & (tcp_words >= 5)
+    ok = whole & enough & fine
+    tcp = np.where(v4, d.at(o + 9), d.at(o + 6)) == TCP
+    seen = np.select([~(v4 | v6), ~tcp, v4 & (d.number(o + 6, 2) & 0x3FFF != 0), (v4 & (words < 5)) | ~enough, ~fine], range(5), 5)
+    reason = pa.array(REASONS).take(pa.array(seen, mask=ok))
     keep = pa.array(ok)
     d = Octets(column.filter(keep))
     o, t, v4, words, flags = o[ok], t[ok], v4[ok], words[ok], flags[ok]
@@ -179,4 +187,4 @@ def segments(column: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
         ints(pick(4, 6)), d.address(v4, o + 12, o + 8), d.address(v4, o + 16, o + 24), ints(d.number(t, 2)), ints(d.number(t + 2, 2)), ints(pick(d.at(o + 8), d.at(o + 7))), only4(words), only4(d.number(o + 6, 2)), only4(d.number(o + 4, 2)),
         ints(pick(d.at(o + 1) & 3, d.number(o, 2) >> 4 & 3)), ints(d.number(o, 4) & 0xFFFFF, pa.int64(), v4), ints(size), ints(flags), ints(d.number(t + 4, 4), pa.int64()), ints(d.number(t + 8, 4), pa.int64()), ints(d.number(t + 14, 2)), ints(d.number(t + 18, 2)),
         d.cut(t + 20, t + size), d.cut(t + size, end), walk_options(d, t + 20, option_size, flags & 0x17 == 2),
-    ]
+    ], reason

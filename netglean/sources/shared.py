@@ -5,16 +5,21 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names. A session without it may be local only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or "/tmp/checkpoints"
 
 
 def kept(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names and read again; deleted when the driver ends. A session without one may be local only."""
+    """df, written to the shared folder and read again; deleted when the driver ends."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{folder or '/tmp/checkpoints'}/{tag}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{tag}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)

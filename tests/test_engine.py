@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from netglean.operators import decode, flows, http2, wire
-from netglean.plans import analyze, metrics, queries, sinks
+from netglean.plans import analyze, catalog, metrics, queries, sinks
 from netglean.sources import pcap, signatures
 
 SF = "/root/testdata/sf0.001"
-FAST = ["tcp_os_match", "ttl_classify", "window_classify", "mtu_link", "flag_validity_direction", "quirks_text", "filter_allow", "filter_deny", "freq_round", "uptime_anchor_fold", "http_browser_match", "accept_language", "ja4_sorted", "akamai_fingerprint", "tcp_options_walk", "packet_decode", "packets_mixed", "flow_reassembly", "flow_reopened", "http2_exchange", "akamai_segments", "uptime_by_answers", "capture_stats", "http_metadata", "tls_client_hello", "tls_reassembly", "protocol_union", "pcap_scan", "ndjson_sink", "signature_parse", "http_detect", "tls_version", "filter_any_port"]
+FAST = ["tcp_os_match", "ttl_classify", "window_classify", "mtu_link", "flag_validity_direction", "quirks_text", "filter_allow", "filter_deny", "freq_round", "uptime_anchor_fold", "http_browser_match", "accept_language", "ja4_sorted", "akamai_fingerprint", "tcp_options_walk", "packet_decode", "packets_mixed", "flow_reassembly", "flow_reopened", "http2_exchange", "akamai_segments", "uptime_by_answers", "capture_stats", "http_metadata", "tls_client_hello", "tls_reassembly", "protocol_union", "pcap_scan", "ndjson_sink", "signature_parse", "http_detect", "tls_version", "filter_any_port", "capture_blocks", "packet_rejects", "filter_networks", "agent_tokens"]
 
 
 def rows(values):
@@ -21,9 +21,9 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "lineitem"):
         con.sql(f"create view {t} as from '{SF}/{t}.parquet'")
-    got = queries.QUERIES[name](spark, SF)
+    got = catalog.QUERIES[name](spark, SF)
     names = sorted(got.columns)
-    want = con.sql(queries.sql()[name])
+    want = con.sql(catalog.sql()[name])
     assert names == sorted(want.columns)
     assert rows(map(tuple, got.select(*names).collect())) == rows(want.project(",".join(f'"{n}"' for n in names)).fetchall() if hasattr(want, "fetchall") else want.df()[names].values.tolist())
 
