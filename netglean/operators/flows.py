@@ -23,13 +23,14 @@ _STARTS = (re.compile(rb"(?:" + "|".join(http.METHODS).encode() + rb")[ \t]+\S+[
 
 
 def uptimes(observed: DataFrame) -> DataFrame:
-    """observe()'s rows that tell an uptime: capture, packet_no, role, hz, days, hours, minutes, wrap_days. Time is the packets' own."""
-    samples = observed.where("tcp_ts IS NOT NULL AND ts IS NOT NULL").select("capture", "packet_no", "src", "sport", "dst", "dport", "role", F.unix_millis("ts").alias("t_ms"), F.col("tcp_ts.val").alias("tsval"))
-    return told_uptimes(samples, ["capture", "src", "sport", "dst", "dport", "role"]).select("capture", "packet_no", "role", "hz", "days", "hours", "minutes", "wrap_days")
+    """observe()'s rows that tell an uptime: capture, packet_no, role, hz, days, hours, minutes, wrap_days. Time is the packets' own, their order that of packet_no."""
+    samples = observed.where("tcp_ts IS NOT NULL AND ts IS NOT NULL").select("capture", "packet_no", "ts", "src", "sport", "dst", "dport", "flags", "role", F.col("tcp_ts.val").alias("tsval"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("binary").alias("raw"))
+    out = told(samples, False, False, True).where("raw_hz IS NOT NULL").withColumn("hz", uptime.rounded(F.col("raw_hz")))
+    return out.select("capture", "packet_no", "role", "hz", uptime.split(F.col("tsval"), F.col("hz")).alias("u")).select("capture", "packet_no", "role", "hz", "u.*")
 
 
 def told_uptimes(samples: DataFrame, key: list[str]) -> DataFrame:
-    """The samples (key columns, packet_no, t_ms, tsval; long) that tell a frequency, with hz, days, hours, minutes and wrap_days. A direction's samples pass in order of time, one anchor at a time."""
+    """The samples (key columns, packet_no, t_ms, tsval; long) that tell a frequency, with hz, days, hours, minutes and wrap_days. A direction's samples pass in order of packet_no, one anchor at a time."""
     columns = [*key, "packet_no", "t_ms", "tsval"]
     kinds = {f.name: f.dataType.simpleString() for f in samples.schema}
 
@@ -43,7 +44,7 @@ def told_uptimes(samples: DataFrame, key: list[str]) -> DataFrame:
 
         return step
 
-    told = _in_order(samples.select(*columns), key, start, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", raw_hz double", ["t_ms", "packet_no"])
+    told = _in_order(samples.select(*columns), key, start, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", raw_hz double")
     told = told.withColumn("hz", uptime.rounded(F.col("raw_hz")))
     return told.select(*key, "packet_no", "tsval", "hz", uptime.split(F.col("tsval"), F.col("hz")).alias("u")).select(*key, "packet_no", "tsval", "hz", "u.*")
 
@@ -62,7 +63,7 @@ def answered_uptimes(samples: DataFrame, key: list[str]) -> DataFrame:
 
         return step
 
-    told = _in_order(samples.select(*columns), key, start, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", raw_hz double", ["t_ms", "packet_no"])
+    told = _in_order(samples.select(*columns), key, start, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", raw_hz double")
     told = told.withColumn("hz", uptime.rounded(F.col("raw_hz")))
     return told.select(*key, "packet_no", "hz", uptime.split(F.col("tsval"), F.col("hz")).alias("u")).select(*key, "packet_no", "hz", "u.*")
 
@@ -114,8 +115,8 @@ def http_step(flow: HttpFlow | None, t: int | None, forward: bool, flags: int, s
     return (flow, flow.add(forward, flags, seq, payload)) if flow is not None else (None, None)
 
 
-def _in_order(df: DataFrame, key: list[str], start: Callable, schema: str, order: list[str] = ["packet_no"]) -> DataFrame:  # noqa: B006
-    """The rows that start()'s function gives for each of df's rows, a dict; one is made for each key, and gets its rows in order."""
+def _in_order(df: DataFrame, key: list[str], start: Callable, schema: str) -> DataFrame:
+    """The rows that start()'s function gives for each of df's rows, a dict; one is made for each key, and gets its rows in order of packet_no."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, step = None, None
@@ -131,7 +132,7 @@ def _in_order(df: DataFrame, key: list[str], start: Callable, schema: str, order
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
-    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+    return df.repartition(*key).sortWithinPartitions(*key, "packet_no").mapInArrow(run, schema)
 
 
 def http_messages(segments: DataFrame) -> DataFrame:
@@ -139,22 +140,15 @@ def http_messages(segments: DataFrame) -> DataFrame:
 
     A side's payloads are put together by sequence number, neither trimmed nor freed of repetitions, until its headers are whole.
     """
-    df = flow_key(segments.select("capture", "packet_no", "ts", "src", "dst", "sport", "dport", "flags", "seq", "payload"))
     marks = F.col("flags").bitwiseAND(tcp.SYN | tcp.FIN | tcp.RST) != 0
-    df = df.where(marks | (F.octet_length("payload") > 0)).select("capture", "packet_no", "flow", "forward", F.unix_millis("ts").alias("t"), "flags", F.col("seq").cast("long").alias("seq"), F.col("payload").cast("binary").alias("payload"))
-
-    def start():
-        flow = None
-
-        def step(r):
-            nonlocal flow
-            flow, found = http_step(flow, r["t"], r["forward"], r["flags"], r["seq"], r["payload"] or b"")
-            return [{"capture": r["capture"], "packet_no": r["packet_no"], "flow": r["flow"], "side": found[0], "bytes": found[1], "h2": found[2]}] if found else []
+    out = told(_payloads(segments.where(marks | (F.octet_length("payload") > 0))), True, False, False).where("side IS NOT NULL")
+    out = out.select("capture", "packet_no", "flow", "side", "bytes", "h2")
+    return out.withColumn("text", F.when(F.is_valid_utf8(F.col("bytes").cast("string")), F.col("bytes").cast("string")))
 
-        return step
 
-    out = _in_order(df, ["flow"], start, HTTP_SCHEMA)
-    return out.withColumn("text", F.when(F.is_valid_utf8(F.col("bytes").cast("string")), F.col("bytes").cast("string")))
+def _payloads(segments: DataFrame) -> DataFrame:
+    """decode()'s columns as told() takes them, without what uptimes need."""
+    return segments.select("capture", "packet_no", "ts", "src", "sport", "dst", "dport", "flags", F.col("seq").cast("long").alias("seq"), F.col("payload").cast("binary").alias("raw"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("long").alias("tsval"))
 
 
 HTTP_SCHEMA = f"capture string, packet_no long, flow string, side string, bytes binary, h2 {wire.HTTP2}"
@@ -256,26 +250,4 @@ def tls_hellos(segments: DataFrame, reassemble: bool = True) -> DataFrame:
     start = (F.octet_length("payload") >= 5) & (F.hex(F.substring("payload", 1, 2)) == "1603") & (F.hex(F.substring("payload", 3, 1)) <= "04")
     if not reassemble:
         return data.where(start).select("capture", "packet_no", wire.parse_client_hello("payload").alias("hello")).where("hello.version IS NOT NULL")
-    key = ["capture", "src", "sport", "dst", "dport"]
-    data = data.select(*key, "packet_no", F.unix_millis("ts").alias("t"), F.col("payload").cast("binary").alias("payload"))
-
-    def start_reader():
-        reader, since = None, None
-
-        def step(r):
-            nonlocal reader, since
-            t, raw = r["t"], r["payload"]
-            if reader is not None and since is not None and t is not None and t - since >= TLS_LIFE_MS:
-                reader = None
-            if reader is None:
-                if not wire.is_tls(raw):
-                    return []
-                reader, since = wire.HelloReader(), t
-            hello = reader.add(raw)
-            if reader.done:
-                reader = None
-            return [{"capture": r["capture"], "packet_no": r["packet_no"], "hello": hello}] if hello is not None else []
-
-        return step
-
-    return _in_order(data, key, start_reader, TLS_SCHEMA)
+    return told(_payloads(data), False, True, False).where("hello IS NOT NULL").select("capture", "packet_no", "hello")
