@@ -1,21 +1,24 @@
 """What spans packets: uptime samples, HTTP exchanges and TLS hellos over segments, in batch. One conversation's packets meet by its key.
 
-A flow's packets come in order to one task, which holds only what the open connection still needs: a side's segments until its
+A flow's packets come in order to one task (or, if told() is asked to cut large flows, to several that hand on the state), which holds only what the open connection still needs: a side's segments until its
 headers are whole, at most the MOST_HEAD bytes of least sequence numbers, as headers that are longer are never read.
 """
 
 from __future__ import annotations
 
+import ast
 import bisect
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netglean.functions import http, tcp, uptime
 from netglean.operators import wire
+from netglean.sources.shared import kept
 
 HTTP_LIFE_MS, TLS_LIFE_MS = 60_000, 20_000
 MOST_HEAD = (http.MOST_HEADERS + 2) * (http.MOST_LINE + 2)
@@ -160,15 +163,19 @@ class Connection:
     def __init__(self, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool):
         self.with_http, self.with_tls, self.with_uptime, self.reassemble = with_http, with_tls, with_uptime, reassemble
         self.http, self.anchors, self.readers = None, {}, {}
+        self.touched: set[str] = set()  # parts of the state that a packet has read
 
     def step(self, t: int | None, forward: bool, flags: int, seq: int, payload: bytes, role: str | None, tsval: int | None) -> tuple[float | None, tuple | None, dict | None]:
         """The raw frequency, message and hello that a packet tells."""
         hz = found = hello = None
         if self.with_uptime and tsval is not None and t is not None:
+            self.touched.add(f"a{int(forward)}{role}")
             self.anchors[forward, role], hz = uptime.step(self.anchors.get((forward, role)), t, tsval)
         if self.with_http and (payload or flags & (tcp.SYN | tcp.FIN | tcp.RST)):
+            self.touched.add("h")
             self.http, found = http_step(self.http, t, forward, flags, seq, payload)
         if self.with_tls and payload:
+            self.touched.add(f"r{int(forward)}")
             hello = self._hello(t, forward, payload) if self.reassemble else wire.client_hello(payload) if wire.is_tls(payload) else None
         return hz, found, hello
 
@@ -186,32 +193,147 @@ class Connection:
         return hello
 
 
-def told(df: DataFrame, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool = True) -> DataFrame:
+    def parts(self) -> list[tuple[str, str]]:
+        """The parts of the state that packets have read, as they are now, as texts; an empty one is what a new connection has."""
+        out = []
+        for name in sorted(self.touched):
+            if name == "h":
+                f = self.http
+                value = f and (f.since, f.forward, f.parts, f.done, f.closed)
+            elif name[0] == "a":
+                value = tuple(self.anchors[name[1] == "1", name[2:] if name[2:] != "None" else None])
+            else:
+                reader, since = self.readers.get(name[1] == "1", (None, None))
+                value = reader and (reader.buffer, since)
+            out.append((name, repr(value) if value else ""))
+        return out
+
+    def take(self, parts: list[tuple[str, str]]) -> None:
+        """Goes on from parts()."""
+        for name, text in parts:
+            if not text:
+                continue
+            value = ast.literal_eval(text)
+            if name == "h":
+                self.http = HttpFlow(value[0], value[1])
+                self.http.parts, self.http.done, self.http.closed = tuple(map(list, value[2])), list(value[3]), value[4]
+            elif name[0] == "a":
+                self.anchors[name[1] == "1", name[2:] if name[2:] != "None" else None] = uptime.Anchor(*value)
+            else:
+                reader = wire.HelloReader()
+                reader.buffer = value[0]
+                self.readers[name[1] == "1"] = (reader, value[1])
+
+
+_PACKET = ("_t", "forward", "flags", "seq", "raw", "role", "tsval")
+_PARTS = "array<struct<part: string, value: string>>"
+
+
+def _stretches(df: DataFrame, most: int) -> DataFrame:
+    """df with stretch, 0 but in flows of more than most packets, which are cut into stretches of packet numbers. What reaches the driver is a few numbers for each stretch."""
+    n = df.groupBy("flow").count().where(F.col("count") > most)
+    sizes = {r["flow"]: r["count"] for r in n.collect()}
+    if not sizes:
+        return df.withColumn("stretch", F.lit(0))
+    cuts = -(-max(sizes.values()) // most)
+    names = df.sparkSession.createDataFrame([(f,) for f in sizes], "flow string")
+    ends = df.join(F.broadcast(names), "flow", "left_semi").groupBy("flow").agg(F.array_distinct(F.percentile_approx("packet_no", [i / cuts for i in range(1, cuts)], 10 * cuts)).alias("_ends"))
+    ends = df.sparkSession.createDataFrame(ends.collect(), "flow string, _ends array<long>")
+    return df.join(F.broadcast(ends), "flow", "left").withColumn("stretch", F.when(F.col("_ends").isNull(), 0).otherwise(F.size(F.filter("_ends", lambda x: x < F.col("packet_no"))))).drop("_ends")
+
+
+def _carried(df: DataFrame, config: tuple) -> DataFrame:
+    """For each stretch but a flow's first, the connection's state when it begins: flow, stretch, state.
+
+    All stretches run at once as if each began a connection, and tell the parts of the state that they read, as they leave them. A part that a stretch doesn't read passes it. Stretches
+    that got another state than they had assumed run again, until none does. As state lives for a minute of packet time at most, that is soon, unless a stretch is shorter.
+    """
+    hot = kept(df.join(df.where("stretch > 0").select("flow").distinct(), "flow", "left_semi").select("flow", "stretch", "packet_no", *_PACKET), "stretches")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, flow, out = None, None, []
+        for b in batches:
+            for key, stretch, state, *packet in zip(*(b.column(c).to_pylist() for c in ("flow", "stretch", "state", *_PACKET))):
+                if (key, stretch) != last:
+                    if last:
+                        out += [(*last, *p) for p in flow.parts()]
+                    last, flow = (key, stretch), Connection(*config)
+                if state is not None:
+                    flow.take([(p["part"], p["value"]) for p in state])
+                    continue
+                packet[4] = packet[4] or b""
+                flow.step(*packet)
+        if last:
+            out += [(*last, *p) for p in flow.parts()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.int32(), pa.string(), pa.string()))], ["flow", "stretch", "part", "value"])
+
+    def told_parts(states: DataFrame | None) -> DataFrame:
+        rows = hot.withColumn("state", F.lit(None).cast(_PARTS))
+        if states is not None:
+            rows = rows.join(F.broadcast(states.select("flow", "stretch")), ["flow", "stretch"], "left_semi").unionByName(states.withColumn("packet_no", F.lit(-1).cast("long")), allowMissingColumns=True)
+        return rows.repartition("flow", "stretch").sortWithinPartitions("flow", "stretch", "packet_no").mapInArrow(run, "flow string, stretch int, part string, value string")
+
+    every = kept(hot.select("flow", "stretch").distinct(), "stretch-keys")
+
+    def begun(parts: DataFrame) -> DataFrame:
+        """State at each stretch's beginning: of every part the last value before it."""
+        all_ = every.join(parts.select("flow", "part").distinct(), "flow").join(parts, ["flow", "stretch", "part"], "left")
+        before = Window.partitionBy("flow", "part").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        have = all_.withColumn("value", F.last("value", ignorenulls=True).over(before)).where("stretch > 0 AND value <> ''")
+        return kept(have.groupBy("flow", "stretch").agg(F.sort_array(F.collect_list(F.struct("part", "value"))).alias("state")), "stretch-states")
+
+    parts = kept(told_parts(None), "stretch-parts")
+    states = begun(parts)
+    changed = states
+    while not changed.isEmpty():
+        again = kept(told_parts(changed), "stretch-parts")
+        parts = kept(parts.join(changed.select("flow", "stretch"), ["flow", "stretch"], "left_anti").unionByName(again), "stretch-parts")
+        old, states = states, begun(parts)
+        both = every.join(states, ["flow", "stretch"], "left").join(old.withColumnRenamed("state", "old"), ["flow", "stretch"], "left")
+        changed = kept(both.where("NOT state <=> old").select("flow", "stretch", F.coalesce("state", F.array().cast(_PARTS)).alias("state")), "stretch-changed")
+    return states
+
+
+def told(df: DataFrame, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool = True, hot: int | None = None) -> DataFrame:
     """df with raw_hz, side, bytes, h2 and hello, null where a packet tells none. All that spans packets is found in one pass over flows, after one exchange.
 
-    df: capture, packet_no, ts, src, sport, dst, dport, flags, seq, raw (payload), role and tsval; further columns go along.
+    df: capture, packet_no, ts, src, sport, dst, dport, flags, seq, raw (payload), role and tsval; further columns go along. hot: flows of more packets than this are cut
+    into stretches for several tasks, with equal results; that reads df twice more.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType
 
     more = StructType.fromDDL(f"raw_hz double, side string, bytes binary, h2 {wire.HTTP2}, hello {wire.HELLO}")
     kinds = [to_arrow_type(f.dataType) for f in more]
+    config = (with_http, with_tls, with_uptime, reassemble)
     df = flow_key(df).withColumn("_t", F.unix_millis("ts"))
     schema = StructType([StructField(f.name, f.dataType) for f in df.schema] + more.fields)
+    key = ["flow"]
+    if hot is not None:
+        df, key = _stretches(df, hot), ["flow", "stretch"]
+        states = _carried(df, config).withColumn("packet_no", F.lit(-1).cast("long"))
+        df = df.withColumn("state", F.lit(None).cast(_PARTS)).unionByName(states, allowMissingColumns=True)
+    names = schema.names[: -len(kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, flow = None, None
         for b in batches:
-            rows = []
-            for key, *packet in zip(*(b.column(c).to_pylist() for c in ("flow", "_t", "forward", "flags", "seq", "raw", "role", "tsval"))):
-                if key != last:
-                    last, flow = key, Connection(with_http, with_tls, with_uptime, reassemble)
+            rows, real = [], np.ones(b.num_rows, bool)
+            states = b.column("state") if hot is not None else pa.nulls(b.num_rows)
+            for i, (own, state, *packet) in enumerate(zip(zip(*(b.column(c).to_pylist() for c in key)), states.to_pylist(), *(b.column(c).to_pylist() for c in _PACKET))):
+                if own != last:
+                    last, flow = own, Connection(*config)
+                if state is not None:
+                    flow.take([(p["part"], p["value"]) for p in state])
+                    real[i] = False
+                    continue
                 packet[4] = packet[4] or b""
                 hz, found, hello = flow.step(*packet)
                 rows.append((hz, *(found or (None, None, None)), hello))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds))], schema.names)
+            mask = pa.array(real)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(mask) for c in names), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds))], schema.names)
 
-    return df.repartition("flow").sortWithinPartitions("flow", "packet_no").mapInArrow(run, schema)
+    return df.repartition(*key).sortWithinPartitions(*key, "packet_no").mapInArrow(run, schema)
 
 
 def http_observations(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

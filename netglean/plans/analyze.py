@@ -30,6 +30,8 @@ class AnalysisConfig:
     http_matcher: Callable[[DataFrame], DataFrame] | None = None
     standard_mtu: bool = False
     corrected_software: bool = False
+    #: Flows of more packets than this are dealt to several tasks, at the cost of reading the packets twice more; None: a flow is one task.
+    hot_packets: int | None = None
 
     def __post_init__(self):
         if not (self.tcp or self.http or self.tls):
@@ -104,7 +106,7 @@ def analyze(packets: DataFrame, config: AnalysisConfig | None = None, sigs: Sign
     else:
         df = segments.withColumns({"raw": F.col("payload"), "role": F.lit(None).cast("string"), "tsval": F.lit(None).cast("long")}).select("capture", "packet_no", *base)
     # all that spans packets comes from one pass; each packet's results are columns of its row, so nothing is joined
-    df = flows.told(df, config.http, config.tls, config.tcp, config.reassemble_tls)
+    df = flows.told(df, config.http, config.tls, config.tcp, config.reassemble_tls, config.hot_packets)
     done = [c for c in ("syn", "syn_ack", "mtu") if config.tcp]
     if config.tcp:
         hz = uptime.rounded(F.col("raw_hz"))
