@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from netglean.functions.filters import FilterConfig, IpFilter, PortFilter
 from netglean.plans import analyze, sinks
-from netglean.sources import pcap, signatures
+from netglean.sources import lines, pcap, signatures
 from netglean.streaming import processors, results
 
 
@@ -24,15 +24,21 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--output", default=None, help="a folder for results, else they are printed")
     p.add_argument("--checkpoint", default=None, help="stream: a folder that all machines share, where state and offsets are kept, so that a stopped stream goes on")
     p.add_argument("--once", action="store_true", help="stream: end when the files that are there have been read")
+    p.add_argument("--most-files", type=int, default=None, help="stream: files of a batch at most")
+    p.add_argument("--workers", type=int, default=None, help="local tasks at once, where no cluster is given")
+    p.add_argument("--hot-packets", type=int, default=None, help="pcap: flows of more packets than this are dealt to several tasks")
     a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("netglean").config("spark.sql.streaming.stateStore.providerClass", processors.STORE).getOrCreate()
+    builder = SparkSession.builder.appName("netglean")
+    if a.workers:
+        builder = builder.master(f"local[{a.workers}]")
+    spark = builder.config("spark.sql.streaming.stateStore.providerClass", processors.STORE).getOrCreate()
     filters = FilterConfig()
     if a.port:
         filters = filters.with_filter(PortFilter().source(*a.port).any_port())
     if a.ip:
         filters = filters.with_filter(IpFilter().allow(*a.ip))
     on = {x: a.protocol in ("all", x) for x in ("tcp", "http", "tls")}
-    config = analyze.AnalysisConfig(**on, filters=filters)
+    config = analyze.AnalysisConfig(**on, filters=filters, hot_packets=a.hot_packets)
     sigs = signatures.load(a.signatures or signatures.DEFAULT)
     show = sinks.to_ndjson if a.format == "json" else sinks.to_text
 
@@ -48,15 +54,26 @@ def main(argv: list[str] | None = None) -> None:
             emit(show(analyze.analyze(pcap.read_pcap(spark, path), config, sigs)))
         return
     pcap.register(spark)
-    packets = spark.readStream.format("pcap").load(a.path[0])
+    reader = spark.readStream.format("pcap")
+    if a.most_files:
+        if not a.checkpoint:
+            p.error("--most-files needs --checkpoint")
+        reader = reader.option("maxFilesPerTrigger", str(a.most_files)).option("position", f"{a.checkpoint.removeprefix('file://').rstrip('/')}.position")
+    packets = reader.load(a.path[0])
     out = (results.ndjson if a.format == "json" else results.text)(packets, config, sigs)
-    writer = out.writeStream.outputMode("append").foreachBatch(lambda df, _: emit(df))
+    writer = out.writeStream.outputMode("append")
+    if a.output:  # a batch that is repeated after a failure is written once
+        lines.register(spark)
+        writer = writer.format("lines").option("path", a.output)
+    else:
+        writer = writer.foreachBatch(lambda df, _: emit(df))
     if a.checkpoint:
         writer = writer.option("checkpointLocation", a.checkpoint)
     query = (writer.trigger(availableNow=True) if a.once else writer).start()
     try:
         query.awaitTermination()
     except KeyboardInterrupt:
+        query.processAllAvailable()  # what has come is finished first
         query.stop()
 
 

@@ -8,8 +8,10 @@ The data source opens files as local paths, so all machines must see the folder
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
+import time
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from itertools import islice
@@ -22,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "capture string, packet_no long, ts timestamp, orig_len int, data binary"
 FILE = 1 << 40
+SETTLE_NS = 200_000_000
 #: A longer one is taken for damage.
 MOST_PACKET = 1 << 24
 #: Magic numbers of the classic format, with the byte order and the fraction's unit.
@@ -76,24 +79,51 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Each batch has the files that weren't there before, whatever their names, a partition for each.
+    """Each batch has the files that came after those before, a partition for each; within a batch they go by their names, and a file's number says how many came before.
 
-    An offset lists the folder's files. Files must come whole, by a rename, and stay while the stream runs. A file's number says how many were seen before it.
+    Files come in the order of their inodes' last change, which a rename into the folder is; an offset is the last one's time and name and the count, whatever the number of files. Files must come whole, by a rename, and stay as
+    they are. The newest files are listed again SETTLE_NS after they came, so that no other of the same moment is missed.
+
+    most: files of a batch at most (without it all that are there); it needs position, a file of this query alone that remembers the last offset, as Spark doesn't tell a source where it stands. After a crash a batch may have
+    up to twice as many. A trigger that ends when all is read (availableNow) asks for one batch only.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, most: int | None = None, position: str | None = None):
+        if most is not None and not position:
+            raise ValueError("maxFilesPerTrigger needs position")
+        self.path, self.most, self.position, self.at = path, most, position, None
+
+    def _came(self) -> list[tuple[int, str]]:
+        return sorted((os.stat(f).st_ctime_ns, os.path.basename(f)) for f in _files(self.path))
 
     def initialOffset(self) -> dict:
-        return {"files": []}
+        return {"time": 0, "name": "", "count": 0}
 
     def latestOffset(self) -> dict:
-        return {"files": [os.path.basename(f) for f in _files(self.path)]}
+        if self.at is None and self.position and os.path.exists(self.position):
+            with open(self.position, encoding="utf-8") as f:
+                self.at = json.load(f)
+        at, came = self.at or self.initialOffset(), self._came()
+        if came and (wait := came[-1][0] + SETTLE_NS - time.time_ns()) > 0:
+            time.sleep(min(wait, SETTLE_NS) / 1e9)
+            came = [x for x in self._came() if x <= came[-1]]
+        new = [x for x in came if x > (at["time"], at["name"])]
+        if self.most is not None:
+            new = new[: self.most]
+        if new:
+            self.at = {"time": new[-1][0], "name": new[-1][1], "count": at["count"] + len(new)}
+            if self.position:
+                with open(f"{self.position}.half", "w", encoding="utf-8") as f:
+                    json.dump(self.at, f)
+                os.replace(f"{self.position}.half", self.position)
+        return self.at or at
 
     def partitions(self, start: dict, end: dict) -> list[_File]:
-        seen = set(start["files"])
-        new = [f for f in _files(self.path) if (name := os.path.basename(f)) not in seen and name in end["files"]]
-        return [_File(f, self.path, len(seen) + i) for i, f in enumerate(new)]
+        low, high = ((x["time"], x["name"]) for x in (start, end))
+        if self.at is None or (self.at["time"], self.at["name"]) < high:
+            self.at = end
+        names = sorted(name for when, name in self._came() if low < (when, name) <= high)
+        return [_File(os.path.join(self.path, n) if os.path.isdir(self.path) else self.path, self.path, start["count"] + i) for i, n in enumerate(names)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
         return _Reader(self.path).read(partition)
@@ -103,7 +133,7 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class PcapSource(DataSource):
-    """Option: path, a file or a folder."""
+    """Options: path, a file or a folder; of streams also maxFilesPerTrigger and position."""
 
     @classmethod
     def name(cls) -> str:
@@ -116,7 +146,8 @@ class PcapSource(DataSource):
         return _Reader(self.options["path"])
 
     def streamReader(self, schema) -> _StreamReader:
-        return _StreamReader(self.options["path"])
+        most = self.options.get("maxFilesPerTrigger")
+        return _StreamReader(self.options["path"], int(most) if most else None, self.options.get("position"))
 
 
 def register(spark: SparkSession) -> None:

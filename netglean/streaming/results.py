@@ -1,4 +1,4 @@
-"""Whole analyses over streams: the same results as analyze(), a row for each result as it comes."""
+"""Whole analyses over streams: the same results as analyze(), a row for each result as it comes, of one packet several. metrics.StreamCounters adds up what is counted on the way."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from netglean.operators import decode
-from netglean.plans import analyze, sinks
+from netglean.plans import analyze, metrics, sinks
 from netglean.plans.analyze import AnalysisConfig
 from netglean.sources import signatures
 from netglean.sources.signatures import Signatures
@@ -28,12 +28,15 @@ def _results(packets: DataFrame, config: AnalysisConfig | None, sigs: Signatures
     config = config or AnalysisConfig()
     sigs = (sigs or signatures.load()) if config.matcher else None
     segments = decode.decode(decode.apply_filter(packets, config.filters))
+    # every branch decodes the packets; they are counted in the first
+    first = metrics.count_rows(decode.decode(metrics.count_packets(packets, config.filters)), metrics.SEGMENTS, "decoded")
     parts: list[DataFrame] = []
     if config.tcp:
         observed = decode.observe(segments, config.standard_mtu)
-        parts += [analyze.tcp_results(observed, sigs, config.tcp_matcher), analyze.uptime_rows(processors.uptime_stream(observed))]
+        counted = decode.observe(first, config.standard_mtu)
+        parts += [analyze.tcp_results(counted, sigs, config.tcp_matcher), analyze.uptime_rows(processors.uptime_stream(observed))]
     if config.http:
-        parts.append(analyze.http_rows(processors.http_stream(segments), sigs, config.corrected_software, config.http_matcher))
+        parts.append(analyze.http_rows(processors.http_stream(segments if parts else first), sigs, config.corrected_software, config.http_matcher))
     if config.tls:
-        parts.append(analyze.tls_rows(processors.tls_stream(segments)))
-    return reduce(DataFrame.union, [show(p.where(analyze.not_empty(p))) for p in parts])
+        parts.append(analyze.tls_rows(processors.tls_stream(segments if parts else first)))
+    return metrics.count_rows(reduce(DataFrame.union, [show(p.where(analyze.not_empty(p))) for p in parts]), metrics.RESULTS, "matched")
