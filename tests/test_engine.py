@@ -9,7 +9,7 @@ from netglean.plans import analyze, catalog, metrics, queries, sinks
 from netglean.sources import pcap, signatures
 
 SF = "/root/testdata/sf0.001"
-FAST = ["tcp_os_match", "ttl_classify", "window_classify", "mtu_link", "flag_validity_direction", "quirks_text", "filter_allow", "filter_deny", "freq_round", "uptime_anchor_fold", "http_browser_match", "accept_language", "ja4_sorted", "akamai_fingerprint", "tcp_options_walk", "packet_decode", "packets_mixed", "flow_reassembly", "flow_reopened", "http2_exchange", "akamai_segments", "uptime_by_answers", "capture_stats", "http_metadata", "tls_client_hello", "tls_reassembly", "protocol_union", "pcap_scan", "ndjson_sink", "signature_parse", "http_detect", "tls_version", "filter_any_port", "capture_blocks", "packet_rejects", "filter_networks", "agent_tokens"]
+FAST = ["tcp_os_match", "ttl_classify", "window_classify", "mtu_link", "flag_validity_direction", "quirks_text", "filter_allow", "filter_deny", "freq_round", "uptime_anchor_fold", "http_browser_match", "accept_language", "ja4_sorted", "akamai_fingerprint", "tcp_options_walk", "packet_decode", "packets_mixed", "flow_reassembly", "flow_reopened", "http2_exchange", "akamai_segments", "uptime_by_answers", "capture_stats", "http_metadata", "tls_client_hello", "tls_reassembly", "protocol_union", "pcap_scan", "ndjson_sink", "signature_parse", "http_detect", "tls_version", "filter_any_port", "capture_blocks", "packet_rejects", "filter_networks", "agent_tokens", "whole_analysis"]
 
 
 def rows(values):
