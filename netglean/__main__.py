@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from netglean.functions.filters import FilterConfig, IpFilter, PortFilter
-from netglean.plans import analyze, sinks
+from netglean.plans import analyze, jobs, sinks
 from netglean.sources import lines, pcap, signatures
 from netglean.streaming import processors, results
 
@@ -73,8 +73,7 @@ def main(argv: list[str] | None = None) -> None:
     try:
         query.awaitTermination()
     except KeyboardInterrupt:
-        query.processAllAvailable()  # what has come is finished first
-        query.stop()
+        jobs.drain(query)
 
 
 if __name__ == "__main__":

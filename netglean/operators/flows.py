@@ -22,6 +22,7 @@ from netglean.sources.shared import kept
 
 HTTP_LIFE_MS, TLS_LIFE_MS = 60_000, 20_000
 MOST_HEAD = (http.MOST_HEADERS + 2) * (http.MOST_LINE + 2)
+_LETTERS = {m[:1].encode() for m in http.METHODS} | {wire.PREFACE[:1]}
 _STARTS = (re.compile(rb"(?:" + "|".join(http.METHODS).encode() + rb")[ \t]+\S+[ \t]+HTTP/1\.[01][ \t]*\r?\n"), re.compile(rb"HTTP/1\.[01][ \t]+\d{3}[ \t\r\n]"))
 
 
@@ -77,6 +78,18 @@ def flow_key(df: DataFrame) -> DataFrame:
     return df.withColumn("flow", F.concat_ws("~", "capture", F.least(a, b), F.greatest(a, b))).withColumn("forward", a <= b)
 
 
+def _may_begin(side: int, parts: list[tuple[int, bytes]]) -> bool:
+    """Whether a side's bytes may be a message, by the first nine: a method's letter, an answer's name, or a frame's header. Bytes of other protocols are never put together."""
+    head = b""
+    for _, data in parts:
+        head += data[: 9 - len(head)]
+        if len(head) == 9:
+            break
+    if side == 0:
+        return head[:1] in _LETTERS
+    return b"HTTP/1.".startswith(head[:7]) or len(head) < 9 or wire.looks_like_http2(head)
+
+
 class HttpFlow:
     """A connection: when it began, whether forward is from its client, and each side's segments (seq, payload) until its headers are whole."""
 
@@ -99,6 +112,8 @@ class HttpFlow:
         return found
 
     def _message(self, side: int) -> tuple[bytes, dict | None] | None:
+        if not _may_begin(side, self.parts[side]):
+            return None
         whole = b"".join(p[1] for p in self.parts[side])
         if _STARTS[side].match(whole):
             return (whole, None) if b"\r\n\r\n" in whole else None

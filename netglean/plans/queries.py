@@ -19,7 +19,7 @@ FLAGS = (2, 18, 16, 24, 17, 4, 1, 3, 6, 41, 194, 0, 32, 20)
 LAYOUTS = ("mss,sok,ts,nop,ws", "mss,nop,ws,nop,nop,ts,sok,eol+1", "mss,nop,ws,nop,nop,sok", "mss", "mss,nop,ws,sok,ts", "nop,nop,ts")
 QUIRKS = ("df,id+", "df", "", "df,id+,ecn")
 TTLS = (57, 64, 128, 120, 44, 255, 1, 0)
-ACCEPT = ("en-US,en;q=0.5", "en;q=0.8,es;q=0.9,fr;q=0.7", "de,fr", "xx,;q=0.5,,it;q=0.3", "fr; q=0.2,en;q=0.9", "", "pt-BR;q=0.7,ru;q=0.7", "zz", "es;q=bad,en;q=0.99")
+ACCEPT = ("nl-BE,nl;q=0.6", "it;q=0.3,pt;q=0.4,ja;q=0.2", "sv,pl", "xx,;q=0.5,,it;q=0.3", "fr; q=0.2,en;q=0.9", "", "pt-BR;q=0.7,ru;q=0.7", "zz", "es;q=bad,en;q=0.99")
 AGENTS = ("Mozilla/5.0 (X11; Linux x86_64)", "Mozilla/5.0 (Windows NT 10.0)", "Mozilla/5.0 (iPad; CPU OS 9)", "curl/7.68.0", "Mozilla", "agent of no kind")
 SYSTEMS = ("Linux", "Windows", "iOS", "linux")
 CIPHERS = (0x1301, 0x1302, 0x1303, 0xC02B, 0xC02F, 0xC02C, 0xC030, 0xCCA9, 0xCCA8, 0x0A0A, 0x9C, 0x2F, 0x35)
