@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netglean.functions import http, tcp, uptime
-from netglean.operators import wire
+from netglean.operators import decode, wire
 from netglean.sources.shared import kept
 
 HTTP_LIFE_MS, TLS_LIFE_MS = 60_000, 20_000
@@ -180,9 +180,9 @@ class Connection:
         self.http, self.anchors, self.readers = None, {}, {}
         self.touched: set[str] = set()  # parts of the state that a packet has read
 
-    def step(self, t: int | None, forward: bool, flags: int, seq: int, payload: bytes, role: str | None, tsval: int | None) -> tuple[float | None, tuple | None, dict | None]:
-        """The raw frequency, message and hello that a packet tells."""
-        hz = found = hello = None
+    def step(self, t: int | None, forward: bool, flags: int, seq: int, payload: bytes, role: str | None, tsval: int | None) -> tuple[float | None, tuple | None, dict | None, str | None]:
+        """The raw frequency, message and hello that a packet tells, and hello if it ends a handshake's beginning that can't be read."""
+        hz = found = hello = fault = None
         if self.with_uptime and tsval is not None and t is not None:
             self.touched.add(f"a{int(forward)}{role}")
             self.anchors[forward, role], hz = uptime.step(self.anchors.get((forward, role)), t, tsval)
@@ -191,21 +191,25 @@ class Connection:
             self.http, found = http_step(self.http, t, forward, flags, seq, payload)
         if self.with_tls and payload:
             self.touched.add(f"r{int(forward)}")
-            hello = self._hello(t, forward, payload) if self.reassemble else wire.client_hello(payload) if wire.is_tls(payload) else None
-        return hz, found, hello
-
-    def _hello(self, t: int | None, forward: bool, payload: bytes) -> dict | None:
+            if self.reassemble:
+                hello, fault = self._hello(t, forward, payload)
+            elif wire.is_tls(payload):
+                hello = wire.client_hello(payload)
+                fault = "hello" if hello is None else None
+        return hz, found, hello, fault
+
+    def _hello(self, t: int | None, forward: bool, payload: bytes) -> tuple[dict | None, str | None]:
         reader, since = self.readers.get(forward, (None, None))
         if reader is not None and since is not None and t is not None and t - since >= TLS_LIFE_MS:
             reader = None
         if reader is None:
             if not wire.is_tls(payload):
                 self.readers.pop(forward, None)
-                return None
+                return None, None
             reader, since = wire.HelloReader(), t
         hello = reader.add(payload)
         self.readers[forward] = (None, None) if reader.done else (reader, since)
-        return hello
+        return hello, "hello" if reader.done and hello is None else None
 
 
     def parts(self) -> list[tuple[str, str]]:
@@ -310,7 +314,7 @@ def _carried(df: DataFrame, config: tuple) -> DataFrame:
 
 
 def told(df: DataFrame, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool = True, hot: int | None = None) -> DataFrame:
-    """df with raw_hz, side, bytes, h2 and hello, null where a packet tells none. All that spans packets is found in one pass over flows, after one exchange.
+    """df with raw_hz, side, bytes, h2 and hello, null where a packet tells none, and fault where it ends a ClientHello that can't be read. All that spans packets is found in one pass over flows, after one exchange.
 
     df: capture, packet_no, ts, src, sport, dst, dport, flags, seq, raw (payload), role and tsval; further columns go along. hot: flows of more packets than this are cut
     into stretches for several tasks, with equal results; that reads df twice more.
@@ -318,7 +322,7 @@ def told(df: DataFrame, with_http: bool, with_tls: bool, with_uptime: bool, reas
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType
 
-    more = StructType.fromDDL(f"raw_hz double, side string, bytes binary, h2 {wire.HTTP2}, hello {wire.HELLO}")
+    more = StructType.fromDDL(f"raw_hz double, side string, bytes binary, h2 {wire.HTTP2}, hello {wire.HELLO}, fault string")
     kinds = [to_arrow_type(f.dataType) for f in more]
     config = (with_http, with_tls, with_uptime, reassemble)
     df = flow_key(df).withColumn("_t", F.unix_millis("ts"))
@@ -343,14 +347,23 @@ def told(df: DataFrame, with_http: bool, with_tls: bool, with_uptime: bool, reas
                     real[i] = False
                     continue
                 packet[4] = packet[4] or b""
-                hz, found, hello = flow.step(*packet)
-                rows.append((hz, *(found or (None, None, None)), hello))
+                hz, found, hello, fault = flow.step(*packet)
+                rows.append((hz, *(found or (None, None, None)), hello, fault))
             mask = pa.array(real)
             yield pa.RecordBatch.from_arrays([*(b.column(c).filter(mask) for c in names), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds))], schema.names)
 
     return df.repartition(*key).sortWithinPartitions(*key, "packet_no").mapInArrow(run, schema)
 
 
+def faults(packets: DataFrame) -> DataFrame:
+    """Of packets (capture, packet_no, ts, data) those that something is wrong with: capture, packet_no and reason, one of headers.REASONS, options (the TCP options don't fit their lengths) or hello (a ClientHello that can't be
+    read ends here; also if it is a record that is too long)."""
+    judged = decode.judge(packets)
+    early = judged.select("capture", "packet_no", F.coalesce("reason", F.when(F.col("opt.malformed"), "options")).alias("reason"))
+    late = told(_payloads(judged.where("reason IS NULL AND octet_length(payload) > 0")), False, True, False).select("capture", "packet_no", F.col("fault").alias("reason"))
+    return early.unionByName(late).where("reason IS NOT NULL")
+
+
 def http_observations(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Messages (text, h2, side) as observations: version, header order, absent headers, software, and the fields that are reported.
 

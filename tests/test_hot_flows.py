@@ -40,7 +40,7 @@ def packets(seed, n, pace):
     return out
 
 
-@pytest.mark.parametrize("seed, n, pace, hot", [(1, 3000, 400, 300), (2, 3000, 20, 250), (3, 400, 3000, 1000)])
+@pytest.mark.parametrize("seed, n, pace, hot", [(1, 1500, 400, 250), (2, 1200, 20, 250), (3, 200, 3000, 1000)])
 def test_stretches_equal_one_task(spark, seed, n, pace, hot):
     df = spark.createDataFrame(packets(seed, n, pace), "capture string, packet_no long, us long, orig_len int, data binary").withColumn("ts", F.timestamp_micros("us")).drop("us")
     plain = analyze.analyze(df)

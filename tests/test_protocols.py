@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from netglean.functions import http
 from netglean.operators import flows, wire
 from netglean.plans import jobs
+from tests.test_engine import hello, segment
 
 
 def frame(kind, stream, payload):
@@ -48,6 +49,14 @@ def test_early_rejection_loses_no_message(monkeypatch):
     assert not flows._may_begin(0, [(0, b"\x16\x03\x01")]) and not flows._may_begin(1, [(0, b"SSH-"), (4, b"2.0-x")])
 
 
+def test_faults_of_packets(spark):
+    h = hello()
+    bad = h[:43] + b"\x40" + h[44:]  # a session id that is too long
+    made = [(0, segment("10.0.0.1", "10.0.0.2", 1111, 443, 1, 24, h)), (1, segment("10.0.0.1", "10.0.0.2", 1112, 443, 1, 24, bad[:30])), (2, segment("10.0.0.1", "10.0.0.2", 1112, 443, 31, 24, bad[30:])), (3, b"\0" * 60), (4, segment("10.0.0.1", "10.0.0.2", 1, 2, 1, 2, options=b"\x02\x09\x05\xb4")), (5, segment("10.0.0.1", "10.0.0.2", 1, 2, 1, 3))]
+    df = spark.createDataFrame([("c", i, None, len(d), bytearray(d)) for i, d in made], "capture string, packet_no long, ts timestamp, orig_len int, data binary")
+    assert sorted((r.packet_no, r.reason) for r in flows.faults(df).collect()) == [(2, "hello"), (3, "link"), (4, "options"), (5, "flags")]
+
+
 def test_one_of_two_analyses_is_stopped(spark):
     slow = F.udf(lambda x: time.sleep(0.2) or x, "long")
     long = jobs.Running(spark, lambda: spark.range(0, 10_000, 1, 2).select(slow("id").alias("x")).agg(F.sum("x")).first()[0])
