@@ -27,6 +27,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--most-files", type=int, default=None, help="stream: files of a batch at most")
     p.add_argument("--workers", type=int, default=None, help="local tasks at once, where no cluster is given")
     p.add_argument("--hot-packets", type=int, default=None, help="pcap: flows of more packets than this are dealt to several tasks")
+    p.add_argument("--most-connections", type=int, default=None, help="stream: open connections that are kept at most")
     a = p.parse_args(argv)
     builder = SparkSession.builder.appName("netglean")
     if a.workers:
@@ -38,7 +39,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.ip:
         filters = filters.with_filter(IpFilter().allow(*a.ip))
     on = {x: a.protocol in ("all", x) for x in ("tcp", "http", "tls")}
-    config = analyze.AnalysisConfig(**on, filters=filters, hot_packets=a.hot_packets)
+    config = analyze.AnalysisConfig(**on, filters=filters, hot_packets=a.hot_packets, most_connections=a.most_connections)
     sigs = signatures.load(a.signatures or signatures.DEFAULT)
     show = sinks.to_ndjson if a.format == "json" else sinks.to_text
 

@@ -32,6 +32,8 @@ class AnalysisConfig:
     corrected_software: bool = False
     #: Flows of more packets than this are dealt to several tasks, at the cost of reading the packets twice more; None: a flow is one task.
     hot_packets: int | None = None
+    #: Streams: open connections, hellos and anchors, each, that are kept at most; the oldest go. None: they go by time alone.
+    most_connections: int | None = None
 
     def __post_init__(self):
         if not (self.tcp or self.http or self.tls):

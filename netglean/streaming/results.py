@@ -34,9 +34,9 @@ def _results(packets: DataFrame, config: AnalysisConfig | None, sigs: Signatures
     if config.tcp:
         observed = decode.observe(segments, config.standard_mtu)
         counted = decode.observe(first, config.standard_mtu)
-        parts += [analyze.tcp_results(counted, sigs, config.tcp_matcher), analyze.uptime_rows(processors.uptime_stream(observed))]
+        parts += [analyze.tcp_results(counted, sigs, config.tcp_matcher), analyze.uptime_rows(processors.uptime_stream(observed, most=config.most_connections))]
     if config.http:
-        parts.append(analyze.http_rows(processors.http_stream(segments if parts else first), sigs, config.corrected_software, config.http_matcher))
+        parts.append(analyze.http_rows(processors.http_stream(segments if parts else first, most=config.most_connections), sigs, config.corrected_software, config.http_matcher))
     if config.tls:
-        parts.append(analyze.tls_rows(processors.tls_stream(segments if parts else first)))
+        parts.append(analyze.tls_rows(processors.tls_stream(segments if parts else first, most=config.most_connections)))
     return metrics.count_rows(reduce(DataFrame.union, [show(p.where(analyze.not_empty(p))) for p in parts]), metrics.RESULTS, "matched")
