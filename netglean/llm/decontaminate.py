@@ -1,12 +1,13 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased. Every n-gram of a test item is a seed, so a
-passage that keeps n words in a row of the item meets one, whatever is edited around them. Seeds found in a document are gathered by item and
-diagonal. A place is as wide as any alignment through its seeds that could pass, and is aligned with the whole item unless
-it has too few of the item's words to pass. The score is that of the best local alignment as a share of the item's own. An alignment passes
+Words are runs of bytes other than ASCII white space and punctuation, A-Z lower-cased. Seeds of a test item are its n-grams, and n words of n + 1 in a row
+without an inner one, so that a copy with every n-th word replaced, or a word put in after every second, meets one. A first pass counts in how many documents each seed occurs. Those in at most a share RARE
+of the documents are used; the common others only where the item has fewer than SEEDS rare ones within PASSAGE words, and there all of them. So PASSAGE words in a row are always met, and so is an
+edited copy unless all that it kept are common seeds beside many rare ones. Seeds found in a document are gathered by item and diagonal. A place is as wide as any alignment through its seeds that
+could pass, and is aligned with the whole item unless it has too few of the item's words to pass. The score is that of the best local alignment as a share of the item's own. An alignment passes
 with THRESHOLD of that, or with the score of PASSAGE words in a row, so that passages of long items count as well.
 
-The benchmark is sent to all tasks in blocks of at most BLOCK_BYTES of text, so any benchmark size works; documents are read once
+The benchmark is sent to all tasks in blocks of at most BLOCK_BYTES of text, so any benchmark size works; documents are read twice
 for each block. Null and empty texts and items contain and match nothing. Items shorter than n words have one
 n-gram of all their words. Rows with one doc_id give one result, the best; repeated items each have theirs. Rows without doc_id
 are left out of contaminated()'s result, but decontaminate() judges each row by its own text, whatever its doc_id. Items without item_id count
@@ -31,20 +32,22 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Words in a row whose score is enough for an item of any length.
 PASSAGE = 13
-BLOCK_BYTES = 16_000_000
+#: A seed in at most this share of the documents is rare.
+RARE = 0.001
+#: Rare seeds within PASSAGE words that do without the common ones.
+SEEDS = 16
+BLOCK_BYTES = 8_000_000
 
 
 class Items:
-    """A block of test items: ids, word hashes, and where each n-gram lies."""
+    """A block of test items: ids, word hashes, and where each seed lies."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int):
         w = textkit.Words(pa.array(texts, pa.string()), textkit.MARKS)
         self.ids, self.n = np.array([0 if i is None else i for i in ids], np.int64), n
         self.word, self.first = w.hash, w.first
-        gram, start = w.shingles(n)
-        self.item = np.repeat(np.arange(len(ids)), np.diff(start))
-        self.at = np.arange(len(gram)) - start[self.item]
-        self.start = start
+        gram, self.item, at, self.reach = w.seeds(n)
+        self.at = at - w.first[self.item]
         self.key, self.of = np.unique(gram, return_inverse=True)
         self.vocabulary, word = np.unique(self.word, return_inverse=True)
         self.holds = np.unique(np.repeat(np.arange(len(ids)), np.diff(self.first)) * len(self.vocabulary) + word)
@@ -60,6 +63,25 @@ class Items:
         ok = key[at] == gram[hit]
         return hit[ok], at[ok]
 
+    def choose(self, found: np.ndarray, docs: int, rare: float, most: int, passage: int) -> None:
+        """Keeps the seeds that are rare, and the common ones of stretches of passage words (or of the item, if it is shorter) with fewer than most rare ones. found: in how many of docs documents each key occurs."""
+        n = found[self.of]
+        few = (n > 0) & (n <= rare * docs)
+        length = np.diff(self.first)
+        # windows of all items in one row: window x begins at word x of the block and lies within its item
+        last = np.repeat(self.first[:-1] + np.maximum(length - passage, 0), length)
+        begins, ends = self.first[self.item] + self.at, self.first[self.item] + self.at + self.reach
+        ends = np.minimum(ends, self.first[self.item + 1])
+        low = np.maximum(self.first[self.item], ends - passage)
+        high = np.minimum(begins, last[begins])
+        low = np.minimum(low, high)
+        change = np.bincount(low[few], minlength=len(last) + 1) - np.bincount(high[few] + 1, minlength=len(last) + 1)
+        needy = np.concatenate(([0], np.cumsum(np.cumsum(change)[: len(last)] < most)))
+        keep = (n > 0) & (few | (needy[high + 1] > needy[low]))
+        self.item, self.at = self.item[keep], self.at[keep]
+        used, self.of = np.unique(self.of[keep], return_inverse=True)
+        self.key = self.key[used]
+
     def promising(self, hashes: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, need: np.ndarray) -> np.ndarray:
         """Which of the places low to high in the words hold so many words of their item that the score could be reached."""
         at, which = self.lookup(hashes, self.vocabulary)
@@ -112,7 +134,7 @@ def finder(items: Items, threshold: float, passage: int) -> Callable[[pa.Array],
 
     def find(texts: pa.Array) -> tuple[np.ndarray, ...]:
         w = textkit.Words(texts, textkit.MARKS)
-        gram, start = w.shingles(items.n)
+        gram, rows, words, _ = w.seeds(items.n)
         hit, at = items.lookup(gram, key)
         if not len(hit):
             none = np.zeros(0, np.int64)
@@ -120,8 +142,7 @@ def finder(items: Items, threshold: float, passage: int) -> Callable[[pa.Array],
         n = first[at + 1] - first[at]
         hit = np.repeat(hit, n)
         e = entry[np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)]
-        row = np.searchsorted(start, hit, "right") - 1
-        item, at, hit = items.item[e], items.at[e], hit - start[row] + w.first[row]
+        item, at, row, hit = items.item[e], items.at[e], rows[hit], words[hit]
         left, right = at, length[item] - at
         low = np.maximum(hit - left - np.minimum(MATCH * left, loose[item]), w.first[row])
         high = np.minimum(hit + right + np.minimum(MATCH * right, loose[item]), w.first[row + 1])
@@ -150,6 +171,26 @@ def finder(items: Items, threshold: float, passage: int) -> Callable[[pa.Array],
     return find
 
 
+def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """In how many rows of docs each seed of items occurs, and the number of rows. Tasks count; what reaches the driver is a number for each seed of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rows, size = np.zeros(len(items.key), np.int64), 0, max(len(items.key), 1)
+        for b in textkit.pieces(batches):
+            rows += b.num_rows
+            gram, row, _, _ = textkit.Words(b.column("text"), textkit.MARKS).seeds(items.n)
+            hit, at = items.lookup(gram, items.key)
+            n += np.bincount(np.unique(row[hit] * size + at) % size, minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], rows))], ["seed", "n"])
+
+    told = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+    seed, n = (told.column(c).to_numpy() for c in ("seed", "n"))
+    out = np.zeros(len(items.key), np.int64)
+    out[seed[seed >= 0]] = n[seed >= 0]
+    return out, int(n[seed < 0].sum())
+
+
 def search(docs: DataFrame, items: Items, threshold: float, passage: int) -> DataFrame:
     find = finder(items, threshold, passage)
 
@@ -177,6 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).where("doc_id IS NOT NULL")
     out = None
     for items in blocks(benchmark.where("item_id IS NOT NULL"), n, block_bytes):
+        items.choose(*frequencies(own, items), RARE, SEEDS, passage)
         found = search(own, items, threshold, passage)
         out = found if out is None else out.union(found)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("best"))
@@ -195,6 +237,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold:
 
         return run
 
+    given = docs
     for items in blocks(benchmark, n, block_bytes):
+        items.choose(*frequencies(given, items), RARE, SEEDS, passage)
         docs = docs.mapInArrow(clean(finder(items, threshold, passage)), docs.schema)
     return docs

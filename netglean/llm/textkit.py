@@ -106,9 +106,27 @@ class Words:
         stop = np.repeat(self.first[1:], count)
         for i in range(k):
             inside = at + i < stop
-            h = np.where(inside, mix(h * np.uint64(0x9FB21C651E98DF25) + w[np.minimum(at + i, max(len(w) - 1, 0))] + np.uint64(i + 1)) if len(w) else h, h)
+            h = np.where(inside, self._follow(h, at + i, i) if len(w) else h, h)
         return h, first
 
+    def _follow(self, h: np.ndarray, at: np.ndarray, i: int) -> np.ndarray:
+        """Hashes h of i words with the words at `at` behind them."""
+        return mix(h * np.uint64(0x9FB21C651E98DF25) + self.hash[np.minimum(at, max(len(self.hash) - 1, 0))] + np.uint64(i + 1))
+
+    def seeds(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all runs of k words and of all k words of k + 1 in a row without an inner one; their rows, first words, and how many words they reach over. The same k words have one hash, with a gap or without."""
+        h, first = self.shingles(k)
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        parts = [(h, row, np.arange(len(h)) - first[row] + self.first[row], np.full(len(h), k))]
+        at = np.arange(len(self.hash))
+        at = at[at + k < self.first[self.row + 1]]
+        for gap in range(1, k):
+            h = np.zeros(len(at), np.uint64)
+            for i, word in enumerate(w for w in range(k + 1) if w != gap):
+                h = self._follow(h, at + word, i)
+            parts.append((h, self.row[at], at, np.full(len(at), k + 1)))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
 
 def unique_sets(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Each row's distinct hashes, sorted."""
