@@ -26,3 +26,7 @@ def equal(spark, sf, name):
 
 def test_uptime_anchor_fold(spark, late_events):
     assert any(r.hours < 0 for r in equal(spark, late_events, "uptime_anchor_fold"))
+
+
+def test_uptime_by_answers(spark, late_events):
+    assert any(r.minutes < 0 for r in equal(spark, late_events, "uptime_by_answers"))
