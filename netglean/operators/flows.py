@@ -29,7 +29,7 @@ _STARTS = (re.compile(rb"(?:" + "|".join(http.METHODS).encode() + rb")[ \t]+\S+[
 def uptimes(observed: DataFrame) -> DataFrame:
     """observe()'s rows that tell an uptime: capture, packet_no, role, hz, days, hours, minutes, wrap_days. Time is the packets' own, their order that of packet_no."""
     samples = observed.where("tcp_ts IS NOT NULL AND ts IS NOT NULL").select("capture", "packet_no", "ts", "src", "sport", "dst", "dport", "flags", "role", F.col("tcp_ts.val").alias("tsval"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("binary").alias("raw"))
-    out = told(samples, False, False, True).where("raw_hz IS NOT NULL").withColumn("hz", uptime.rounded(F.col("raw_hz")))
+    out = told(samples, False, False, True, only=("capture", "packet_no", "role", "tsval", "raw_hz")).where("raw_hz IS NOT NULL").withColumn("hz", uptime.rounded(F.col("raw_hz")))
     return out.select("capture", "packet_no", "role", "hz", uptime.split(F.col("tsval"), F.col("hz")).alias("u")).select("capture", "packet_no", "role", "hz", "u.*")
 
 
@@ -80,11 +80,11 @@ def flow_key(df: DataFrame) -> DataFrame:
 
 def _may_begin(side: int, parts: list[tuple[int, bytes]]) -> bool:
     """Whether a side's bytes may be a message, by the first nine: a method's letter, an answer's name, or a frame's header. Bytes of other protocols are never put together."""
-    head = b""
-    for _, data in parts:
-        head += data[: 9 - len(head)]
+    head = parts[0][1][:9]
+    for _, data in parts[1:]:
         if len(head) == 9:
             break
+        head += data[: 9 - len(head)]
     if side == 0:
         return head[:1] in _LETTERS
     return b"HTTP/1.".startswith(head[:7]) or len(head) < 9 or wire.looks_like_http2(head)
@@ -95,26 +95,38 @@ class HttpFlow:
 
     def __init__(self, since: int | None, forward: bool):
         self.since, self.forward, self.parts, self.done, self.closed = since, forward, ([], []), [False, False], False
+        self.sizes = [0, 0]  # bytes of each side's segments
 
     def add(self, forward: bool, flags: int, seq: int, payload: bytes) -> tuple[str, bytes, dict | None] | None:
         """The side and bytes of the message that this packet completes, and what wire.http2_message() reads if it is HTTP/2."""
         side, found = int(forward != self.forward), None
         if payload and not self.done[side]:
             parts = self.parts[side]
-            bisect.insort(parts, (seq, payload), key=lambda p: p[0])
-            size = sum(len(p[1]) for p in parts)
+            if parts and seq < parts[-1][0]:
+                bisect.insort(parts, (seq, payload), key=lambda p: p[0])
+            else:
+                parts.append((seq, payload))
+            size = self.sizes[side] + len(payload)
             while size - len(parts[-1][1]) >= MOST_HEAD:
                 size -= len(parts.pop()[1])
+            self.sizes[side] = size
             if message := self._message(side):
                 parts.clear()
+                self.sizes[side] = 0
                 self.done[side], found = True, (("request", "response")[side], *message)
         self.closed = self.closed or bool(flags & (tcp.FIN | tcp.RST)) or all(self.done)
         return found
 
+    def take(self, parts: tuple[list, list], done: list[bool], closed: bool) -> None:
+        """Goes on from what another had."""
+        self.parts, self.done, self.closed = parts, done, closed
+        self.sizes = [sum(len(p[1]) for p in side) for side in parts]
+
     def _message(self, side: int) -> tuple[bytes, dict | None] | None:
         if not _may_begin(side, self.parts[side]):
             return None
-        whole = b"".join(p[1] for p in self.parts[side])
+        parts = self.parts[side]
+        whole = parts[0][1] if len(parts) == 1 else b"".join([p[1] for p in parts])
         if _STARTS[side].match(whole):
             return (whole, None) if b"\r\n\r\n" in whole else None
         h2 = wire.http2_message(whole, side == 0)
@@ -159,8 +171,7 @@ def http_messages(segments: DataFrame) -> DataFrame:
     A side's payloads are put together by sequence number, neither trimmed nor freed of repetitions, until its headers are whole.
     """
     marks = F.col("flags").bitwiseAND(tcp.SYN | tcp.FIN | tcp.RST) != 0
-    out = told(_payloads(segments.where(marks | (F.octet_length("payload") > 0))), True, False, False).where("side IS NOT NULL")
-    out = out.select("capture", "packet_no", "flow", "side", "bytes", "h2")
+    out = told(_payloads(segments.where(marks | (F.octet_length("payload") > 0))), True, False, False, only=("capture", "packet_no", "flow", "side", "bytes", "h2"))
     return out.withColumn("text", F.when(F.is_valid_utf8(F.col("bytes").cast("string")), F.col("bytes").cast("string")))
 
 
@@ -175,22 +186,25 @@ HTTP_SCHEMA = f"capture string, packet_no long, flow string, side string, bytes
 class Connection:
     """What one flow's packets tell in order: messages, hellos of each direction, and uptimes of each direction and role."""
 
-    def __init__(self, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool):
-        self.with_http, self.with_tls, self.with_uptime, self.reassemble = with_http, with_tls, with_uptime, reassemble
+    def __init__(self, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool, noted: bool = False):
+        self.with_http, self.with_tls, self.with_uptime, self.reassemble, self.noted = with_http, with_tls, with_uptime, reassemble, noted
         self.http, self.anchors, self.readers = None, {}, {}
-        self.touched: set[str] = set()  # parts of the state that a packet has read
+        self.touched: set[str] = set()  # if noted, parts of the state that a packet has read
 
     def step(self, t: int | None, forward: bool, flags: int, seq: int, payload: bytes, role: str | None, tsval: int | None) -> tuple[float | None, tuple | None, dict | None, str | None]:
         """The raw frequency, message and hello that a packet tells, and hello if it ends a handshake's beginning that can't be read."""
         hz = found = hello = fault = None
         if self.with_uptime and tsval is not None and t is not None:
-            self.touched.add(f"a{int(forward)}{role}")
+            if self.noted:
+                self.touched.add(f"a{int(forward)}{role}")
             self.anchors[forward, role], hz = uptime.step(self.anchors.get((forward, role)), t, tsval)
         if self.with_http and (payload or flags & (tcp.SYN | tcp.FIN | tcp.RST)):
-            self.touched.add("h")
+            if self.noted:
+                self.touched.add("h")
             self.http, found = http_step(self.http, t, forward, flags, seq, payload)
         if self.with_tls and payload:
-            self.touched.add(f"r{int(forward)}")
+            if self.noted:
+                self.touched.add(f"r{int(forward)}")
             if self.reassemble:
                 hello, fault = self._hello(t, forward, payload)
             elif wire.is_tls(payload):
@@ -213,7 +227,7 @@ class Connection:
 
 
     def parts(self) -> list[tuple[str, str]]:
-        """The parts of the state that packets have read, as they are now, as texts; an empty one is what a new connection has."""
+        """Of a connection that notes them: the parts of the state that packets have read, as they are now, as texts; an empty one is what a new connection has."""
         out = []
         for name in sorted(self.touched):
             if name == "h":
@@ -235,7 +249,7 @@ class Connection:
             value = ast.literal_eval(text)
             if name == "h":
                 self.http = HttpFlow(value[0], value[1])
-                self.http.parts, self.http.done, self.http.closed = tuple(map(list, value[2])), list(value[3]), value[4]
+                self.http.take(tuple(map(list, value[2])), list(value[3]), value[4])
             elif name[0] == "a":
                 self.anchors[name[1] == "1", name[2:] if name[2:] != "None" else None] = uptime.Anchor(*value)
             else:
@@ -276,7 +290,7 @@ def _carried(df: DataFrame, config: tuple) -> DataFrame:
                 if (key, stretch) != last:
                     if last:
                         out += [(*last, *p) for p in flow.parts()]
-                    last, flow = (key, stretch), Connection(*config)
+                    last, flow = (key, stretch), Connection(*config, noted=True)
                 if state is not None:
                     flow.take([(p["part"], p["value"]) for p in state])
                     continue
@@ -313,11 +327,24 @@ def _carried(df: DataFrame, config: tuple) -> DataFrame:
     return states
 
 
-def told(df: DataFrame, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool = True, hot: int | None = None) -> DataFrame:
+def _plain(a: pa.Array) -> list:
+    """a's values as Python's, by numpy: to_pylist() makes an object of its own for each value first."""
+    if a.null_count == 0 or pa.types.is_binary(a.type) or pa.types.is_string(a.type):
+        return a.to_numpy(zero_copy_only=False).tolist()
+    if a.null_count == len(a):
+        return [None] * len(a)
+    if not pa.types.is_integer(a.type):
+        return a.to_pylist()
+    out = a.fill_null(0).to_numpy(zero_copy_only=False).astype(object)
+    out[a.is_null().to_numpy(zero_copy_only=False)] = None
+    return out.tolist()
+
+
+def told(df: DataFrame, with_http: bool, with_tls: bool, with_uptime: bool, reassemble: bool = True, hot: int | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """df with raw_hz, side, bytes, h2 and hello, null where a packet tells none, and fault where it ends a ClientHello that can't be read. All that spans packets is found in one pass over flows, after one exchange.
 
     df: capture, packet_no, ts, src, sport, dst, dport, flags, seq, raw (payload), role and tsval; further columns go along. hot: flows of more packets than this are cut
-    into stretches for several tasks, with equal results; that reads df twice more.
+    into stretches for several tasks, with equal results; that reads df twice more. only: the columns to give, of packets that tell something; the others don't travel.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType
@@ -326,33 +353,48 @@ def told(df: DataFrame, with_http: bool, with_tls: bool, with_uptime: bool, reas
     kinds = [to_arrow_type(f.dataType) for f in more]
     config = (with_http, with_tls, with_uptime, reassemble)
     df = flow_key(df).withColumn("_t", F.unix_millis("ts"))
-    schema = StructType([StructField(f.name, f.dataType) for f in df.schema] + more.fields)
+    if only is not None:
+        df = df.select(*dict.fromkeys(("flow", "packet_no", *_PACKET, *(c for c in only if c in df.columns))))
+    names = [f.name for f in df.schema if only is None or f.name in only]
+    schema = StructType([StructField(f.name, f.dataType) for f in df.schema if f.name in names] + [f for f in more if only is None or f.name in only])
+    places = [(i, kinds[i]) for i, f in enumerate(more) if only is None or f.name in only]
     key = ["flow"]
     if hot is not None:
         df, key = _stretches(df, hot), ["flow", "stretch"]
         states = _carried(df, config).withColumn("packet_no", F.lit(-1).cast("long"))
         df = df.withColumn("state", F.lit(None).cast(_PARTS)).unionByName(states, allowMissingColumns=True)
-    names = schema.names[: -len(kinds)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, flow = None, None
         for b in batches:
-            rows, real = [], np.ones(b.num_rows, bool)
-            states = b.column("state") if hot is not None else pa.nulls(b.num_rows)
-            for i, (own, state, *packet) in enumerate(zip(zip(*(b.column(c).to_pylist() for c in key)), states.to_pylist(), *(b.column(c).to_pylist() for c in _PACKET))):
+            rows, at, real = [], [], np.ones(b.num_rows, bool)
+            states = b.column("state").to_pylist() if hot is not None else [None] * b.num_rows
+            for i, (own, state, t, forward, flags, seq, raw, role, tsval) in enumerate(zip(zip(*(_plain(b.column(c)) for c in key)), states, *(_plain(b.column(c)) for c in _PACKET))):
                 if own != last:
                     last, flow = own, Connection(*config)
                 if state is not None:
                     flow.take([(p["part"], p["value"]) for p in state])
                     real[i] = False
                     continue
-                packet[4] = packet[4] or b""
-                hz, found, hello, fault = flow.step(*packet)
-                rows.append((hz, *(found or (None, None, None)), hello, fault))
+                hz, found, hello, fault = flow.step(t, forward, flags, seq, raw or b"", role, tsval)
+                if hz is not None or found or hello is not None or fault is not None:
+                    at.append(i)
+                    rows.append((hz, *(found or (None, None, None)), hello, fault))
+            some = list(zip(*rows)) or [()] * len(kinds)
+            if only is not None:
+                keep = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(keep) for c in names), *(pa.array(some[i], kind) for i, kind in places)], schema.names)
+                continue
             mask = pa.array(real)
-            yield pa.RecordBatch.from_arrays([*(b.column(c).filter(mask) for c in names), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds))], schema.names)
+            found = np.full((len(kinds), b.num_rows), None, object)
+            for i, values in enumerate(some):
+                for j, v in zip(at, values):
+                    found[i, j] = v
+            yield pa.RecordBatch.from_arrays([*(b.column(c) if real.all() else b.column(c).filter(mask) for c in names), *(pa.array(found[i][real].tolist(), kind) for i, kind in places)], schema.names)
 
-    return df.repartition(*key).sortWithinPartitions(*key, "packet_no").mapInArrow(run, schema)
+    # flows are in the order of their hashes, as the texts of many begin alike
+    out = df.repartition(*key).sortWithinPartitions(F.xxhash64(*key), *key, "packet_no").mapInArrow(run, schema)
+    return out if only is None else out.select(*only)
 
 
 def faults(packets: DataFrame) -> DataFrame:
@@ -360,7 +402,7 @@ def faults(packets: DataFrame) -> DataFrame:
     read ends here; also if it is a record that is too long)."""
     judged = decode.judge(packets)
     early = judged.select("capture", "packet_no", F.coalesce("reason", F.when(F.col("opt.malformed"), "options")).alias("reason"))
-    late = told(_payloads(judged.where("reason IS NULL AND octet_length(payload) > 0")), False, True, False).select("capture", "packet_no", F.col("fault").alias("reason"))
+    late = told(_payloads(judged.where("reason IS NULL AND octet_length(payload) > 0")), False, True, False, only=("capture", "packet_no", "fault")).select("capture", "packet_no", F.col("fault").alias("reason"))
     return early.unionByName(late).where("reason IS NOT NULL")
 
 
@@ -371,7 +413,10 @@ def http_observations(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFr
     """
     c = F.col
     req, res = http.parsed(c("text"), True), http.parsed(c("text"), False)
-    df = messages.withColumn("request", F.when(c("h2").isNull() & (c("side") == "request") & http.is_request(c("text")), req)).withColumn("response", F.when(c("h2").isNull() & (c("side") == "response") & http.is_response(c("text")), res))
+    request = F.when(c("h2").isNull() & (c("side") == "request") & http.is_request(c("text")), req).alias("request")
+    response = F.when(c("h2").isNull() & (c("side") == "response") & http.is_response(c("text")), res).alias("response")
+    # a message is parsed once, whatever reads it below
+    df = decode._once(messages, F.struct(request, response), "_parsed", messages.columns, True).select(*messages.columns, "_parsed.*")
     some = F.expr("request IS NOT NULL OR response IS NOT NULL OR h2 IS NOT NULL")
     df = df.withColumn("direction", F.when(some, c("side"))) if keep else df.where(some).withColumn("direction", c("side"))
     client = c("side") == "request"
@@ -400,4 +445,4 @@ def tls_hellos(segments: DataFrame, reassemble: bool = True) -> DataFrame:
     start = (F.octet_length("payload") >= 5) & (F.hex(F.substring("payload", 1, 2)) == "1603") & (F.hex(F.substring("payload", 3, 1)) <= "04")
     if not reassemble:
         return data.where(start).select("capture", "packet_no", wire.parse_client_hello("payload").alias("hello")).where("hello.version IS NOT NULL")
-    return told(_payloads(data), False, True, False).where("hello IS NOT NULL").select("capture", "packet_no", "hello")
+    return told(_payloads(data), False, True, False, only=("capture", "packet_no", "hello")).where("hello IS NOT NULL")

@@ -97,7 +97,7 @@ class Messages:
     @staticmethod
     def load(state: tuple) -> flows.HttpFlow:
         flow = flows.HttpFlow(state[0], state[1])
-        flow.parts, flow.done, flow.closed = tuple([(p[0], bytes(p[1])) for p in side] for side in state[2:4]), list(state[4:6]), state[6]
+        flow.take(tuple([(p[0], bytes(p[1])) for p in side] for side in state[2:4]), list(state[4:6]), state[6])
         return flow
 
     @staticmethod
