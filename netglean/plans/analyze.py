@@ -120,7 +120,8 @@ def analyze(packets: DataFrame, config: AnalysisConfig | None = None, sigs: Sign
         text = F.when(F.is_valid_utf8(F.col("bytes").cast("string")), F.col("bytes").cast("string"))
         df, done = http_rows(df.withColumn("text", text), sigs, config.corrected_software, config.http_matcher, tuple(done)), [*done, "http_request", "http_response"]
     df = df.select("capture", "packet_no", *(c for c in RESULTS if c in done))
-    return df.where(not_empty(df))
+    # with TCP every segment is a syn or a syn_ack; asked as a condition, that would have the results made once more
+    return df if config.tcp else df.where(not_empty(df))
 
 
 def analyze_tcp(packets: DataFrame, sigs: Signatures | None = None, **options) -> DataFrame:
